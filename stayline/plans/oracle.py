@@ -621,8 +621,9 @@ sql(
 )
 sql(
     "objective",
-    f"""SELECT {_r('p', 'pred_loss')}, {_r('r', 'reg_loss')}, {_r('0.995::DOUBLE * p + 0.005::DOUBLE * r', 'loss')},
-  {_r('r / (p + 0.00000001::DOUBLE)', 'loss_ratio')} FROM (
+    f"""SELECT round(p, 4) AS pred_loss, round(r, 4) AS reg_loss,
+  round(0.995::DOUBLE * p + 0.005::DOUBLE * r, 4) AS loss,
+  round(r / (p + 0.00000001::DOUBLE), 4) AS loss_ratio FROM (
   SELECT (SELECT {MSE}) AS p,
     (SELECT avg(statistic) FROM ({distance('proj_t')})) + (SELECT avg(statistic) FROM ({distance('proj_t1')})) AS r)""",
     REC,

@@ -594,12 +594,13 @@ def sliced_epps_pulley(spark, sf):
 def objective(spark, sf):
     ends = V.embedding_pairs(spark, sf)
     ways = normality.random_directions(0, 6, 64)
-    return metrics.objective(
+    out = metrics.objective(
         metrics.mse(ends, "h_t", "h_t1"),
         normality.sliced_epps_pulley(ends, ways, "h_t"),
         normality.sliced_epps_pulley(ends, ways, "h_t1"),
         5.0e-3,
     )
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
 @query
