@@ -82,9 +82,9 @@ def _block_sums(replicates: int, names: list[str], schema: pa.Schema):
 def _by_blocks(cells, replicates, seed, row, group, block_rows):
     """Sort by score once per class, weigh whole blocks for all replicates, and join the blocks' sums.
 
-    Inside a block ties count one half. Across blocks an earlier negative counts
-    one; where it has the same score, which can only be the edge score of both
-    blocks, one half is taken back.
+    Inside a block ties count one half. Across blocks a negative in an earlier
+    block counts one and in a later block nothing; where it has the positive's
+    score, which is then an edge score of both blocks, both are set to one half.
     """
     positions = _positions(cells, row)
     held = (
@@ -115,9 +115,11 @@ def _by_blocks(cells, replicates, seed, row, group, block_rows):
         .orderBy("_chunk")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    across = F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))
+    above = F.col("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0))
+    under = F.col("neg") * F.coalesce(F.sum("pos").over(earlier), F.lit(0.0))
+    across = F.when(F.col("total"), above).otherwise(0.5 * (under - above))
     per_class = (
-        sums.withColumn("won", F.col("wins") + F.when(F.col("total"), across).otherwise(-0.5 * across))
+        sums.withColumn("won", F.col("wins") + across)
         .groupBy(*keys, "replicate")
         .agg(
             F.sum("won").alias("won"),

@@ -56,7 +56,7 @@ def lead_stats(df: DataFrame, leads: int, key: str = "row_idx", signal: str = "w
 def percentiles(
     df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], limit: int = HOT_ROWS
 ) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column ``p<point>`` each.
+    """Exact percentiles with linear interpolation, one column ``p<point>`` each (2.5: ``p2_5``).
 
     Equal values are counted before they move, and ranks are running totals over
     chunks, so no task holds all the values of a group.
@@ -75,16 +75,16 @@ def percentiles(
 
     ends = ranked.groupBy(*group).agg(
         F.first("_n").alias("_n"),
-        *[at(p, False).alias(f"_lo{p}") for p in points],
-        *[at(p, True).alias(f"_hi{p}") for p in points],
+        *[at(p, False).alias(f"_lo{i}") for i, p in enumerate(points)],
+        *[at(p, True).alias(f"_hi{i}") for i, p in enumerate(points)],
     )
 
-    def between(p: float) -> Column:
+    def between(i: int, p: float) -> Column:
         place = (F.col("_n") - 1) * F.lit(p / 100.0)
-        lo, hi = F.col(f"_lo{p}"), F.col(f"_hi{p}")
-        return (lo + (hi - lo) * (place - F.floor(place))).alias(f"p{p}")
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        return (lo + (hi - lo) * (place - F.floor(place))).alias(f"p{p}".replace(".", "_"))
 
-    return ends.select(*group, *[between(p) for p in points])
+    return ends.select(*group, *[between(i, p) for i, p in enumerate(points)])
 
 
 def stats_summary(stats: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
