@@ -10,7 +10,7 @@ from ..functions.labels import encode_labels
 from ..schema import CROSS_STAY, WITHIN_STAY
 from .ordered import HOT_ROWS
 from .pairs import assign_stays, fetch_pairs
-from .select import TEST_FOLD, TRAIN_LAST_FOLD, VAL_FOLD
+from .select import TEST_FOLD, TRAIN_LAST_FOLD, VAL_FOLD, first_by_draw
 
 
 def check_counts(
@@ -85,14 +85,11 @@ def compare_tables(
 ) -> DataFrame:
     """Keys whose cells differ: ``only_a``, ``only_b`` or the first differing column.
 
-    With ``n`` the comparison covers n keys of ``a`` drawn by hash.
+    With ``n`` the comparison covers n keys of ``a`` drawn by hash; other rows do not move.
     """
     if n is not None:
-        from .select import sample_rows
-
-        keys = sample_rows(a.select(F.col(key).alias("row_idx")), n, seed)
-        a = a.join(keys.select(F.col("row_idx").alias(key)), key, "left_semi")
-        b = b.join(keys.select(F.col("row_idx").alias(key)), key, "left_semi")
+        keys = a.select(key)
+        a, b = (first_by_draw(t, keys, key, lambda rows: min(n, rows), seed) for t in (a, b))
     left = a.select(key, F.struct(*cols).alias("_a"))
     right = b.select(key, F.struct(*cols).alias("_b"))
     differs = F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b")

@@ -12,7 +12,7 @@ from .ordered import HOT_ROWS, ascending, row_positions
 # Folds of the splits.
 TRAIN_LAST_FOLD, VAL_FOLD, TEST_FOLD = 17, 18, 19
 
-SLICE_BITS = 12
+SLICE_BITS, SLICE_ROWS = 12, 10_000
 
 
 def split(df: DataFrame, name: str) -> DataFrame:
@@ -36,26 +36,32 @@ def select_mode(df: DataFrame, mode: str) -> DataFrame:
     raise ValueError(f"unknown mode: {mode!r}")
 
 
-def _first_by_draw(
+def first_by_draw(
     df: DataFrame, ids: DataFrame, id_col: str, wanted: Callable[[int], int], seed: int
 ) -> DataFrame:
     """Rows of ``df`` whose id has one of the smallest draws over ``ids``, wanted(count) of them.
 
-    Two small jobs find the last draw that is kept: a histogram of the draws'
-    leading bits, then the ids of one of its slices. The rows are only filtered.
+    Small jobs find the last draw that is kept: histograms of the draws' leading
+    bits until few ids are left in the slice it lies in. The rows are only filtered.
     """
     drawn = ids.select(draw(F.col(id_col), seed).alias("_draw"), id_col)
-    part = F.shiftright("_draw", DRAW_BITS - SLICE_BITS)
-    slices = drawn.groupBy(part.alias("_slice")).agg(F.count(F.lit(1)).alias("_n")).collect()
-    sizes = sorted((r["_slice"], r["_n"]) for r in slices)  # at most 2**SLICE_BITS of them
-    left = wanted(sum(n for _, n in sizes))
-    for number, n in sizes:
-        if left <= n:
+    within, left = drawn, None
+    for bits in range(SLICE_BITS, DRAW_BITS + 1, SLICE_BITS):
+        part = F.shiftright("_draw", DRAW_BITS - bits)
+        # At most 2**SLICE_BITS rows, as the bits above are the same for all.
+        slices = within.groupBy(part.alias("_slice")).agg(F.count(F.lit(1)).alias("_n")).collect()
+        if left is None:
+            left = wanted(sum(r["_n"] for r in slices))
+            if left <= 0:
+                return df.where(F.lit(False))
+        for number, n in sorted((r["_slice"], r["_n"]) for r in slices):
+            if left <= n:
+                break
+            left -= n
+        within = drawn.where(part == number)
+        if n <= SLICE_ROWS:
             break
-        left -= n
-    if left <= 0:
-        return df.where(F.lit(False))
-    last = drawn.where(part == number).orderBy("_draw", id_col).offset(left - 1).limit(1).first()
+    last = within.orderBy("_draw", id_col).offset(left - 1).limit(1).first()
     own = draw(F.col(id_col), seed)
     return df.where((own < last["_draw"]) | ((own == last["_draw"]) & (F.col(id_col) <= last[id_col])))
 
@@ -65,7 +71,7 @@ def subject_fraction(df: DataFrame, frac: float, seed: int = 0) -> DataFrame:
     if frac >= 1.0:
         return df
     subjects = df.where(F.col("subject_id").isNotNull()).select("subject_id").distinct()
-    return _first_by_draw(df, subjects, "subject_id", lambda n: min(n, max(1, int(n * frac))), seed)
+    return first_by_draw(df, subjects, "subject_id", lambda n: min(n, max(1, int(n * frac))), seed)
 
 
 def take_rows(df: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -78,7 +84,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 0, replace: bool = False) ->
     """n rows by ``row_idx``. With replacement, ``row_idx`` must be the dense positions 0..rows-1
     and the result has the draw's number in ``pos``."""
     if not replace:
-        return _first_by_draw(df, df.select("row_idx"), "row_idx", lambda rows: min(n, rows), seed)
+        return first_by_draw(df, df.select("row_idx"), "row_idx", lambda rows: min(n, rows), seed)
     total = df.agg(F.count(F.lit(1)).alias("_n"))
     picks = df.sparkSession.range(n).select(
         F.col("id").alias("pos"), (draw(F.col("id"), seed) % total.scalar()).alias("row_idx")

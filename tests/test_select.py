@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stayline.functions import draw
 from stayline.operators import select as D
 
 
@@ -45,7 +46,12 @@ def test_fraction_of_nothing(rows):
 
 
 @pytest.mark.parametrize("n", [1, 700, 3000, 9000])
-def test_sample_without_replacement(rows, n):
+@pytest.mark.parametrize("slice_rows", [10_000, 1, 0])
+def test_sample_without_replacement(rows, n, slice_rows, monkeypatch):
+    monkeypatch.setattr(D, "SLICE_ROWS", slice_rows)
+    drawn = rows.select("row_idx", draw("row_idx", 1).alias("d")).orderBy("d").limit(n)
+    want = {r.row_idx for r in drawn.collect()}
+    assert {r.row_idx for r in D.sample_rows(rows, n, seed=1).collect()} == want
     got = [r.row_idx for r in D.sample_rows(rows, n, seed=1).collect()]
     assert len(got) == len(set(got)) == min(n, 3000)
 
