@@ -1,7 +1,7 @@
 """Ordered work inside groups of any size.
 
 A window partitioned by a group key gives each group to one task. A group may
-hold a large share of all rows, so the operators here first count the groups.
+hold a large share of all rows, so the operators here first look for such groups.
 If none is above ``limit`` rows the plain window is used: one shuffle. Otherwise
 the large groups are cut into consecutive chunks, the window runs per (group,
 chunk), and totals or neighbours are carried across the chunk borders.
@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .lineage import cut_lineage
 
 HOT_ROWS = 1_000_000  # groups above this many rows are cut
 MAX_CHUNKS = 1024  # about as many chunks at most, whatever the group's size
 OVERSAMPLE = 8  # border candidates per border, which evens out the chunk sizes
+SLOTS = 4096
 SEARCH_STEPS = [1 << b for b in range(13, -1, -1)]
 
 
@@ -34,58 +35,98 @@ def ascending(order: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in order]
 
 
-def _chunk(order: Sequence[str]) -> Column:
-    """How many borders are at or below the row's key, by binary search."""
-    key, borders = sort_key(order), F.col("_borders")
-    found = F.aggregate(
-        F.array(*[F.lit(s) for s in SEARCH_STEPS]),
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(borders)) & (F.get(borders, at + step - 1) <= key), at + step
-        ).otherwise(at),
-    )
-    return F.when(borders.isNull(), F.lit(0)).otherwise(found)
+def hot_groups(df: DataFrame, group: list[str], limit: int) -> DataFrame | None:
+    """(group, _n) of the groups above ``limit`` rows, or None without any: at most rows/limit.
+
+    First all groups are counted together by hash slot, which hardly shuffles; no group can be
+    above the limit in a slot that is not. Groups are then counted one by one in large slots only.
+    """
+    slot = F.pmod(F.xxhash64(*group), F.lit(SLOTS))
+    count = F.count(F.lit(1)).alias("_n")
+    slots = df.groupBy(slot.alias("_slot")).agg(count).where(F.col("_n") > limit)
+    large = [r["_slot"] for r in slots.collect()]
+    if not large:
+        return None
+    within = df if len(large) == SLOTS else df.where(slot.isin(large))
+    hot = within.groupBy(*group).agg(count).where(F.col("_n") > limit).collect()
+    return df.sparkSession.createDataFrame(hot, _schema_of(df, group)) if hot else None
+
 
+def _schema_of(df: DataFrame, group: list[str]) -> T.StructType:
+    return T.StructType([df.schema[g] for g in group]).add("_n", T.LongType())
 
-def _borders(df: DataFrame, group: list[str], order: Sequence[str], hot: DataFrame, limit: int) -> DataFrame:
-    """Sorted chunk borders of the hot groups: every OVERSAMPLE-th of the sampled keys."""
+
+def find_borders(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    limit: int = HOT_ROWS,
+    carry: Sequence[str] = (),
+) -> DataFrame | None:
+    """Chunk borders of the groups above ``limit`` rows, or None without any.
+
+    (group, _borders, _steps, _first): ``_borders`` are the rows (_key, carried
+    columns) that open the second and later chunks, in order; ``_first`` is the
+    group's first row. The tables of hot groups and borders hold at most about
+    rows/limit groups and keys, whatever the data, so they are broadcast.
+    """
+    group = list(group)
+    hot = hot_groups(df, group, limit)
+    if hot is None:
+        return None
     every = F.greatest(
         F.lit(max(1, limit // OVERSAMPLE)).cast("long"),
         F.floor(F.col("_n") / (MAX_CHUNKS * OVERSAMPLE)).cast("long"),
     )
-    return (
-        df.select(*group, sort_key(order).alias("_key"))
+    row = F.struct(sort_key(order).alias("_key"), *carry)
+    sampled = F.when(F.pmod(F.xxhash64("_row._key"), every) == 0, F.col("_row"))
+    borders = (
+        df.select(*group, row.alias("_row"))
         .join(F.broadcast(hot), group)
-        .where(F.pmod(F.xxhash64("_key"), every) == 0)
         .groupBy(*group)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_keys"))
-        .select(*group, F.filter("_keys", lambda k, i: (i + 1) % OVERSAMPLE == 0).alias("_borders"))
+        .agg(F.sort_array(F.collect_list(sampled)).alias("_rows"), F.min("_row").alias("_first"))
+        .withColumn("_borders", F.filter("_rows", lambda r, i: (i + 1) % OVERSAMPLE == 0))
     )
+    powers = F.array(*[F.lit(s) for s in SEARCH_STEPS])
+    steps = F.filter(powers, lambda s: s <= F.size("_borders")).alias("_steps")
+    return F.broadcast(cut_lineage(borders.select(*group, "_borders", steps, "_first")))
+
+
+def chunk_of(order: Sequence[str]) -> Column:
+    """How many borders are at or below the row's key, by binary search; 0 without borders."""
+
+    def search(key: Column) -> Column:
+        return F.aggregate(
+            "_steps",
+            F.lit(0),
+            lambda at, step: F.when(
+                (at + step <= F.size("_borders")) & (F.get("_borders", at + step - 1)["_key"] <= key),
+                at + step,
+            ).otherwise(at),
+        )
+
+    found = F.transform(F.array(sort_key(order)), search)  # makes the key once, not once per step
+    return F.when(F.col("_borders").isNull(), F.lit(0)).otherwise(found[0])
 
 
 def cut_groups(
     df: DataFrame, group: Sequence[str], order: Sequence[str], limit: int = HOT_ROWS
 ) -> tuple[DataFrame, DataFrame | None]:
-    """``df`` with a ``_chunk`` column, and the rows of the cut groups, or None without any.
-
-    Counting the groups is a job on the group columns only. The tables of hot
-    groups and borders hold at most about rows/limit groups and keys, whatever
-    the data, so they are broadcast.
-    """
+    """``df`` with a ``_chunk`` column, and the rows of the cut groups, or None without any."""
     group = list(group)
     if not group:
         cut, hot = cut_groups(df.withColumn("_all", F.lit(0)), ["_all"], order, limit)
         return cut.drop("_all"), hot and hot.drop("_all")
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.where(F.col("_n") > limit)
-    if hot.isEmpty():
+    borders = find_borders(df, group, order, limit)
+    if borders is None:
         return df.withColumn("_chunk", F.lit(0)), None
-    borders = F.broadcast(cut_lineage(_borders(df, group, order, hot, limit)))
-    cut, hot_rows = (
-        df.join(borders, group, how).withColumn("_chunk", _chunk(order)).drop("_borders")
+    cut, hot = (
+        df.join(borders, group, how)
+        .withColumn("_chunk", chunk_of(order))
+        .drop("_borders", "_steps", "_first")
         for how in ("left", "inner")
     )
-    return cut, hot_rows
+    return cut, hot
 
 
 def running(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import decode_labels, transition_vector
 from ..schema import CROSS_STAY, WITHIN_STAY
-from .ordered import HOT_ROWS, ascending, cut_groups, running, sort_key
+from .ordered import HOT_ROWS, ascending, chunk_of, find_borders, running
 
 TIME_ORDER = ["ecg_time", "row_idx"]
 
@@ -22,7 +22,12 @@ def build_pairs(recordings: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     rows = recordings.where(F.col("subject_id").isNotNull()).select(
         "subject_id", "ecg_time", "row_idx", F.col("ecg_no_within_stay").alias("seq"), "fold"
     )
-    cut, hot = cut_groups(rows, ["subject_id"], TIME_ORDER, limit)
+    subject = ["subject_id"]
+    borders = find_borders(rows, subject, TIME_ORDER, limit, ["row_idx", "seq", "fold"])
+    if borders is None:
+        cut = rows.withColumn("_chunk", F.lit(0))
+    else:
+        cut = rows.join(borders, subject, "left").withColumn("_chunk", chunk_of(TIME_ORDER))
     in_time = Window.partitionBy("subject_id", "_chunk").orderBy(*ascending(TIME_ORDER))
     linked = cut.select(
         "subject_id",
@@ -32,10 +37,17 @@ def build_pairs(recordings: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
         F.lead(F.struct("row_idx", "seq")).over(in_time).alias("after"),
         F.first("fold").over(in_time).alias("fold"),
     )
-    if hot is not None:
-        linked = _link_chunks(linked, hot)
+    if borders is not None:
+        # The last row of a chunk is followed by the border row that opens the next one.
+        opening = F.get("_borders", F.col("_chunk"))
+        linked = linked.join(borders, subject, "left").withColumns(
+            {
+                "after": F.coalesce("after", F.struct(opening["row_idx"], opening["seq"])),
+                "fold": F.coalesce("_first.fold", "fold"),
+            }
+        )
     rises = F.col("seq") < F.col("after.seq")
-    return linked.where(F.col("after").isNotNull()).select(
+    return linked.where(F.col("after.row_idx").isNotNull()).select(
         F.col("row_idx").alias("idx_t"),
         F.col("after.row_idx").alias("idx_t1"),
         "subject_id",
@@ -44,25 +56,6 @@ def build_pairs(recordings: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def _link_chunks(linked: DataFrame, hot: DataFrame) -> DataFrame:
-    """Give the last row of a chunk the first row of the next one, and all chunks the first fold."""
-    chunk_order = Window.partitionBy("subject_id").orderBy("_chunk")
-    heads = (
-        hot.groupBy("subject_id", "_chunk")
-        .agg(F.min_by(F.struct("row_idx", "seq", "fold"), sort_key(TIME_ORDER)).alias("head"))
-        .select(
-            "subject_id",
-            "_chunk",
-            F.lead(F.struct("head.row_idx", "head.seq")).over(chunk_order).alias("_next"),
-            F.first("head.fold").over(chunk_order).alias("_first_fold"),
-        )
-    )
-    joined = linked.join(F.broadcast(heads), ["subject_id", "_chunk"], "left")
-    return joined.withColumns(
-        {"after": F.coalesce("after", "_next"), "fold": F.coalesce("_first_fold", "fold")}
-    )
-
-
 def pair_type_counts(pairs: DataFrame) -> DataFrame:
     """Pairs per type."""
     return pairs.groupBy("pair_type").agg(F.count(F.lit(1)).alias("pairs"))
