@@ -14,7 +14,8 @@ from .lineage import cut_lineage
 from .metrics import macro_auroc
 from .ordered import HOT_ROWS, cut_groups, row_positions
 
-BLOCK_ROWS = 4_096  # rows of one class and score range that a task weighs at once
+BLOCK_ROWS = 4_096  # rows of one class and score range that a task gets together
+SLICE_ROWS = 1_024  # rows it weighs at once
 
 
 def _positions(rows: DataFrame, row: str) -> DataFrame:
@@ -51,25 +52,39 @@ def _by_cells(cells, replicates, seed, row, group, limit):
 def _block_sums(replicates: int, names: list[str], schema: pa.Schema):
     """Per replicate: the block's positives, negatives and wins, and the two first of its edge scores."""
 
+    def counts(held: pa.ListArray, rank: np.ndarray, scores: int) -> np.ndarray:
+        slot = np.repeat(rank, held.value_lengths().to_numpy()) * replicates + held.flatten().to_numpy()
+        return np.bincount(slot, minlength=scores * replicates).reshape(scores, replicates).astype(float)
+
     def sums(table: pa.Table) -> pa.Table:
-        score = table["score"].to_numpy()
-        target = table["target"].to_numpy() > 0
+        score, target = table["score"].to_numpy(), table["target"].to_numpy() > 0
         held = table["held"].combine_chunks()
-        scores, rank = np.unique(score, return_inverse=True)
-        drawn = held.flatten().to_numpy()
-        owner = np.repeat(np.arange(len(score)), held.value_lengths().to_numpy())
-        slot = rank[owner] * replicates + drawn
-        shape, size = (len(scores), replicates), len(scores) * replicates
-        pos = np.bincount(slot[target[owner]], minlength=size).reshape(shape).astype(np.float64)
-        neg = np.bincount(slot[~target[owner]], minlength=size).reshape(shape).astype(np.float64)
-        wins = (pos * (np.cumsum(neg, axis=0) - 0.5 * neg)).sum(axis=0)
-        edges = sorted({0, len(scores) - 1})
-        parts = [(None, pos.sum(axis=0), neg.sum(axis=0), wins)]
-        parts += [(scores[e], pos[e], neg[e], np.zeros(replicates)) for e in edges]
+        order = np.argsort(score, kind="stable")
+        pos, neg, wins = (np.zeros(replicates) for _ in range(3))
+        first = last = None  # (score, positives, negatives) of the edge scores
+        for start in range(0, len(order), SLICE_ROWS):
+            rows = order[start : start + SLICE_ROWS]
+            scores, rank = np.unique(score[rows], return_inverse=True)
+            hit = target[rows]
+            p = counts(held.take(pa.array(rows[hit])), rank[hit], len(scores))
+            n = counts(held.take(pa.array(rows[~hit])), rank[~hit], len(scores))
+            below = neg + np.cumsum(n, axis=0) - n
+            if last and last[0] == scores[0]:  # the score goes on from the slice before
+                wins += 0.5 * (last[1] * n[0] - p[0] * last[2])
+                again = (scores[0], last[1] + p[0], last[2] + n[0])
+                first = again if first[0] == scores[0] else first
+            else:
+                again = (scores[0], p[0], n[0])
+                first = first or again
+            last = again if len(scores) == 1 else (scores[-1], p[-1], n[-1])
+            wins += (p * (below + 0.5 * n)).sum(axis=0)
+            pos += p.sum(axis=0)
+            neg += n.sum(axis=0)
+        parts = [(None, pos, neg, wins)]
+        for edge in (first, last) if first[0] != last[0] else (first,):
+            parts.append((*edge, np.zeros(replicates)))
         rows = len(parts) * replicates
-        columns = [
-            pa.array([table[n][0].as_py()] * rows, schema.field(n).type) for n in names
-        ]
+        columns = [pa.array([table[n][0].as_py()] * rows, schema.field(n).type) for n in names]
         edge = pa.array(np.repeat([0.0 if p[0] is None else p[0] for p in parts], replicates))
         total = pa.array(np.repeat([p[0] is None for p in parts], replicates))
         values = [pa.array(np.concatenate([p[i] for p in parts])) for i in (1, 2, 3)]
@@ -87,10 +102,11 @@ def _by_blocks(cells, replicates, seed, row, group, block_rows):
     score, which is then an edge score of both blocks, both are set to one half.
     """
     positions = _positions(cells, row)
+    number = "smallint" if replicates < 2**15 else "int"
     held = (
         _draws(positions, replicates, seed)
         .groupBy("pos")
-        .agg(F.collect_list("replicate").alias("held"))
+        .agg(F.collect_list(F.col("replicate").cast(number)).alias("held"))
         .join(positions, "pos")
         .select(row, "held")
     )

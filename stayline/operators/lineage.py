@@ -7,13 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a fresh local one only without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="stayline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own_folder:
+        _own_folder[app] = tempfile.mkdtemp(prefix="stayline-")
+    return _own_folder[app]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

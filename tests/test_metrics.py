@@ -76,6 +76,7 @@ def replicate_aurocs(cells, replicates, seed):
     "method, limit", [("cells", None), ("cells", 16), ("blocks", None), ("blocks", 16), ("blocks", 2)]
 )
 def test_bootstrap_methods(spark, cells, method, limit):
+    """The block sums themselves run in 1,024-row slices; test_block_slices makes those small."""
     want = replicate_aurocs(cells, 6, 42)
     df = spark.createDataFrame(cells)
     got = B.bootstrap_replicates(df, 6, 42, "row", method=method, limit=limit).orderBy("replicate")
@@ -151,3 +152,31 @@ def test_transition_tasks(spark):
         ("contextual", 1): (0.25, 0),
         ("contextual", 2): (0.5, 1),
     }
+
+
+@pytest.mark.parametrize("slice_rows", [1, 2, 7, 1000])
+def test_block_slices(monkeypatch, slice_rows):
+    import pyarrow as pa
+
+    monkeypatch.setattr(B, "SLICE_ROWS", slice_rows)
+    rng = np.random.default_rng(9)
+    names = ["replicate", "total", "edge", "pos", "neg", "wins"]
+    types = [pa.int32(), pa.bool_(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
+    schema = pa.schema([("class_idx", pa.int32()), *zip(names, types)])
+    for levels in (1, 2, 4, 40):
+        score, target = rng.integers(0, levels, 60) / 8.0, rng.integers(0, 2, 60).astype(float)
+        held = [rng.integers(0, 3, rng.integers(1, 5)).tolist() for _ in range(60)]
+        table = pa.table({"class_idx": pa.array([4] * 60, pa.int32()), "score": score, "target": target, "held": pa.array(held, pa.list_(pa.int16()))})
+        got = B._block_sums(3, ["class_idx"], schema)(table).to_pandas()
+        weight = np.array([np.bincount(h, minlength=3) for h in held])
+        for r in range(3):
+            w, p, n = weight[:, r], target > 0, target <= 0
+            won = (score[p][:, None] > score[n]) + 0.5 * (score[p][:, None] == score[n])
+            mine = got[got.replicate == r]
+            all_rows = mine[mine.total].iloc[0]
+            assert all_rows.wins == pytest.approx((won * np.outer(w[p], w[n])).sum())
+            assert (all_rows.pos, all_rows.neg) == (w[p].sum(), w[n].sum())
+            edges = mine[~mine.total].set_index("edge")
+            assert sorted(edges.index) == sorted({score.min(), score.max()})
+            for e, row in edges.iterrows():
+                assert (row.pos, row.neg) == (w[p & (score == e)].sum(), w[n & (score == e)].sum())
