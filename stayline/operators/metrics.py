@@ -53,6 +53,14 @@ def macro_auroc(
     )
 
 
+def prediction_cells(df: DataFrame, row: str, scores: str, targets: str) -> DataFrame:
+    """Score and target vectors to (row, class_idx, score, target)."""
+    zipped = F.arrays_zip(F.col(scores).alias("score"), F.col(targets).alias("target"))
+    return df.select(row, F.posexplode(zipped).alias("class_idx", "v")).select(
+        row, "class_idx", "v.score", "v.target"
+    )
+
+
 def pair_cells(labelled_pairs: DataFrame) -> DataFrame:
     """Pairs with y_t, y_t1 and a_t vectors to one row per pair and class."""
     zipped = F.arrays_zip("y_t", "y_t1", "a_t")

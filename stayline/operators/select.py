@@ -13,6 +13,7 @@ from .ordered import HOT_ROWS, ascending, row_positions
 TRAIN_LAST_FOLD, VAL_FOLD, TEST_FOLD = 17, 18, 19
 
 SLICE_BITS, SLICE_ROWS = 12, 10_000
+BROADCAST_ROWS = 1_000_000  # (pos, row_idx) requests of 16 bytes
 
 
 def split(df: DataFrame, name: str) -> DataFrame:
@@ -77,7 +78,10 @@ def subject_fraction(df: DataFrame, frac: float, seed: int = 0) -> DataFrame:
 def take_rows(df: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows by position: ``ids`` holds (pos, row_idx), repeats allowed; ordered by pos."""
     cells = df.select("row_idx", *(columns or [c for c in df.columns if c != "row_idx"]))
-    return ids.select("pos", "row_idx").join(cells, "row_idx").orderBy("pos")
+    wanted = ids.select("pos", "row_idx")
+    if ids.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return wanted.join(cells, "row_idx").orderBy("pos")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataFrame:
@@ -89,7 +93,7 @@ def sample_rows(df: DataFrame, n: int, seed: int = 0, replace: bool = False) ->
     picks = df.sparkSession.range(n).select(
         F.col("id").alias("pos"), (draw(F.col("id"), seed) % total.scalar()).alias("row_idx")
     )
-    return picks.join(df, "row_idx")
+    return (F.broadcast(picks) if n <= BROADCAST_ROWS else picks).join(df, "row_idx")
 
 
 def sample_per_group(

@@ -394,6 +394,29 @@ sql(
     LEAD_STATS,
 )
 
+sql(
+    "single_samples",
+    f"""SELECT row_idx, {_text('icd')} AS label, 4::BIGINT AS leads, {_r('waveform[8]::DOUBLE', 'lead_3_step_1')}
+  FROM chosen WHERE seq = 0 AND subject_id IN (FROM kept)""",
+    REC,
+    SIG,
+    "chosen AS (SELECT * FROM sig WHERE fold <= 17)",
+    kept("chosen"),
+)
+sql(
+    "pair_samples",
+    f"""SELECT idx_t, idx_t1, {_text('y_t')} AS y_t, {_text('a_t')} AS a_t,
+  {_r('a.waveform[8]::DOUBLE', 'x_t_lead_3_step_1')}, {_r('b.waveform[61]::DOUBLE', 'x_t1_lead_0_step_15')}
+  FROM chosen c JOIN sig a ON a.row_idx = idx_t JOIN sig b ON b.row_idx = idx_t1
+  WHERE c.subject_id IN (FROM kept)""",
+    REC,
+    SIG,
+    PAIRS,
+    CHANGE,
+    "chosen AS (SELECT * FROM change WHERE fold <= 17 AND pair_type = 'cross_stay')",
+    kept("chosen"),
+)
+
 # Scoring.
 
 sql(
@@ -534,6 +557,20 @@ for name, score, target in (
     sql(name, BY_CLASS, *TEST, scored, auroc("scored"))
     if name == "carry_forward":
         sql("carry_forward_macro", MACRO, *TEST, scored, auroc("scored"))
+sql(
+    "evaluate_predictions",
+    f"SELECT {INTERVAL} FROM (SELECT replicate, avg(auroc) AS m FROM aucs GROUP BY replicate)",
+    REC,
+    SIG,
+    f"""scored AS (
+  SELECT row_idx, class_idx, any_value(icd[class_idx + 1]) AS target, round(1 / (1 + exp(-(
+    sum(waveform[d + 1]::DOUBLE * {weight('class_idx', 'd')}) + {bias('class_idx')}))), 9) AS score
+  FROM sig, {CLASS_LIST}, (SELECT range AS d FROM range(64)) dims
+  WHERE fold = 19 AND seq = 0 GROUP BY row_idx, class_idx)""",
+    draws("scored", "row_idx"),
+    "weighed AS (SELECT * FROM scored JOIN draws USING (row_idx))",
+    auroc("weighed", "replicate", "weight"),
+)
 sql(
     "evaluate_transitions",
     f"SELECT task, {INTERVAL} FROM (SELECT task, replicate, avg(auroc) AS m FROM aucs GROUP BY ALL) GROUP BY task",

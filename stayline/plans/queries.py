@@ -22,7 +22,7 @@ from ..functions import (
     transition_targets,
     zscore_leads,
 )
-from ..operators import assemble, bootstrap, metrics, normality, pairs, quality, scoring, select, signal
+from ..operators import assemble, bootstrap, metrics, normality, pairs, quality, samples, scoring, select, signal
 from ..operators.ordered import row_positions
 from ..sources import tables
 from . import views as V
@@ -40,7 +40,8 @@ def tidy(df: DataFrame) -> DataFrame:
     def plain(f: T.StructField):
         c, t = F.col(f.name), f.dataType
         if isinstance(t, T.ArrayType):
-            c = F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+            whole = isinstance(t.elementType, T.FloatType)  # vectors of 0 and 1
+            c = F.array_join(F.transform(c, lambda x: (x.cast("int") if whole else x).cast("string")), ",")
         elif isinstance(t, T.IntegralType):
             c = c.cast("bigint")
         elif isinstance(t, (T.FloatType, T.DoubleType)):
@@ -385,6 +386,32 @@ def normalization_verdict(spark, sf):
     return signal.normalization_verdict(_stats(spark, sf))
 
 
+@query
+def single_samples(spark, sf):
+    out = samples.single_samples(V.recordings(spark, sf), "train", "triage", 0.3, 0, V.STEPS, V.LEADS)
+    return out.select(
+        "row_idx",
+        "label",
+        F.size("waveform").alias("leads"),
+        F.get(F.get("waveform", F.lit(3)), F.lit(1)).alias("lead_3_step_1"),
+    )
+
+
+@query
+def pair_samples(spark, sf):
+    out = samples.pair_samples(
+        V.pairs(spark, sf), V.recordings(spark, sf), "train", [S.CROSS_STAY], 0.3, 0, V.STEPS, V.LEADS
+    )
+    return out.select(
+        "idx_t",
+        "idx_t1",
+        "y_t",
+        "a_t",
+        F.get(F.get("x_t", F.lit(3)), F.lit(1)).alias("x_t_lead_3_step_1"),
+        F.get(F.get("x_t1", F.lit(0)), F.lit(15)).alias("x_t1_lead_0_step_15"),
+    )
+
+
 # Scoring. Weights follow a rule, so that SQL can repeat them.
 
 
@@ -480,8 +507,7 @@ def linear_probe(spark, sf):
     one_hot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: (c == F.col("label")).cast("int"))
     rows = rows.select("vec_id", "embedding", one_hot.alias("labels"))
     probed = scoring.linear_probe(rows, rows, 10, max_iter=20, reg=0.01)
-    cells = probed.select("vec_id", F.posexplode(F.arrays_zip("probs", "labels")).alias("class_idx", "v"))
-    return metrics.macro_auroc(cells.select("class_idx", F.col("v.probs").alias("score"), F.col("v.labels").alias("target")))
+    return metrics.macro_auroc(metrics.prediction_cells(probed, "vec_id", "probs", "labels"))
 
 
 # Metrics, losses, baselines.
@@ -547,6 +573,17 @@ def resolution_structural(spark, sf):
     return metrics.resolution_structural(metrics.pair_cells(V.test_pairs(spark, sf)))
 
 
+@query
+def evaluate_predictions(spark, sf):
+    """Interval of a linear head on the first recordings of the test stays."""
+    rows = select.select_mode(select.split(V.recordings(spark, sf), "test"), "triage")
+    layer = rule_layer(V.CLASSES, 64)
+    out = scoring.linear_head(rows.select("row_idx", "waveform", "icd"), layer["weight"], layer["bias"], "waveform")
+    out = out.withColumn("probs", F.transform("probs", lambda p: F.round(p, 9)))
+    cells = metrics.prediction_cells(out, "row_idx", "probs", "icd")
+    return bootstrap.bootstrap_auroc(cells, REPLICATES, SEED)
+
+
 @query
 def evaluate_transitions(spark, sf):
     return bootstrap.evaluate_transitions(V.predictions(spark, sf), REPLICATES, SEED)

@@ -105,6 +105,43 @@ def test_pairing_is_one_shuffle_of_narrow_columns(spark, stored):
     assert "waveform" not in text and "icd" not in text
 
 
+def shuffled_rows_of(spark, df, column):
+    """Rows that pass through shuffles of the given column, as the finished plan counted them."""
+    total, seen = 0, set()
+    stack = [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+        for hop in ("executedPlan", "plan"):
+            if node.nodeName() in ("AdaptiveSparkPlan", "ShuffleQueryStage", "ResultQueryStage", "BroadcastQueryStage"):
+                try:
+                    stack.append(getattr(node, hop)())
+                except Exception:
+                    continue
+        if node.nodeName() == "Exchange" and node.id() not in seen and column in node.output().toString():
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+    return total
+
+
+def test_only_paired_recordings_are_shuffled(spark, stored, monkeypatch):
+    chosen = V.pairs(spark, SF).where("fold = 19 AND pair_type = 'cross_stay'")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small = P.fetch_pairs(chosen, stored[1], ["waveform"])
+        rows = small.collect()
+        moved = shuffled_rows_of(spark, small, "waveform")
+        monkeypatch.setattr(P, "BROADCAST_PAIRS", 0)
+        large = P.fetch_pairs(chosen, stored[1], ["waveform"])
+        assert sorted(large.collect()) == sorted(rows) and len(rows) == 25
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert 0 < moved <= 4 * len(rows)
+    assert shuffled_rows_of(spark, large, "waveform") >= stored[1].count()
+
+
 def test_splitting_and_sampling_do_not_shuffle(spark, stored):
     for df in (
         D.subject_fraction(D.split(stored[1], "train"), 0.3),
