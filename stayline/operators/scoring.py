@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.functions import array_to_vector, predict_batch_udf
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -149,20 +150,24 @@ def linear_probe(
     labels: str = "labels",
     max_iter: int = 50,
     reg: float = 0.0,
+    parallelism: int = 4,
 ) -> DataFrame:
     """Fit one logistic model per class on frozen embeddings and append its ``probs`` to ``test``.
 
-    A class with one value only in training predicts that value's rate.
+    ``parallelism`` classes are fitted at a time, from features that are kept
+    meanwhile. A class with one value only in training predicts that value's rate.
     """
     rows = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def fit(c: int):
+        target = F.get(labels, F.lit(c)).cast("double").alias("y")
+        model = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol="y")
+        return model.fit(rows.select("features", target))
+
     try:
-        models = [
-            LogisticRegression(maxIter=max_iter, regParam=reg, labelCol="y").fit(
-                rows.select("features", F.get(labels, F.lit(c)).cast("double").alias("y"))
-            )
-            for c in range(classes)
-        ]
+        with ThreadPool(parallelism) as pool:
+            models = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(classes))
     finally:
         rows.unpersist()
 

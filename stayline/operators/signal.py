@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import LEADS
@@ -16,6 +17,23 @@ from .ordered import HOT_ROWS, running
 PERCENTILES = [1, 5, 25, 50, 75, 95, 99]
 TOLERANCE = 0.05
 
+ROWS_AT_ONCE = 64  # signals widened to float64 together
+
+
+def _moments(x: np.ndarray, sizes: np.ndarray, leads: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population std, (rows, leads), of signals laid end to end; NaN without samples."""
+    if len(sizes) and sizes[0] and sizes[0] % leads == 0 and (sizes == sizes[0]).all():
+        cube = x.reshape(len(sizes), -1, leads)
+        return cube.mean(axis=1), cube.std(axis=1)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    slot = row * leads + at % leads
+    n = np.bincount(slot, minlength=len(sizes) * leads)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.bincount(slot, x, len(n)) / n
+        std = np.sqrt(np.bincount(slot, (x - mean[slot]) ** 2, len(n)) / n)
+    return mean.reshape(-1, leads), std.reshape(-1, leads)
+
 
 def lead_stats(df: DataFrame, leads: int, key: str = "row_idx", signal: str = "waveform") -> DataFrame:
     """(key, lead, mean, std) per recording and lead, population std.
@@ -25,45 +43,39 @@ def lead_stats(df: DataFrame, leads: int, key: str = "row_idx", signal: str = "w
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = batch.column(1)
-            sizes = np.nan_to_num(
-                cells.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)
-            ).astype(np.int64)
-            x = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            at = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            slot = row * leads + at % leads
-            n = np.bincount(slot, minlength=len(sizes) * leads)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = np.bincount(slot, x, len(n)) / n
-                std = np.sqrt(np.bincount(slot, (x - mean[slot]) ** 2, len(n)) / n)
-            keep = n > 0
-            rows = pa.array(np.repeat(np.arange(len(sizes)), leads)[keep])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows),
-                    pa.array(np.tile(np.arange(leads, dtype=np.int32), len(sizes))[keep]),
-                    pa.array(mean[keep]),
-                    pa.array(std[keep]),
-                ],
-                names=[key, "lead", "mean", "std"],
-            )
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                part = part.filter(pc.greater(pc.fill_null(pc.list_value_length(part.column(1)), 0), 0))
+                cells = part.column(1)
+                sizes = cells.value_lengths().to_numpy(zero_copy_only=False)
+                x = cells.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                mean, std = _moments(x, sizes, leads)
+                keep = ~np.isnan(mean.reshape(-1)) | np.repeat(sizes >= leads, leads)
+                rows = pa.array(np.repeat(np.arange(len(sizes)), leads)[keep], pa.int64())
+                lead = np.tile(np.arange(leads, dtype=np.int32), len(sizes))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(rows),
+                        pa.array(lead[keep]),
+                        pa.array(mean.reshape(-1)[keep]),
+                        pa.array(std.reshape(-1)[keep]),
+                    ],
+                    names=[key, "lead", "mean", "std"],
+                )
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, signal).mapInArrow(stats, f"{key} {kind}, lead int, mean double, std double")
 
 
-def percentiles(
-    df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], limit: int = HOT_ROWS
-) -> DataFrame:
-    """Exact percentiles with linear interpolation, one column ``p<point>`` each (2.5: ``p2_5``).
+def _value_counts(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
+    """Rows per distinct value, kept, as the steps that follow read them several times."""
+    present = df.where(F.col(value).isNotNull())
+    return cut_lineage(present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_rows")))
 
-    Equal values are counted before they move, and ranks are running totals over
-    chunks, so no task holds all the values of a group.
-    """
-    counts = (
-        df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_rows"))
-    )
+
+def _percentiles(
+    counts: DataFrame, group: Sequence[str], value: str, points: Sequence[float], limit: int
+) -> DataFrame:
     ranked = running(counts, group, [value], {"_before": F.col("_rows")}, limit)
     sized = counts.groupBy(*group).agg(F.sum("_rows").alias("_n"))
     ranked = ranked.join(F.broadcast(sized), list(group))
@@ -87,12 +99,20 @@ def percentiles(
     return ends.select(*group, *[between(i, p) for i, p in enumerate(points)])
 
 
-def stats_summary(stats: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
-    """Mean, std and percentiles of all lead means and of all lead stds (``stat``).
+def percentiles(
+    df: DataFrame, group: Sequence[str], value: str, points: Sequence[float], limit: int = HOT_ROWS
+) -> DataFrame:
+    """Exact percentiles with linear interpolation, one column ``p<point>`` each (2.5: ``p2_5``).
 
-    ``stats`` is kept first, as the steps below read it several times.
+    Equal values are counted before they move, and ranks are running totals over
+    chunks, so no task holds all the values of a group. For a bounded number of groups.
     """
-    both = cut_lineage(stats).select(
+    return _percentiles(_value_counts(df, group, value), group, value, points, limit)
+
+
+def stats_summary(stats: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+    """Mean, std and percentiles of all lead means and of all lead stds (``stat``)."""
+    both = stats.select(
         F.explode(
             F.array(
                 F.struct(F.lit("mean").alias("stat"), F.col("mean").alias("value")),
@@ -100,10 +120,15 @@ def stats_summary(stats: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
             )
         ).alias("s")
     ).select("s.stat", "s.value")
-    overall = both.groupBy("stat").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
+    counts = _value_counts(both, ["stat"], "value")
+    rows, value = F.col("_rows"), F.col("value")
+    means = counts.groupBy("stat").agg((F.sum(rows * value) / F.sum(rows)).alias("mean"))
+    spread = F.sqrt(F.sum(rows * (value - F.col("mean")) * (value - F.col("mean"))) / F.sum(rows))
+    overall = (
+        counts.join(F.broadcast(means), "stat").groupBy("stat").agg(F.first("mean").alias("mean"), spread.alias("std"))
     )
-    return overall.join(F.broadcast(percentiles(both, ["stat"], "value", PERCENTILES, limit)), "stat")
+    points = _percentiles(counts, ["stat"], "value", PERCENTILES, limit)
+    return overall.join(F.broadcast(points), "stat")
 
 
 def lead_breakdown(stats: DataFrame, names: Sequence[str] = LEADS) -> DataFrame:

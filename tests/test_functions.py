@@ -90,3 +90,13 @@ def test_conform(spark):
     df = spark.range(1).selectExpr("id row_idx", "1L a")
     with pytest.raises(ValueError):
         S.conform(df, S.PAIRS)
+
+
+def test_identities(spark):
+    """decode then encode, and transition then next labels, over all vectors of three classes."""
+    vectors = [[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)]
+    rows = [(y, z) for y in vectors for z in vectors]
+    df = spark.createDataFrame(rows, "y array<tinyint>, z array<tinyint>")
+    df = df.withColumns({"a": fn.transition_vector("y", "z"), "codes": fn.decode_labels("y", VOCAB)})
+    back = df.select("y", "z", fn.next_labels("y", "a").alias("n"), fn.encode_labels("codes", VOCAB).alias("e"))
+    assert all(r.n == r.z and r.e == r.y for r in back.collect())
