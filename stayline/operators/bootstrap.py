@@ -16,6 +16,7 @@ from .ordered import HOT_ROWS, cut_groups, row_positions
 
 BLOCK_ROWS = 4_096  # rows of one class and score range that a task gets together
 SLICE_ROWS = 1_024  # rows it weighs at once
+DRAWS_PER_TASK = 4_000_000
 
 
 def _positions(rows: DataFrame, row: str) -> DataFrame:
@@ -24,9 +25,13 @@ def _positions(rows: DataFrame, row: str) -> DataFrame:
 
 def _draws(positions: DataFrame, replicates: int, seed: int) -> DataFrame:
     """(replicate, pos): draw k = replicate * n + i takes position draw(k) mod n."""
-    n = F.lit(positions.count())
+    rows = positions.count()
+    n = F.lit(rows)
     k = F.col("replicate") * n + F.col("i")
-    return positions.select(
+    # The positions are few and lie together; their draws are many, so they are spread out first.
+    spread = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(spread, rows * replicates // DRAWS_PER_TASK)
+    return positions.repartition(spread, "pos").select(
         F.col("pos").alias("i"),
         F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"),
     ).select("replicate", (draw(k, seed) % n).alias("pos"))
