@@ -78,8 +78,8 @@ def read_metadata(spark, sf):
 
 @query
 def read_recordings(spark, sf):
-    path = V.shared_dir(spark, "read_recordings", sf)
-    tables.write_recordings(V.derive_recordings(spark, sf), path)
+    V.recordings(spark, sf)
+    path = V.shared_dir(spark, "recordings", sf)
     return tables.read_recordings(
         spark, path, ["row_idx", "subject_id", "ecg_time", "fold"], "fold = 19 AND ecg_no_within_stay = 0"
     )
