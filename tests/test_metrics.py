@@ -180,3 +180,25 @@ def test_block_slices(monkeypatch, slice_rows):
             assert sorted(edges.index) == sorted({score.min(), score.max()})
             for e, row in edges.iterrows():
                 assert (row.pos, row.neg) == (w[p & (score == e)].sum(), w[n & (score == e)].sum())
+
+
+def test_evaluate_transitions_methods_agree(spark):
+    rng = np.random.default_rng(11)
+    y, z = rng.integers(0, 2, (80, 3)), rng.integers(0, 2, (80, 3))
+    p, q = np.round(rng.random((80, 3)), 1), np.round(rng.random((80, 3)), 2)
+    rows = [(i * 3, y[i].tolist(), (z - y)[i].tolist(), p[i].tolist(), q[i].tolist()) for i in range(80)]
+    schema = "idx_t long, y_t array<tinyint>, a_t array<tinyint>, onset array<double>, resolution array<double>"
+    df = spark.createDataFrame(rows, schema)
+    ids = np.arange(80) * 3
+    want = {}
+    tasks = {"onset": (p, z - y == 1), "resolution": (q, z - y == -1), "contextual": (y * (1 - q) + (1 - y) * p, z)}
+    for task, (score, target) in tasks.items():
+        cells = pd.DataFrame(
+            {"row": np.repeat(ids, 3), "class_idx": np.tile(range(3), 80), "score": score.ravel(), "target": target.ravel().astype(int)}
+        )
+        want[task] = replicate_aurocs(cells, 4, 5)
+    for method, limit in (("blocks", 10), ("cells", 10), ("blocks", None)):
+        got = {r.task: r for r in B.evaluate_transitions(df, 4, 5, method=method, limit=limit).collect()}
+        for task, aurocs in want.items():
+            assert got[task]["mean"] == pytest.approx(aurocs.mean())
+            assert (got[task].lo, got[task].hi) == pytest.approx(tuple(np.percentile(aurocs, [2.5, 97.5])))
