@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, url_rules
+from . import line_chunks, quality, url_rules
 from .common import table
 
 
@@ -16,4 +16,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_rules, op4_quality_rules)}
+def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_chunks.dedup_line_chunks(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", "text")
+
+
+QUERIES = {f.__name__: f for f in (op3_url_rules, op4_quality_rules, op6_line_chunks)}
