@@ -122,4 +122,59 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines,
 FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.digest = k.digest
 """
 
-ORACLE_SQL = {"op3_url_rules": OP3, "op4_quality_rules": OP4, "op6_line_chunks": OP6}
+OP2 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+    md5('7:doc:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents
+),
+s0 AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source
+),
+s1 AS (SELECT *, CASE pos % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM s0),
+levels(level, n) AS (
+  SELECT CAST(sum(source_size) AS DOUBLE) / sum(weight), 0 FROM s1
+  UNION ALL
+  SELECT (SELECT (sum(source_size) - coalesce(sum(3 * source_size) FILTER (3 * source_size / weight < level), 0)) /
+      CAST(sum(weight) FILTER (3 * source_size / weight >= level) AS DOUBLE) FROM s1), n + 1
+  FROM levels WHERE n < 60
+),
+s AS (SELECT source, source_size, pos, least(3.0 * source_size, (SELECT level FROM levels WHERE n = 60) * weight)::DOUBLE AS target FROM s1),
+shards AS (SELECT greatest(1, CAST(ceil(sum(source_size) / 131072.0) AS BIGINT)) AS n FROM s),
+p AS (
+  SELECT rn, doc_id, size, draw, source_size, target, pos, CAST('0x' || draw[1:8] AS BIGINT) % (SELECT n FROM shards) AS shard
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+),
+a AS (
+  SELECT shard, pos, source_size, target, CAST(sum(size) AS BIGINT) AS words FROM p GROUP BY ALL HAVING sum(size) > 0
+),
+b AS (SELECT *, greatest(1, CAST(round(words / 64.0) AS BIGINT)) AS blocks FROM a),
+v AS (SELECT *, target * blocks / source_size AS votes FROM b),
+q AS (
+  SELECT shard, pos, k, row_number() OVER (PARTITION BY shard ORDER BY votes / (2 * k + 1) DESC, k, pos) AS rank
+  FROM (SELECT shard, pos, votes, unnest(range(0, 3 * blocks + 20)) AS k FROM v)
+),
+seats AS (
+  SELECT shard, pos, count(*) AS won FROM q
+  JOIN (SELECT shard, CAST(round(sum(votes)) AS BIGINT) AS n FROM v GROUP BY shard) USING (shard) WHERE rank <= n GROUP BY ALL
+),
+parts AS (SELECT shard, pos, words, blocks, least(coalesce(won, 0), 3 * blocks) AS seats FROM v LEFT JOIN seats USING (shard, pos)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY shard, pos ORDER BY md5('7:block:' || shard || ':' || pos || ':' || k), k) AS rank
+  FROM (SELECT *, unnest(range(0, blocks)) AS k FROM parts)
+),
+chosen AS (
+  SELECT shard, pos, k * words // blocks AS first, (k + 1) * words // blocks AS last,
+    seats // blocks + CASE WHEN rank <= seats % blocks THEN 1 ELSE 0 END AS passes FROM ranked
+),
+streamed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, pos ORDER BY draw, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM p
+),
+taken AS (
+  SELECT rn, sum(passes * (least(lo + size, last) - greatest(lo, first))) AS taken
+  FROM streamed JOIN chosen c ON streamed.shard = c.shard AND streamed.pos = c.pos AND c.first < lo + size AND c.last > lo AND size > 0
+  GROUP BY rn
+)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN taken USING (rn)
+"""
+
+ORACLE_SQL = {"op2_mixing": OP2, "op3_url_rules": OP3, "op4_quality_rules": OP4, "op6_line_chunks": OP6}

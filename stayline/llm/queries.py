@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_chunks, quality, url_rules
+from . import line_chunks, mixing, quality, url_rules
 from .common import table
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rules_table(spark))
 
@@ -21,4 +26,4 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
-QUERIES = {f.__name__: f for f in (op3_url_rules, op4_quality_rules, op6_line_chunks)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_url_rules, op4_quality_rules, op6_line_chunks)}
