@@ -177,4 +177,38 @@ taken AS (
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM p LEFT JOIN taken USING (rn)
 """
 
-ORACLE_SQL = {"op2_mixing": OP2, "op3_url_rules": OP3, "op4_quality_rules": OP4, "op6_line_chunks": OP6}
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP7 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_ALNUM}') AS ws FROM documents
+),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+),
+phrases AS (
+  SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS phrase
+  FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM phrases),
+places AS (
+  SELECT rn, n, i, array_to_string(ws[i : i + n - 1], ' ') AS phrase
+  FROM (SELECT rn, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)
+),
+hits AS (SELECT rn, i, n, item FROM places JOIN phrases USING (n, phrase)),
+words AS (SELECT rn, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT rn, i, n FROM hits), (SELECT unnest(range(0, 10)) AS o) WHERE o < n GROUP BY rn),
+items AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rn, item FROM hits) GROUP BY rn)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rn) LEFT JOIN items USING (rn)
+"""
+
+ORACLE_SQL = {
+    "op2_mixing": OP2,
+    "op3_url_rules": OP3,
+    "op4_quality_rules": OP4,
+    "op6_line_chunks": OP6,
+    "op7_decontamination": OP7,
+}

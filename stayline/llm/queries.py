@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_chunks, mixing, quality, url_rules
+from . import decontaminate, licenses, line_chunks, mixing, quality, url_rules
 from .common import table
 
 
@@ -26,4 +26,35 @@ def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed_lines", "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_url_rules, op4_quality_rules, op6_line_chunks)}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.license_labels(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+    words = F.transform(F.filter("places", lambda p: p["base"]), lambda p: p["word"])
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        F.size(words).cast("long").alias("n_base"),
+        F.array_min(words).cast("long").alias("first_word"),
+        F.array_max(words).cast("long").alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_mixing, op3_url_rules, op4_quality_rules, op6_line_chunks, op7_decontamination, op8_licenses)
+}
