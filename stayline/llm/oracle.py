@@ -205,10 +205,34 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (rn) LEFT JOIN items USING (rn)
 """
 
+OP9 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_WORD}') AS ws FROM documents
+),
+s AS (
+  SELECT DISTINCT rn, array_to_string(ws[i : i + 3], ' ') AS shingle
+  FROM (SELECT rn, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)
+),
+n AS (SELECT rn, count(*) AS n FROM s GROUP BY rn),
+shared AS (
+  SELECT a.rn AS x, b.rn AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.rn < b.rn GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM shared JOIN n a ON a.rn = x JOIN n b ON b.rn = y WHERE 100 * k >= 85 * (a.n + b.n - k)
+),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (
+  SELECT rn, rn FROM d UNION SELECT reach.x, both_ways.y FROM reach JOIN both_ways ON reach.y = both_ways.x
+),
+least AS (SELECT x AS rn, min(doc_id) AS component_id FROM reach JOIN d ON d.rn = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (rn) LEFT JOIN least USING (rn)
+"""
+
 ORACLE_SQL = {
     "op2_mixing": OP2,
     "op3_url_rules": OP3,
     "op4_quality_rules": OP4,
     "op6_line_chunks": OP6,
     "op7_decontamination": OP7,
+    "op9_jaccard_join": OP9,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, licenses, line_chunks, mixing, quality, url_rules
+from . import decontaminate, jaccard_join, licenses, line_chunks, mixing, quality, url_rules
 from .common import table
 
 
@@ -54,7 +54,11 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_mixing, op3_url_rules, op4_quality_rules, op6_line_chunks, op7_decontamination, op8_licenses)
+    for f in (op2_mixing, op3_url_rules, op4_quality_rules, op6_line_chunks, op7_decontamination, op8_licenses, op9_jaccard_join)
 }
