@@ -87,6 +87,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g LEFT JOIN failed USING (rn)
 """
 
+OP5 = """
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, '0000' || hex(encode(coalesce(text, ''))) AS h FROM documents),
+good AS (
+  SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0
+),
+g AS (SELECT rn, doc_id, substr(h, 2 * i + 1, 6) AS gram FROM (SELECT rn, doc_id, h, unnest(range(0, len(h) // 2 - 2)) AS i FROM d)),
+c AS (
+  SELECT gram, count(*) AS background, count(*) FILTER (doc_id IN (SELECT doc_id FROM good)) AS target FROM g GROUP BY gram
+),
+counts AS (
+  SELECT 't' AS model, gram, CAST(target AS DOUBLE) AS n FROM c
+  UNION ALL
+  SELECT 'b', gram, background * ((SELECT sum(target) FROM c) / CAST((SELECT sum(background) FROM c) AS DOUBLE)) FROM c
+),
+sums AS (
+  SELECT model, gram, n, sum(n) OVER (PARTITION BY model) AS total, sum(n) OVER (PARTITION BY model, substr(gram, 5, 2)) AS n1,
+    sum(n) OVER (PARTITION BY model, substr(gram, 3, 2)) AS c2, sum(n) OVER (PARTITION BY model, substr(gram, 3, 4)) AS n2,
+    sum(n) OVER (PARTITION BY model, substr(gram, 1, 4)) AS c3
+  FROM counts
+),
+loss AS (
+  SELECT model, gram, -ln((n + 16 * (n2 + 16 * ((n1 + 1) / (total + 256))) / (c2 + 16)) / (c3 + 16)) AS loss FROM sums
+),
+per_text AS (
+  SELECT rn, count(*) AS n_tokens, avg(t.loss) AS target_loss, avg(b.loss) AS background_loss
+  FROM g JOIN loss t ON t.gram = g.gram AND t.model = 't' JOIN loss b ON b.gram = g.gram AND b.model = 'b' GROUP BY rn
+)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(target_loss, 0), 6) AS target_loss,
+  round(coalesce(background_loss, 0), 6) AS background_loss, round(coalesce(target_loss - background_loss, 0), 6) AS score
+FROM d LEFT JOIN per_text USING (rn)
+"""
+
 OP6 = f"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, text, md5(coalesce(text, '')) AS digest FROM documents),
 u AS (SELECT DISTINCT doc_id, digest, text FROM d WHERE text IS NOT NULL),
@@ -232,6 +264,7 @@ ORACLE_SQL = {
     "op2_mixing": OP2,
     "op3_url_rules": OP3,
     "op4_quality_rules": OP4,
+    "op5_lm_scoring": OP5,
     "op6_line_chunks": OP6,
     "op7_decontamination": OP7,
     "op9_jaccard_join": OP9,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, licenses, line_chunks, mixing, quality, url_rules
+from . import decontaminate, jaccard_join, licenses, line_chunks, lm_scoring, mixing, quality, url_rules
 from .common import table
 
 
@@ -21,6 +21,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.filter_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scoring.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    values = [F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")]
+    return scored.select("doc_id", "n_tokens", *values)
+
+
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_chunks.dedup_line_chunks(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_removed_lines", "text")
@@ -60,5 +66,5 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_mixing, op3_url_rules, op4_quality_rules, op6_line_chunks, op7_decontamination, op8_licenses, op9_jaccard_join)
+    for f in (op2_mixing, op3_url_rules, op4_quality_rules, op5_lm_scoring, op6_line_chunks, op7_decontamination, op8_licenses, op9_jaccard_join)
 }
