@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, licenses, line_chunks, lm_scoring, mixing, quality, url_rules
+from . import decontaminate, jaccard_join, language_id, licenses, line_chunks, lm_scoring, mixing, pii, quality, url_rules
 from .common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,7 +68,30 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def _joined(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        F.col("id").alias("doc_id"), *counts, F.sha2(_joined("base"), 256).alias("base_sha256"), _joined("spans").alias("spans")
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_mixing, op3_url_rules, op4_quality_rules, op5_lm_scoring, op6_line_chunks, op7_decontamination, op8_licenses, op9_jaccard_join)
+    for f in (
+        op1_language_id,
+        op2_mixing,
+        op3_url_rules,
+        op4_quality_rules,
+        op5_lm_scoring,
+        op6_line_chunks,
+        op7_decontamination,
+        op8_licenses,
+        op9_jaccard_join,
+        op10_personal_data,
+    )
 }
