@@ -11,6 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.ordered import running
 from .common import store
 from .components import components
 from .words import batch_of, in_shards, numbered, plain_words
@@ -24,8 +25,8 @@ SHARED = 4
 LONG_LIST = 64
 #: Long shingles that tasks are told of at most. It only changes the order of shingles, so the cost, not the result.
 MOST_LONG = 1 << 20
-#: Sets that one verifying task holds from either side.
-BLOCK = 512
+#: What one verifying task holds from either side: shingles, each set counting at least so many.
+BLOCK_SHINGLES, SET_COST = 200_000, 400
 
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -246,7 +247,7 @@ def jaccard_components(
     percent: int = PERCENT,
     long_list: int = LONG_LIST,
     shard_words: int = 1 << 19,
-    block: int = BLOCK,
+    block: int = BLOCK_SHINGLES,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -260,7 +261,7 @@ def jaccard_components(
        `SHARED` shingles (or what small sets have) within short prefixes; only these go into the inverted lists.
     2. DivideSkip merges a set's short lists and keeps those that occur often enough. Long lists are not
        merged: a set with `SHARED` or more of them in its prefix is tied to the shingles themselves.
-    3. Components of these ties, which hold every link, are verified: sets in blocks of at most `block`,
+    3. Components of these ties, which hold every link, are verified: sets in blocks of about `block` shingles,
        block against block, by exact overlaps. A pair of blocks returns a spanning forest of its links only.
     4. Components of the links give the result.
 
@@ -330,9 +331,9 @@ def jaccard_components(
 def _verified(sets: DataFrame, percent: int, block: int, schema: pa.Schema) -> DataFrame:
     """Links (a, b) within the parts: blocks of consecutive sizes, each with itself and each later one in reach."""
     total = sets.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
-    by_size = Window.partitionBy("part").orderBy("n", "key")
-    placed = sets.select("key", "part", "n").join(total, "part").where("m > 1")
-    placed = placed.withColumn("own", F.floor((F.row_number().over(by_size) - 1) / block).cast("int"))
+    placed = sets.select("key", "part", "n").join(total, "part").where("m > 1").drop("m")
+    placed = running(placed, ["part"], ["n", "key"], {"before": F.greatest("n", F.lit(SET_COST)).cast("long")})
+    placed = placed.withColumn("own", F.floor(F.col("before") / block).cast("int"))
     ends = placed.groupBy("part", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     left, right = ends.alias("l"), ends.alias("r")
     met = left.join(right, (F.col("l.part") == F.col("r.part")) & (F.col("l.own") <= F.col("r.own"))).where(
