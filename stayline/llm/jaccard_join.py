@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ordered import running
-from .common import store
+from .common import WORD, store
 from .components import components
 from .words import batch_of, in_shards, numbered, plain_words
 
@@ -78,7 +78,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - at_least(n, percent) + needed(n, percent)
 
 
-DOCS_AND_COUNTS = "id {id}, key long, n int, hash long, count int"
+DOCS_AND_COUNTS = "id {id}, digest string, key long, n int, hash long, count int"
 
 
 def set_reader(schema: pa.Schema, ngram: int, shard_words: int):
@@ -91,12 +91,12 @@ def set_reader(schema: pa.Schema, ngram: int, shard_words: int):
             for row, w in zip(rows, words):
                 s = shingle_set(w, hashes, ngram)
                 key = set_key(s) if len(s) else None
-                out.append((row[0], key, len(s), None, None))
+                out.append((row[0], row[2], key, len(s), None, None))
                 sets[key] = s
             once, count = np.unique(np.concatenate(list(sets.values())), return_counts=True)
             often = count > 1
             shared = zip(once[often].view(np.int64).tolist(), count[often].tolist())
-            yield batch_of(out + [(None, None, None, h, c) for h, c in shared], schema)
+            yield batch_of(out + [(None, None, None, None, h, c) for h, c in shared], schema)
 
     return run
 
@@ -251,7 +251,10 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(id, n_shingles, component_id) for each row of `docs`; component_id is the least id reachable by links.
+    """(id, digest, n_shingles, component, component_id) for each row of `docs`.
+
+    component_id is the least id reachable by links, `component` a number of its own for each component
+    (null for texts without words), `digest` the MD5 of the text.
 
     Words are runs without ASCII white space, A-Z lower-cased. A set holds the distinct n-word
     shingles, as 64-bit hashes; fewer words are one shingle. Two texts link when 100 * intersection >=
@@ -279,8 +282,9 @@ def jaccard_components(
         return ddl, arrow_schema(docs, ddl)
 
     ddl, schema = ddl_of(DOCS_AND_COUNTS)
-    read = store(rows.mapInArrow(set_reader(schema, ngram, shard_words), ddl), "join-sets")
-    members = read.where("hash IS NULL").select("id", "key", "n")
+    digested = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
+    read = store(digested.mapInArrow(set_reader(schema, ngram, shard_words), ddl), "join-sets")
+    members = read.where("hash IS NULL").select("id", "digest", "key", "n")
     often = read.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") > long_list)
     known = often.orderBy(F.desc("count"), "hash").limit(MOST_LONG).select("hash").toArrow()["hash"].to_numpy()
     long = np.sort(known.astype(np.int64).view(np.uint64))
@@ -320,10 +324,12 @@ def jaccard_components(
     classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
     classes = classes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = classes.join(least, "root").select("key", "component_id")
+    of_class = classes.join(least, "root").select("key", "root", "component_id")
     return members.join(of_class, "key", "left").select(
         F.col("id").alias(id_col),
+        "digest",
         F.col("n").cast("long").alias("n_shingles"),
+        F.col("root").alias("component"),
         F.coalesce(F.when(F.col("key").isNotNull(), F.col("component_id")), F.col("id")).alias("component_id"),
     )
 
@@ -344,3 +350,24 @@ def _verified(sets: DataFrame, percent: int, block: int, schema: pa.Schema) -> D
     dealt = placed.select("key", "part", "own").join(by_block, ["part", "own"])
     dealt = dealt.join(sets.select("key", "shingles"), "key").select("part", "first", "second", "own", "key", "shingles")
     return dealt.groupBy("part", "first", "second").applyInArrow(verifier(percent, schema), "a long, b long")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` less those that link, directly or through others, to a row that stays.
+
+    Of each component the row with the least id stays, nulls last; of equal ids the one with the least
+    text digest; of rows equal in both any one. Texts without words link with nothing and stay.
+    """
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "digest")
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("first"))
+    stay = first.select(F.col("first.id").alias("_id"), F.col("first.digest").alias("_digest"))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(id_col).alias("_own"),
+        F.md5(F.coalesce(text_col, F.lit(""))).alias("_key"),
+        F.rlike(F.coalesce(text_col, F.lit("")), F.lit(WORD)).alias("_words"),
+    )
+    kept = rows.where("_words").join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
+    kept = kept.dropDuplicates(["_own", "_key"]).unionAll(rows.where("NOT _words"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -173,6 +173,39 @@ def predictor(tagger: Tagger | None, schema: pa.Schema):
     return run
 
 
+def row_filter(tagger: Tagger | None, text: int, min_score: float):
+    """Batches less their rejected rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = predictor(tagger, pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("lang", pa.string()), ("score", pa.float64())]))
+        for batch in batches:
+            n = len(batch)
+            asked = pa.RecordBatch.from_arrays(
+                [pa.array(range(n), pa.int64()), pa.nulls(n, pa.bool_()), batch.column(text)], names=["id", "held", "text"]
+            )
+            (found,) = predict(iter([asked]))
+            kept = [lang != UNDETERMINED and score >= min_score for lang, score in zip(found["lang"].to_pylist(), found["score"].to_pylist())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return run
+
+
+def keep_identified(
+    docs: DataFrame,
+    min_score: float = 0.4,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    per_language: int = SAMPLE_DOCS,
+    seed: int = 3,
+) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language of at least `min_score`; see `identify_languages`."""
+    tagger = train(training_windows(docs, id_col, text_col, lang_col, per_language, seed), seed=seed)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    kept = plain.mapInArrow(row_filter(tagger, docs.columns.index(text_col), min_score), plain.schema)
+    return kept.toDF(*docs.columns)
+
+
 def identify_languages(
     docs: DataFrame,
     id_col: str = "doc_id",

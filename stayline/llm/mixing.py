@@ -85,7 +85,7 @@ def mix_sources(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """(id, source, size, source_size, target, taken) for each row of `docs`.
+    """(id, digest, source, size, source_size, target, taken) for each row of `docs`; `digest` is the MD5 of the text.
 
     Documents are dealt to shards of about `shard_words` words by a keyed hash of their id. In a shard
     the words of a source, documents in hash order, are cut into equal blocks of about `block_words`.
@@ -94,11 +94,12 @@ def mix_sources(
     document's words in them. Never more than `max_passes` passes: a seat beyond stays empty.
 
     Null or empty texts have size 0 and take 0. A null source is a source, the last in order. Rows with
-    equal id, source and size are interchangeable, so repeated rows and null ids leave the result
+    equal id, source and text are interchangeable, so repeated rows and null ids leave the result
     defined. An empty table gives no rows.
     """
     sizes = docs.select(
         F.col(id_col).alias("id"),
+        F.md5(F.coalesce(text_col, F.lit(""))).alias("digest"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     )
@@ -109,7 +110,7 @@ def mix_sources(
 
     placed = (
         sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]))
-        .select("id", sizes["source"], "size", "source_size", "target", "pos", draw(seed, "doc", F.col("id")).alias("draw"))
+        .select("id", "digest", sizes["source"], "size", "source_size", "target", "pos", draw(seed, "doc", F.col("id")).alias("draw"))
         .withColumn("shard", low_bits(F.col("draw")) % shards)
     )
     parts = placed.groupBy("shard", "pos", "source_size", "target").agg(F.sum("size").alias("words")).where("words > 0")
@@ -131,7 +132,7 @@ def mix_sources(
         F.transform(F.sort_array(F.collect_list(F.struct("block", passes.cast("int").alias("passes")))), lambda b: b["passes"]).alias("passes")
     )
 
-    in_order = Window.partitionBy("shard", "pos").orderBy("draw", F.col("id").asc_nulls_last(), "size")
+    in_order = Window.partitionBy("shard", "pos").orderBy("draw", F.col("id").asc_nulls_last(), "size", "digest")
     streamed = placed.withColumn("at", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
     streamed = streamed.withColumn("at", F.coalesce("at", F.lit(0))).join(chosen, ["shard", "pos"], "left")
     taken = F.expr(
@@ -143,9 +144,27 @@ def mix_sources(
     )
     return streamed.select(
         F.col("id").alias(id_col),
+        "digest",
         F.col("source").alias(source_col),
         "size",
         "source_size",
         "target",
         F.when(F.col("size") > 0, taken).otherwise(0).cast("long").alias("taken"),
     )
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` that the mix takes words of, with `taken`; see `mix_sources`.
+
+    Rows equal in id and text become one, with the sum of what is taken of them.
+    """
+    mixed = mix_sources(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
+    mixed = mixed.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.sum("taken").alias("_taken"))
+    columns = [c for c in docs.columns if c != "taken"]
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
+        F.col(id_col).alias("_own"),
+        F.md5(F.coalesce(text_col, F.lit(""))).alias("_key"),
+    ).dropDuplicates(["_own", "_key"])
+    met = rows.join(mixed, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")))
+    return met.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], F.col("_taken").alias("taken"))

@@ -156,7 +156,7 @@ FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.digest = k.di
 
 OP2 = f"""
 WITH RECURSIVE d AS (
-  SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+  SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(text, '')) AS digest,
     md5('7:doc:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents
 ),
 s0 AS (
@@ -173,7 +173,7 @@ levels(level, n) AS (
 s AS (SELECT source, source_size, pos, least(3.0 * source_size, (SELECT level FROM levels WHERE n = 60) * weight)::DOUBLE AS target FROM s1),
 shards AS (SELECT greatest(1, CAST(ceil(sum(source_size) / 131072.0) AS BIGINT)) AS n FROM s),
 p AS (
-  SELECT rn, doc_id, size, draw, source_size, target, pos, CAST('0x' || draw[1:8] AS BIGINT) % (SELECT n FROM shards) AS shard
+  SELECT rn, doc_id, size, digest, draw, source_size, target, pos, CAST('0x' || draw[1:8] AS BIGINT) % (SELECT n FROM shards) AS shard
   FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
 ),
 a AS (
@@ -199,7 +199,7 @@ chosen AS (
     seats // blocks + CASE WHEN rank <= seats % blocks THEN 1 ELSE 0 END AS passes FROM ranked
 ),
 streamed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, pos ORDER BY draw, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM p
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY shard, pos ORDER BY draw, doc_id NULLS LAST, size, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM p
 ),
 taken AS (
   SELECT rn, sum(passes * (least(lo + size, last) - greatest(lo, first))) AS taken
