@@ -74,6 +74,7 @@ def dedup_line_chunks(
     repeated = (
         found.groupBy("chunk").agg(F.min(place).alias("holder"), F.max(place).alias("last")).where("holder != last").drop("last")
     )
+    repeated = store(repeated, "line-repeated")  # a plain side lets the join below split a hot chunk
     candidates = (
         found.join(repeated, "chunk")
         .groupBy("_id", "_digest")
