@@ -140,16 +140,15 @@ def select_cutoffs(
     sums = [
         F.sum(F.when(r.value() > c, 1).otherwise(0)).alias(f"{r.name}_{i}") for r in rules for i, c in enumerate(r.cutoffs)
     ]
-    counts = holdout.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    counts = store(holdout.groupBy(F.col(stratum_col).alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *sums), "quality-holdout")
     entries = [
         F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), F.col(f"{r.name}_{i}").alias("k"))
         for r in rules
         for i, c in enumerate(r.cutoffs)
     ]
-    strata = counts.agg(F.count(F.lit(1)).alias("strata"))
-    tests = counts.join(strata).select("stratum", "n", "strata", F.inline(F.array(*entries)))
+    tests = counts.select("stratum", "n", F.inline(F.array(*entries)))
     p_value = binomial_tail(F.col("k"), F.col("n"), max_false_rejection / len(rules))
-    proven = (p_value <= error / (len(rules) * F.col("strata"))).cast("int")
+    proven = (p_value <= error / (len(rules) * max(1, counts.count()))).cast("int")
     in_order = Window.partitionBy("stratum", "rule").orderBy("step")
     return (
         tests.withColumn("proven", F.min(proven).over(in_order))
@@ -186,7 +185,6 @@ def filter_quality(
         labels.where("quality IS NOT NULL").groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality")).where("quality = 1")
     )
     holdout = counts.where("NOT base_failed").join(good, "id", "left_semi")
-    # one row for each stratum, read by one more small job
     cutoffs = select_cutoffs(holdout, "stratum", rules, max_false_rejection, error)
     by_stratum = cutoffs.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r.name, F.col("cutoff"))).alias(f"cut_{r.name}") for r in rules])
     failed = F.filter(
