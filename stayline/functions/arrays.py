@@ -29,10 +29,10 @@ def reshape_frames(flat: Column | str, leads: int) -> Column:
 
 
 def lead_major(flat: Column | str, steps: int, leads: int) -> Column:
-    """Flat time-major signal to ``leads`` arrays of ``steps`` samples, for short signals."""
+    """Flat time-major signal to ``leads`` arrays of ``steps`` samples; null unless it has steps * leads values."""
     flat = _column(flat)
     return F.when(
-        flat.isNotNull(),
+        F.size(flat) == steps * leads,
         F.transform(
             F.sequence(F.lit(0), F.lit(leads - 1)),
             lambda lead: F.transform(
@@ -42,17 +42,12 @@ def lead_major(flat: Column | str, steps: int, leads: int) -> Column:
     )
 
 
-def _rows(column: pa.Array) -> np.ndarray:
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    return values.reshape(len(column) - column.null_count, -1)
-
-
-def _nested(cube: np.ndarray, present: np.ndarray) -> pa.Array:
-    """(n, L, T) values as list<list<float>>, null where a row is not present."""
+def _nested(cube: np.ndarray, missing: np.ndarray | None, present: np.ndarray) -> pa.Array:
+    """(n, L, T) values as list<list<float>>, null where a row is not present or a value is missing."""
     n, leads, steps = cube.shape
     inner = pa.ListArray.from_arrays(
         pa.array(np.arange(n * leads + 1) * steps, pa.int32()),
-        pa.array(cube.reshape(-1), pa.float32()),
+        pa.array(cube.reshape(-1), pa.float32(), mask=None if missing is None else missing.reshape(-1)),
     )
     starts = np.concatenate([[0], np.cumsum(present * leads)])
     bounds = pa.array(starts, pa.int32(), mask=np.append(~present, False))
@@ -60,22 +55,30 @@ def _nested(cube: np.ndarray, present: np.ndarray) -> pa.Array:
 
 
 def lead_major_batch(steps: int, leads: int, zscore: bool = False):
-    """The same layout for long signals: whole Arrow batches, one NumPy transposition each.
+    """The same layout, by the same rules, for long signals: whole Arrow batches, one NumPy transposition each.
 
-    With ``zscore`` each lead is centred and divided by max(sample std, 1e-6).
+    With ``zscore`` each lead is centred and divided by max(sample std, 1e-6); a lead that misses a value is all null.
     """
 
     @F.arrow_udf("array<array<float>>")
     def turn(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
-            present = column.is_valid().to_numpy(zero_copy_only=False)
-            cube = _rows(column).reshape(-1, steps, leads).transpose(0, 2, 1)
+            lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            present = lengths == steps * leads
+            values = column.filter(pa.array(present)).flatten()
+
+            def by_lead(flat: np.ndarray) -> np.ndarray:
+                return np.ascontiguousarray(flat.reshape(-1, steps, leads).transpose(0, 2, 1))
+
+            cube = by_lead(values.to_numpy(zero_copy_only=False))
+            missing = by_lead(values.is_null().to_numpy(zero_copy_only=False)) if values.null_count else None
             if zscore:
                 wide = cube.astype(np.float64)
                 centred = wide - wide.mean(axis=2, keepdims=True)
                 spread = wide.std(axis=2, ddof=1, keepdims=True)
                 cube = centred / np.maximum(spread, 1e-6)
-            yield _nested(np.ascontiguousarray(cube, dtype=np.float32), present)
+                missing = missing if missing is None else missing.any(axis=2, keepdims=True) | np.zeros_like(missing)
+            yield _nested(np.ascontiguousarray(cube, dtype=np.float32), missing, present)
 
     return turn
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.arrays import flatten_frames
 from ..functions.labels import decode_labels, encode_labels
 from ..schema import RECORDINGS, conform
-from .ordered import HOT_ROWS, row_positions
+from .ordered import positions_joined
 
 
 def assemble_recordings(
@@ -31,9 +31,9 @@ def assemble_recordings(
     return conform(rows, RECORDINGS)
 
 
-def with_row_index(df: DataFrame, order_by: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
+def with_row_index(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Add ``row_idx``, the dense 0-based position in ``order_by``, which must order all rows."""
-    return row_positions(df, [], order_by, "row_idx", limit)
+    return positions_joined(df, order_by, "row_idx")
 
 
 def add_label_column(df: DataFrame, name: str, vocab: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.hashing import draw
 from ..functions.labels import contextual_prediction, next_labels, transition_targets
@@ -119,14 +120,14 @@ def _by_blocks(cells, replicates, seed, row, group, block_rows):
     narrow = cells.select(
         *keys, row, F.col("score").cast("double").alias("score"), F.col("target").cast("double").alias("target")
     )
-    cut, _ = cut_groups(narrow, keys, ["score", row], block_rows)
+    cut, _ = cut_groups(narrow.where("target IS NOT NULL"), keys, ["score", row], block_rows)
     names = [*keys, "_chunk"]
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
     out = ", ".join(f"{n} {kinds[n]}" for n in names)
     out += ", replicate int, total boolean, edge double, pos double, neg double, wins double"
-    arrow = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "tinyint": pa.int8()}
+    key_schema = to_arrow_schema(cut.select(*names).schema)
     schema = pa.schema(
-        [(n, arrow[kinds[n]]) for n in names]
+        [(n, key_schema.field(n).type) for n in names]
         + [("replicate", pa.int32()), ("total", pa.bool_()), ("edge", pa.float64())]
         + [(n, pa.float64()) for n in ("pos", "neg", "wins")]
     )

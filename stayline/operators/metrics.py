@@ -16,14 +16,14 @@ def auroc_by_class(
 ) -> DataFrame:
     """AUROC per class from (class_idx, score, target); ties count one half.
 
-    Classes with a single target value are left out. Rows of equal score are
+    Rows without a target and classes with a single target value are left out. Rows of equal score are
     summed before they move and the sums are kept, so that scores which come
     from a model are computed once; the ranks are running totals.
     """
     keys = [*group, "class_idx"]
     w = F.col(weight) if weight else F.lit(1).cast("long")
     positive = F.col("target") > 0
-    counts = cells.groupBy(*keys, "score").agg(
+    counts = cells.where("target IS NOT NULL").groupBy(*keys, "score").agg(
         F.sum(F.when(positive, w).otherwise(0)).alias("pos"),
         F.sum(F.when(positive, 0).otherwise(w)).alias("neg"),
     )

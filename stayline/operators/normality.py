@@ -85,7 +85,7 @@ def slice_statistics(
         cos, sin = np.zeros((slices, len(points))), np.zeros((slices, len(points)))
         for batch in batches:
             cells = batch.column(0).drop_null()
-            x = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(cells), -1) @ across
+            x = cells.flatten().to_numpy(zero_copy_only=False).reshape(len(cells), len(across)) @ across
             n += len(x)
             for i, (t, _, _) in enumerate(points):
                 cos[:, i] += np.cos(x * t).sum(axis=0)

@@ -17,13 +17,13 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .lineage import cut_lineage
+from .lineage import cut_lineage, store
 
 HOT_ROWS = 1_000_000  # groups above this many rows are cut
-MAX_CHUNKS = 1024  # about as many chunks at most, whatever the group's size
 OVERSAMPLE = 8  # border candidates per border, which evens out the chunk sizes
 SLOTS = 4096
-SEARCH_STEPS = [1 << b for b in range(13, -1, -1)]
+SEARCH_STEPS = [1 << b for b in range(30, -1, -1)]
+IN_PARTITION_BITS = 33  # of the ids that Spark numbers rows with: partition above, row in it below
 
 
 def sort_key(order: Sequence[str]) -> Column:
@@ -68,28 +68,26 @@ def find_borders(
     (group, _borders, _steps, _first): ``_borders`` are the rows (_key, carried
     columns) that open the second and later chunks, in order; ``_first`` is the
     group's first row. The tables of hot groups and borders hold at most about
-    rows/limit groups and keys, whatever the data, so they are broadcast.
+    rows/limit groups and keys. They are stored, so the optimizer knows their
+    size and broadcasts them while they are small.
     """
     group = list(group)
     hot = hot_groups(df, group, limit)
     if hot is None:
         return None
-    every = F.greatest(
-        F.lit(max(1, limit // OVERSAMPLE)).cast("long"),
-        F.floor(F.col("_n") / (MAX_CHUNKS * OVERSAMPLE)).cast("long"),
-    )
+    every = F.lit(max(1, limit // OVERSAMPLE)).cast("long")
     row = F.struct(sort_key(order).alias("_key"), *carry)
     sampled = F.when(F.pmod(F.xxhash64("_row._key"), every) == 0, F.col("_row"))
     borders = (
         df.select(*group, row.alias("_row"))
-        .join(F.broadcast(hot), group)
+        .join(hot, group)
         .groupBy(*group)
         .agg(F.sort_array(F.collect_list(sampled)).alias("_rows"), F.min("_row").alias("_first"))
         .withColumn("_borders", F.filter("_rows", lambda r, i: (i + 1) % OVERSAMPLE == 0))
     )
     powers = F.array(*[F.lit(s) for s in SEARCH_STEPS])
     steps = F.filter(powers, lambda s: s <= F.size("_borders")).alias("_steps")
-    return F.broadcast(cut_lineage(borders.select(*group, "_borders", steps, "_first")))
+    return cut_lineage(borders.select(*group, "_borders", steps, "_first"))
 
 
 def chunk_of(order: Sequence[str]) -> Column:
@@ -139,8 +137,13 @@ def running(
     """Add, per name, the sum of the expression over the earlier rows of the group.
 
     All columns of ``df`` move with the shuffle: pass narrow ones and join wide cells later.
+    Without a group the rows are dealt by ranges of their order, whatever their number.
     """
     group, names = list(group), list(totals)
+    if taken := set(names) & set(df.columns):
+        raise ValueError(f"columns exist already: {sorted(taken)}")
+    if not group:
+        return _running_over_all(df, order, totals)
     valued = df.withColumns({f"_v_{n}": e for n, e in totals.items()})
     cut, hot = cut_groups(valued, group, order, limit)
     zero = F.lit(0)
@@ -159,12 +162,31 @@ def running(
             "_chunk",
             *[before(group, [F.col("_chunk")], f"_c_{n}").alias(f"_o_{n}") for n in names],
         )
-        summed = summed.join(F.broadcast(offsets), [*group, "_chunk"], "left").withColumns(
+        summed = summed.join(offsets, [*group, "_chunk"], "left").withColumns(
             {n: F.col(n) + F.coalesce(F.col(f"_o_{n}"), zero) for n in names}
         )
     return summed.select(*df.columns, *names)
 
 
+def _running_over_all(df: DataFrame, order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
+    """Running totals over all rows: sums inside the partitions of a range partitioning, then their offsets.
+
+    The partitions are stored, so that both steps see the same ones; only one row of each meets in one task.
+    """
+    names = list(totals)
+    ranged = df.withColumns({f"_v_{n}": e for n, e in totals.items()}).repartitionByRange(*ascending(order))
+    numbered = ranged.sortWithinPartitions(*ascending(order)).withColumn("_row", F.monotonically_increasing_id())
+    kept = store(numbered, "ranged").withColumn("_part", F.shiftright("_row", IN_PARTITION_BITS))
+    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    parts = kept.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", *[F.coalesce(F.sum(f"_c_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names])
+    summed = kept.join(store(offsets, "offsets"), "_part").withColumns(
+        {n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.col(f"_o_{n}") for n in names}
+    )
+    return summed.select(*df.columns, *names)
+
+
 def row_positions(
     df: DataFrame,
     group: Sequence[str],
@@ -174,3 +196,20 @@ def row_positions(
 ) -> DataFrame:
     """Add the dense 0-based position of each row in its group."""
     return running(df, group, order, {name: F.lit(1).cast("long")}, limit)
+
+
+def positions_joined(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Positions over all rows of a table with wide cells: only the order key, which must be unique, is
+    ranged; the cells move once, to meet their position."""
+    wide = [f.name for f in df.schema if isinstance(f.dataType, (T.ArrayType, T.MapType, T.BinaryType)) and f.name not in order]
+    if not wide:
+        return row_positions(df, [], order, name)
+    if name in df.columns:
+        raise ValueError(f"columns exist already: {[name]}")
+    keys = {f"_k{i}": F.col(c) for i, c in enumerate(order)}
+    placed = row_positions(df.select(*[c.alias(k) for k, c in keys.items()]), [], list(keys), name)
+    same = [c.eqNullSafe(F.col(k)) for k, c in keys.items()]
+    met = same[0]
+    for s in same[1:]:
+        met = met & s
+    return df.join(placed, met).select(*df.columns, name)

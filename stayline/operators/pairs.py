@@ -11,7 +11,6 @@ from ..schema import CROSS_STAY, WITHIN_STAY
 from .ordered import HOT_ROWS, ascending, chunk_of, find_borders, running
 
 TIME_ORDER = ["ecg_time", "row_idx"]
-BROADCAST_PAIRS = 1_000_000  # at most twice as many ids of eight bytes
 
 
 def build_pairs(recordings: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
@@ -128,14 +127,12 @@ def fetch_pairs(
 ) -> DataFrame:
     """Bring ``columns`` of both ends to each pair, as ``<name>_t`` and ``<name>_t1``.
 
-    The ids of up to BROADCAST_PAIRS pairs are broadcast, so recordings outside
-    the pairs are dropped before their cells move. Both joins are on ``row_idx``
-    and share one shuffle of the cells; a table bucketed by it needs none.
-    Store the pairs first, as they are counted and then read again.
+    Recordings outside the pairs are dropped by their ids first: stored pairs of a known small size are
+    broadcast for it, and larger ones are met where the cells are shuffled by ``row_idx`` anyway. Both
+    joins read that one shuffle; a table bucketed by ``row_idx`` needs none. What the first join found
+    moves once more, to the later end of its pair.
     """
     members = pairs.select(F.explode(F.array("idx_t", "idx_t1")).alias("row_idx")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        members = F.broadcast(members)
     cells = recordings.select("row_idx", *columns).join(members, "row_idx", "left_semi")
 
     def end(suffix: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.labels import encode_labels
 from ..schema import CROSS_STAY, WITHIN_STAY
+from .lineage import store
 from .ordered import HOT_ROWS
 from .pairs import assign_stays, fetch_pairs
 from .select import TEST_FOLD, TRAIN_LAST_FOLD, VAL_FOLD, first_by_draw
@@ -85,23 +86,35 @@ def compare_tables(
 ) -> DataFrame:
     """Keys whose cells differ: ``only_a``, ``only_b`` or the first differing column.
 
-    With ``n`` the comparison covers n keys of ``a`` drawn by hash; other rows do not move.
+    Rows are compared by digests; cells move for keys whose digests differ only. With ``n`` the
+    comparison covers n keys of ``a`` drawn by hash; other rows do not move.
     """
     if n is not None:
         keys = a.select(key)
         a, b = (first_by_draw(t, keys, key, lambda rows: min(n, rows), seed) for t in (a, b))
-    left = a.select(key, F.struct(*cols).alias("_a"))
-    right = b.select(key, F.struct(*cols).alias("_b"))
-    differs = F.when(F.col("_b").isNull(), "only_a").when(F.col("_a").isNull(), "only_b")
+    digests = [_digested(t, key, cols, side) for t, side in ((a, "a"), (b, "b"))]
+    found = digests[0].join(digests[1], key, "full_outer")
+    differs = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_a") != F.col("_b"))
+    found = store(found.where(differs).select(key, F.col("_a").isNull().alias("_no_a"), F.col("_b").isNull().alias("_no_b")), "differing")
+    left = a.join(found.select(key), key, "left_semi").select(key, F.struct(*cols).alias("_a"))
+    right = b.join(found.select(key), key, "left_semi").select(key, F.struct(*cols).alias("_b"))
+    difference = F.when(F.col("_no_b"), "only_a").when(F.col("_no_a"), "only_b")
     for c in cols:
-        differs = differs.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c)
+        difference = difference.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c)
     return (
-        left.join(right, key, "full_outer")
-        .select(key, differs.alias("difference"))
+        found.join(left, key, "left")
+        .join(right, key, "left")
+        .select(key, difference.alias("difference"))
         .where(F.col("difference").isNotNull())
     )
 
 
+def _digested(df: DataFrame, key: str, cols: Sequence[str], side: str) -> DataFrame:
+    """(key, two 64-bit hashes of the cells), so that equal rows move as 16 bytes."""
+    cells = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
+    return df.select(key, F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *reversed(cells))).alias(f"_{side}"))
+
+
 def check_reencode(df: DataFrame, vocab: Sequence[str], vec: str = "icd", key: str = "row_idx") -> DataFrame:
     """Rows whose stored vector is not the encoding of their codes."""
     again = encode_labels("icd_raw", vocab)

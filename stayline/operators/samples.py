@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.arrays import lead_major, lead_major_batch
+from ..functions.arrays import lead_major_batch
 from ..functions.labels import transition_vector
 from ..schema import CROSS_STAY, WITHIN_STAY
 from .pairs import fetch_pairs, filter_pairs
@@ -14,13 +14,6 @@ from .select import select_mode, split, subject_fraction
 
 # Samples per lead and leads of a full recording.
 STEPS, LEADS = 5000, 12
-SHORT_SIGNAL = 4096  # values up to which array expressions beat a trip to Python
-
-
-def _by_lead(signal: str, steps: int, leads: int) -> Column:
-    if steps * leads <= SHORT_SIGNAL:
-        return lead_major(signal, steps, leads)
-    return lead_major_batch(steps, leads)(signal)
 
 
 def _as_float(vec: str) -> Column:
@@ -42,7 +35,7 @@ def single_samples(
         rows = subject_fraction(rows, train_frac, seed)
     return select_mode(rows, mode).select(
         "row_idx",
-        _by_lead("waveform", steps, leads).alias("waveform"),
+        lead_major_batch(steps, leads)("waveform").alias("waveform"),
         _as_float("icd").alias("label"),
     )
 
@@ -61,11 +54,12 @@ def pair_samples(
     chosen = filter_pairs(pairs, split_name, pair_types)
     if split_name == "train":
         chosen = subject_fraction(chosen, train_frac, seed)
+    by_lead = lead_major_batch(steps, leads)
     return fetch_pairs(chosen, recordings, ["waveform", "icd"]).select(
         "idx_t",
         "idx_t1",
-        _by_lead("waveform_t", steps, leads).alias("x_t"),
-        _by_lead("waveform_t1", steps, leads).alias("x_t1"),
+        by_lead("waveform_t").alias("x_t"),
+        by_lead("waveform_t1").alias("x_t1"),
         _as_float("icd_t").alias("y_t"),
         transition_vector("icd_t", "icd_t1").alias("a_t"),
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from multiprocessing.pool import ThreadPool
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.functions import array_to_vector, predict_batch_udf
-from pyspark.ml.classification import LogisticRegression
+import pyarrow as pa
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .lineage import store
+
 
 def score(
     df: DataFrame,
@@ -23,7 +24,8 @@ def score(
 ) -> DataFrame:
     """Append ``out`` = predict(batch). ``make_predict`` loads the model, once per Python worker.
 
-    ``shapes`` gives the shape of each array input, without the batch dimension.
+    ``shapes`` gives the shape of each array input, without the batch dimension. A row with a null
+    input, or an array of another size, takes part as zeros and its result is null.
     """
     kind = T._parse_datatype_string(out_type) if isinstance(out_type, str) else out_type
     udf = predict_batch_udf(
@@ -32,7 +34,15 @@ def score(
         batch_size=batch_size,
         input_tensor_shapes=[list(s) for s in shapes] if shapes else None,
     )
-    scored = df.withColumn(out, udf(*[F.col(c) for c in in_cols]))
+    inputs, whole = [], F.lit(True)
+    for i, c in enumerate(in_cols):
+        sound, blank = F.col(c).isNotNull(), F.lit(0)
+        if shapes:
+            size = math.prod(shapes[i])
+            sound, blank = F.coalesce(F.size(c) == size, F.lit(False)), F.array_repeat(F.lit(0), size)
+        inputs.append(F.when(sound, F.col(c)).otherwise(blank.cast(df.schema[c].dataType)))
+        whole = whole & sound
+    scored = df.withColumn(out, F.when(whole, udf(*inputs)))
     if isinstance(kind, T.StructType):
         scored = scored.select(*df.columns, f"{out}.*")
     return scored
@@ -142,6 +152,82 @@ def action_predictor(
     return score(df, make, [col], "_heads", kind, batch_size, [[weights["input"]["weight"].shape[1]]])
 
 
+def _probe_sums(weight: np.ndarray, dim: int):
+    """Rows of a partition -> their number, and per class the loss and the gradient by weight and bias."""
+    classes = len(weight)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sums = 0, np.zeros((classes, dim + 2))
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+            y = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, classes).astype(np.float64)
+            x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+            margin = x @ weight.T
+            rows += len(x)
+            sums[:, 0] += (np.logaddexp(0, margin) - y * margin).sum(axis=0)
+            sums[:, 1:] += (sigmoid(margin) - y).T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([sums.reshape(-1).tolist()])], names=["n", "sums"])
+
+    return run
+
+
+def fit_probe(
+    train: DataFrame, classes: int, features: str, labels: str, max_iter: int, reg: float, tolerance: float = 1e-7
+) -> np.ndarray:
+    """(classes, dim + 1) weights and biases of one logistic model per class, all fitted together.
+
+    Minimises mean loss + reg / 2 |w|^2 (the bias is free) by L-BFGS. One job an iteration, whatever
+    the number of classes: each task sends its sums once. Rows with a null or a wrong size are left out.
+    """
+    first = train.where(F.col(features).isNotNull()).select(F.size(features).alias("n")).first()
+    dim = first["n"] if first else 0
+    if not dim:
+        return np.zeros((classes, dim + 1))
+    rows = train.where((F.size(features) == dim) & (F.size(labels) == classes))
+    rows = store(rows.select(F.col(features).cast("array<double>"), F.col(labels).cast("array<double>")), "probe-rows")
+
+    def at(weight: np.ndarray) -> tuple[float, np.ndarray]:
+        parts = rows.mapInArrow(_probe_sums(weight, dim), "n long, sums array<double>")
+        by_place = parts.select("n", F.posexplode("sums").alias("place", "value")).groupBy("place")
+        table = by_place.agg(F.sum("n").alias("n"), F.sum("value").alias("value")).orderBy("place").toArrow()
+        n, sums = table["n"][0].as_py(), table["value"].to_numpy()
+        sums = sums.reshape(classes, dim + 2) / max(1, n)
+        free = np.ones(dim + 1)
+        free[-1] = 0
+        return sums[:, 0].sum() + reg / 2 * (weight**2 * free).sum(), sums[:, 1:] + reg * weight * free
+
+    return minimise(at, np.zeros((classes, dim + 1)), max_iter, tolerance)
+
+
+def minimise(at: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, max_iter: int, tolerance: float) -> np.ndarray:
+    """L-BFGS with the last ten steps and halving line search."""
+    value, slope = at(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(max_iter):
+        if np.abs(slope).max() < tolerance:
+            break
+        way, shares = slope.copy(), []
+        for s, y in reversed(steps):
+            shares.append((s * way).sum() / (s * y).sum())
+            way -= shares[-1] * y
+        if steps:
+            s, y = steps[-1]
+            way *= (s * y).sum() / (y * y).sum()
+        for (s, y), share in zip(steps, reversed(shares)):
+            way += (share - (y * way).sum() / (s * y).sum()) * s
+        length = 1.0
+        while True:
+            moved, grown = at(x - length * way)
+            if moved <= value - 1e-4 * length * (slope * way).sum() or length < 1e-8:
+                break
+            length /= 2
+        step, change = -length * way, grown - slope
+        x, value, slope = x + step, moved, grown
+        if (step * change).sum() > 1e-14:
+            steps = [*steps[-9:], (step, change)]
+    return x
+
+
 def linear_probe(
     train: DataFrame,
     test: DataFrame,
@@ -150,28 +236,7 @@ def linear_probe(
     labels: str = "labels",
     max_iter: int = 50,
     reg: float = 0.0,
-    parallelism: int = 4,
 ) -> DataFrame:
-    """Fit one logistic model per class on frozen embeddings and append its ``probs`` to ``test``.
-
-    ``parallelism`` classes are fitted at a time, from features that are kept
-    meanwhile. A class with one value only in training predicts that value's rate.
-    """
-    rows = train.select(array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(c: int):
-        target = F.get(labels, F.lit(c)).cast("double").alias("y")
-        model = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol="y")
-        return model.fit(rows.select("features", target))
-
-    try:
-        with ThreadPool(parallelism) as pool:
-            models = pool.map(inheritable_thread_target(train.sparkSession)(fit), range(classes))
-    finally:
-        rows.unpersist()
-
-    # A model that saw a single label value has one column of margins only, of infinite intercept.
-    weight = np.vstack([np.asarray(m.coefficientMatrix.toArray())[-1] for m in models])
-    bias = np.clip(np.array([m.interceptVector.toArray()[-1] for m in models]), -1e3, 1e3)
-    return linear_head(test, weight, bias, features).drop("logits")
+    """Fit one logistic model per class on frozen embeddings of ``train`` and append its ``probs`` to ``test``."""
+    fitted = fit_probe(train, classes, features, labels, max_iter, reg)
+    return linear_head(test, fitted[:, :-1], fitted[:, -1], features).drop("logits")

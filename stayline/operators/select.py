@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.hashing import DRAW_BITS, draw
-from .ordered import HOT_ROWS, ascending, row_positions
+from .ordered import ascending, positions_joined, row_positions
 
 # Folds of the splits.
 TRAIN_LAST_FOLD, VAL_FOLD, TEST_FOLD = 17, 18, 19
 
 SLICE_BITS, SLICE_ROWS = 12, 10_000
-BROADCAST_ROWS = 1_000_000  # (pos, row_idx) requests of 16 bytes
 
 
 def split(df: DataFrame, name: str) -> DataFrame:
@@ -78,29 +77,27 @@ def subject_fraction(df: DataFrame, frac: float, seed: int = 0) -> DataFrame:
 def take_rows(df: DataFrame, ids: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Rows by position: ``ids`` holds (pos, row_idx), repeats allowed; ordered by pos."""
     cells = df.select("row_idx", *(columns or [c for c in df.columns if c != "row_idx"]))
-    wanted = ids.select("pos", "row_idx")
-    if ids.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return wanted.join(cells, "row_idx").orderBy("pos")
+    return ids.select("pos", "row_idx").join(cells, "row_idx").orderBy("pos")
 
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, replace: bool = False) -> DataFrame:
-    """n rows by ``row_idx``. With replacement, ``row_idx`` must be the dense positions 0..rows-1
-    and the result has the draw's number in ``pos``."""
+    """n rows by ``row_idx``, which must be unique. With replacement each draw takes one of the positions
+    in the order of ``row_idx``, and the result has the draw's number in ``pos``; no rows give none."""
     if not replace:
         return first_by_draw(df, df.select("row_idx"), "row_idx", lambda rows: min(n, rows), seed)
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    picks = df.sparkSession.range(n).select(
-        F.col("id").alias("pos"), (draw(F.col("id"), seed) % total.scalar()).alias("row_idx")
-    )
-    return (F.broadcast(picks) if n <= BROADCAST_ROWS else picks).join(df, "row_idx")
+    places = row_positions(df.select("row_idx"), [], ["row_idx"], "_place")
+    total = F.nullif(places.agg(F.count(F.lit(1)).alias("_n")).scalar(), F.lit(0))
+    picks = df.sparkSession.range(n).select(F.col("id").alias("pos"), (draw(F.col("id"), seed) % total).alias("_place"))
+    return picks.join(places, "_place").drop("_place").join(df, "row_idx")
 
 
 def sample_per_group(
-    df: DataFrame, group: str, n: int, seed: int = 0, id_col: str = "row_idx", salts: int = 64
+    df: DataFrame, group: str, n: int, seed: int = 0, id_col: str = "row_idx", salts: int | None = None
 ) -> DataFrame:
-    """n rows of each group. The first round ranks within hash slices of a group, so a large
-    group is spread out and the second round sees at most salts * n rows of it."""
+    """n rows of each group. The first round ranks within hash slices of a group, by default as many as
+    there are shuffle partitions, so a large group is spread out and the second round sees at most
+    salts * n rows of it."""
+    salts = salts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["_draw", id_col]
     drawn = df.withColumn("_draw", draw(F.col(id_col), seed)).withColumn(
         "_slice", F.pmod(F.col("_draw"), F.lit(salts))
@@ -122,13 +119,12 @@ def assign_batches(
     shuffle: bool = False,
     seed: int = 0,
     drop_last: bool | None = None,
-    limit: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``pos`` (place in the epoch) and ``batch``; a short last batch is dropped when shuffling."""
     drop_last = shuffle if drop_last is None else drop_last
     order = ["_draw", "row_idx"] if shuffle else ["row_idx"]
     drawn = df.withColumn("_draw", draw(F.col("row_idx"), seed)) if shuffle else df
-    out = row_positions(drawn, [], order, "pos", limit)
+    out = positions_joined(drawn, order, "pos")
     out = out.withColumn("batch", F.floor(F.col("pos") / size).cast("long"))
     if drop_last:
         full = df.agg(F.floor(F.count(F.lit(1)) / size).cast("long").alias("_full")).scalar()

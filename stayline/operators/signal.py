@@ -78,7 +78,7 @@ def _percentiles(
 ) -> DataFrame:
     ranked = running(counts, group, [value], {"_before": F.col("_rows")}, limit)
     sized = counts.groupBy(*group).agg(F.sum("_rows").alias("_n"))
-    ranked = ranked.join(F.broadcast(sized), list(group))
+    ranked = ranked.join(sized, list(group))
 
     def at(p: float, up: bool) -> Column:
         place = (F.col("_n") - 1) * F.lit(p / 100.0)
@@ -125,10 +125,10 @@ def stats_summary(stats: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     means = counts.groupBy("stat").agg((F.sum(rows * value) / F.sum(rows)).alias("mean"))
     spread = F.sqrt(F.sum(rows * (value - F.col("mean")) * (value - F.col("mean"))) / F.sum(rows))
     overall = (
-        counts.join(F.broadcast(means), "stat").groupBy("stat").agg(F.first("mean").alias("mean"), spread.alias("std"))
+        counts.join(means, "stat").groupBy("stat").agg(F.first("mean").alias("mean"), spread.alias("std"))
     )
     points = _percentiles(counts, ["stat"], "value", PERCENTILES, limit)
-    return overall.join(F.broadcast(points), "stat")
+    return overall.join(points, "stat")
 
 
 def lead_breakdown(stats: DataFrame, names: Sequence[str] = LEADS) -> DataFrame:

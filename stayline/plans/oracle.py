@@ -26,8 +26,6 @@ def _draw(key: str, seed: int) -> str:
     return f"('0x' || substr(md5('{seed}:' || ({key})), 1, 15))::BIGINT"
 
 
-N_SIGNALS = "(SELECT count(*) FROM embeddings)"
-
 REC = f"""rec0 AS (
   SELECT event_id AS row_idx, event_id AS study_id, user_id AS subject_id,
     CAST(epoch_us(ts) / 1000000.0 AS DOUBLE) AS ecg_time,
@@ -37,9 +35,9 @@ REC = f"""rec0 AS (
   FROM events),
 rec AS (SELECT *, {_encode(VOCABULARY)} AS icd FROM rec0)"""
 
-SIG = f"""sig AS (
-  SELECT rec.*, embedding AS waveform
-  FROM rec JOIN embeddings ON vec_id = row_idx % {N_SIGNALS})"""
+SIG = """sig AS (
+  SELECT r.* EXCLUDE vec, embedding AS waveform
+  FROM (SELECT rec.*, row_idx % n AS vec FROM rec, (SELECT count(*) AS n FROM embeddings)) r JOIN embeddings ON vec_id = vec)"""
 
 PAIRS = """pairs AS (
   SELECT * FROM (
@@ -79,8 +77,9 @@ PREDICTIONS = """pred AS (
   FROM test_cells)"""
 
 EMB_PAIRS = """ends AS (
-  SELECT idx_t, a.waveform AS h_t, b.waveform AS h_t1
-  FROM pairs p JOIN sig a ON a.row_idx = p.idx_t JOIN sig b ON b.row_idx = p.idx_t1)"""
+  SELECT idx_t, a.embedding AS h_t, b.embedding AS h_t1
+  FROM (SELECT pairs.*, idx_t % n AS vec_t, idx_t1 % n AS vec_t1 FROM pairs, (SELECT count(*) AS n FROM embeddings)) p
+  JOIN embeddings a ON a.vec_id = vec_t JOIN embeddings b ON b.vec_id = vec_t1)"""
 
 LEAD_STATS = f"""stats AS (
   SELECT row_idx, lead, avg(x) AS mean, stddev_pop(x) AS std FROM (
@@ -279,7 +278,8 @@ sql(
 )
 sql(
     "select_mode",
-    f"SELECT row_idx, subject_id, ecg_time FROM rec WHERE fold = 18 AND seq = 0",
+    """SELECT row_idx, subject_id, ecg_time, CASE WHEN fold <= 17 THEN 'train' WHEN fold = 18 THEN 'val' ELSE 'test' END AS split, mode
+  FROM rec, (VALUES ('triage'), ('monitoring')) m(mode) WHERE mode = 'monitoring' OR seq = 0""",
     REC,
 )
 
@@ -360,6 +360,16 @@ sql(
       "(x - avg(x) OVER w) / greatest(stddev_samp(x) OVER w, 0.000001)", "value")}
   FROM ({BY_LEAD}) WINDOW w AS (PARTITION BY vec_id, lead)""",
 )
+sql(
+    "zscore_signal_batches",
+    f"""SELECT vec_id, lead, step, round(((x - avg(x) OVER w) / greatest(stddev_samp(x) OVER w, 0.000001))::FLOAT::DOUBLE, 5) + 0.0 AS value
+  FROM ({BY_LEAD}) WINDOW w AS (PARTITION BY vec_id, lead)""",
+)
+sql(
+    "uneven_signals",
+    f"""SELECT vec_id, true AS same, lead, step, {_r('x', 'value')} FROM ({BY_LEAD}) WHERE vec_id % 5 IN (0, 4)
+  UNION ALL SELECT vec_id, true, NULL, NULL, NULL FROM embeddings WHERE vec_id % 5 NOT IN (0, 4)""",
+)
 sql(
     "lead_stats",
     f"SELECT row_idx, lead, {_r('mean', 'mean')}, {_r('std', 'std')} FROM stats",
@@ -394,10 +404,11 @@ sql(
     LEAD_STATS,
 )
 
+STEPPED = "(SELECT range AS i FROM range(64)) s"
 sql(
     "single_samples",
-    f"""SELECT row_idx, {_text('icd')} AS label, 4::BIGINT AS leads, {_r('waveform[8]::DOUBLE', 'lead_3_step_1')}
-  FROM chosen WHERE seq = 0 AND subject_id IN (FROM kept)""",
+    f"""SELECT row_idx, {_text('icd')} AS label, i % {LEADS} AS lead, i // {LEADS} AS step, {_r('waveform[i + 1]::DOUBLE', 'value')}
+  FROM chosen, {STEPPED} WHERE seq = 0 AND subject_id IN (FROM kept)""",
     REC,
     SIG,
     "chosen AS (SELECT * FROM sig WHERE fold <= 17)",
@@ -405,14 +416,13 @@ sql(
 )
 sql(
     "pair_samples",
-    f"""SELECT idx_t, idx_t1, {_text('y_t')} AS y_t, {_text('a_t')} AS a_t,
-  {_r('a.waveform[8]::DOUBLE', 'x_t_lead_3_step_1')}, {_r('b.waveform[61]::DOUBLE', 'x_t1_lead_0_step_15')}
-  FROM chosen c JOIN sig a ON a.row_idx = idx_t JOIN sig b ON b.row_idx = idx_t1
-  WHERE c.subject_id IN (FROM kept)""",
+    f"""SELECT idx_t, idx_t1, {_text('y_t')} AS y_t, {_text('a_t')} AS a_t, i % {LEADS} AS lead, i // {LEADS} AS step,
+  {_r('h_t[i + 1]::DOUBLE', 'x_t')}, {_r('h_t1[i + 1]::DOUBLE', 'x_t1')}
+  FROM chosen JOIN ends USING (idx_t), {STEPPED} WHERE subject_id IN (FROM kept)""",
     REC,
-    SIG,
     PAIRS,
     CHANGE,
+    EMB_PAIRS,
     "chosen AS (SELECT * FROM change WHERE fold <= 17 AND pair_type = 'cross_stay')",
     kept("chosen"),
 )
@@ -458,7 +468,7 @@ def vector(name: str, source: str, expr: str, dim: int, key: str = "idx_t") -> s
 
 
 def total(source: str, name: str) -> str:
-    return f"SELECT id AS idx_t, round(sum(x), 6) + 0.0 AS {name} FROM {source} GROUP BY id"
+    return f"SELECT id AS idx_t, round(sum(x * (j + 1)), 6) + 0.0 AS {name} FROM {source} GROUP BY id"
 
 
 PROJECTOR = [
@@ -489,23 +499,23 @@ sql(
 )
 sql(
     "action_predictor",
-    """SELECT id AS idx_t, round(sum(x), 6) + 0.0 AS onset_logits_sum,
-  round(sum(x), 6) + 0.0 AS resolution_logits_sum FROM heads GROUP BY id""",
+    """SELECT o.idx_t, onset_logits_sum, resolution_logits_sum
+  FROM (SELECT id AS idx_t, round(sum(x * (j + 1)), 6) + 0.0 AS onset_logits_sum FROM onset_head GROUP BY id) o
+  JOIN (SELECT id AS idx_t, round(sum(x * (j + 1)), 6) + 0.0 AS resolution_logits_sum FROM resolution_head GROUP BY id) r
+  ON o.idx_t = r.idx_t""",
     REC,
     SIG,
     PAIRS,
     EMB_PAIRS,
     vector("t0", "ends", "h_t1[j + 1] - h_t[j + 1]", 64),
     *TRUNK,
-    layer("heads", "trunk", CLASSES, 32, 4, False),
+    layer("onset_head", "trunk", CLASSES, 32, 4, False),
+    layer("resolution_head", "trunk", CLASSES, 32, 8, False),
 )
 sql(
     "embedding_displacement",
-    f"""SELECT idx_t, {_r('h_t1[1]::DOUBLE - h_t[1]::DOUBLE', 'first_dim')},
-  round(list_sum(list_transform(list_zip(h_t, h_t1), lambda z: (z[2]::DOUBLE - z[1]::DOUBLE) ** 2)), 6) + 0.0 AS squared_length
-  FROM ends""",
+    f"SELECT idx_t, i AS dim, {_r('h_t1[i + 1]::DOUBLE - h_t[i + 1]::DOUBLE', 'value')} FROM ends, {STEPPED}",
     REC,
-    SIG,
     PAIRS,
     EMB_PAIRS,
 )
@@ -640,7 +650,7 @@ sql(
     "epps_pulley",
     f"SELECT slice, {_r('statistic', 'statistic')} FROM ({distance('dims')})",
     GRID,
-    "dims AS (SELECT 'd' || i AS slice, embedding[i + 1]::DOUBLE * 8 AS x FROM embeddings, (SELECT range AS i FROM range(4)) r)",
+    "dims AS (SELECT 'd' || i AS slice, embedding[i + 1]::DOUBLE * 8 AS x FROM embeddings, (SELECT range AS i FROM range(64)) r)",
 )
 sql(
     "slice_statistics",
@@ -658,9 +668,8 @@ sql(
 )
 sql(
     "objective",
-    f"""SELECT round(p, 4) AS pred_loss, round(r, 4) AS reg_loss,
-  round(0.995::DOUBLE * p + 0.005::DOUBLE * r, 4) AS loss,
-  round(r / (p + 0.00000001::DOUBLE), 4) AS loss_ratio FROM (
+    f"""SELECT round(p, 6) AS pred_loss, round(r, 6) AS reg_loss, round(0.995::DOUBLE * p + 0.005::DOUBLE * r, 6) AS loss,
+  round(r / (p + 0.00000001::DOUBLE), 6) AS loss_ratio FROM (
   SELECT (SELECT {MSE}) AS p,
     (SELECT avg(statistic) FROM ({distance('proj_t')})) + (SELECT avg(statistic) FROM ({distance('proj_t1')})) AS r)""",
     REC,
@@ -755,7 +764,7 @@ sql(
   UNION ALL SELECT 'onset', count(*) FILTER (onset IS NULL OR isnan(onset)) FROM pred
   UNION ALL SELECT 'resolution', count(*) FILTER (resolution IS NULL OR isnan(resolution)) FROM pred""",
     *TEST,
-    PREDICTIONS,
+    PREDICTIONS.replace("test_cells", "cells"),
 )
 PROFILE = [
     ("row_idx", "bigint"),

@@ -89,15 +89,20 @@ def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_labels(chosen, recordings(spark, sf_dir))
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs with y_t, y_t1 and a_t."""
+    return pair_labels(pairs(spark, sf_dir), recordings(spark, sf_dir))
+
+
 def pseudo_score(id_col: str, id_factor: int, class_col, class_factor: int):
     """A fixed score in [0, 1) of a row and class, with ties."""
     return ((F.col(id_col) * id_factor + class_col * class_factor) % 1000) / 1000.0
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test pairs with probability vectors ``onset`` and ``resolution``."""
+def predictions(spark: SparkSession, sf_dir: str, of=test_pairs) -> DataFrame:
+    """Pairs, by default those of the test, with probability vectors ``onset`` and ``resolution``."""
     classes = F.sequence(F.lit(0), F.lit(CLASSES - 1))
-    return test_pairs(spark, sf_dir).withColumns(
+    return of(spark, sf_dir).withColumns(
         {
             "onset": F.transform(classes, lambda c: pseudo_score("idx_t", 7919, c, 101)),
             "resolution": F.transform(classes, lambda c: pseudo_score("idx_t", 104729, c, 211)),

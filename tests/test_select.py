@@ -72,12 +72,11 @@ def test_take_rows(spark, rows):
     assert [(r.pos, r.row_idx) for r in got] == [(0, 7), (1, 3), (2, 7)]
 
 
-@pytest.mark.parametrize("limit", [100_000, 100])
-def test_batches(rows, limit):
-    got = D.assign_batches(rows, 256, shuffle=True, seed=3, limit=limit).toPandas().sort_values("pos")
+def test_batches(rows):
+    got = D.assign_batches(rows, 256, shuffle=True, seed=3).toPandas().sort_values("pos")
     assert len(got) == 11 * 256 and (got.pos.to_numpy() == np.arange(len(got))).all()
     assert (got.batch == got.pos // 256).all() and not got.row_idx.is_monotonic_increasing
-    kept = D.assign_batches(rows, 256, shuffle=True, seed=3, drop_last=False, limit=limit)
+    kept = D.assign_batches(rows, 256, shuffle=True, seed=3, drop_last=False)
     assert kept.count() == 3000
-    plain = D.assign_batches(rows, 256, limit=limit).toPandas().sort_values("pos")
+    plain = D.assign_batches(rows, 256).toPandas().sort_values("pos")
     assert (plain.row_idx.to_numpy() == np.arange(3000)).all()

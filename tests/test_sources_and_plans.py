@@ -125,21 +125,28 @@ def shuffled_rows_of(spark, df, column):
     return total
 
 
-def test_only_paired_recordings_are_shuffled(spark, stored, monkeypatch):
-    chosen = V.pairs(spark, SF).where("fold = 19 AND pair_type = 'cross_stay'")
+def test_only_paired_recordings_are_shuffled(spark, stored, tmp_path):
+    path = str(tmp_path / "chosen")
+    V.pairs(spark, SF).where("fold = 19 AND pair_type = 'cross_stay'").write.parquet(path)
+    chosen = spark.read.parquet(path)
+    found = P.fetch_pairs(chosen, stored[1], ["waveform"])
+    rows = found.collect()
+    assert len(rows) == 25
+    assert shuffled_rows_of(spark, found, "waveform") <= 4 * len(rows)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        small = P.fetch_pairs(chosen, stored[1], ["waveform"])
-        rows = small.collect()
-        moved = shuffled_rows_of(spark, small, "waveform")
-        monkeypatch.setattr(P, "BROADCAST_PAIRS", 0)
-        large = P.fetch_pairs(chosen, stored[1], ["waveform"])
-        assert sorted(large.collect()) == sorted(rows) and len(rows) == 25
+        assert sorted(P.fetch_pairs(chosen, stored[1], ["waveform"]).collect()) == sorted(rows)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    assert 0 < moved <= 4 * len(rows)
-    assert shuffled_rows_of(spark, large, "waveform") >= stored[1].count()
+
+
+def test_global_order_has_no_single_task_and_moves_no_cells(spark, stored):
+    rows = stored[1].select("study_id", "subject_id", "ecg_time", "waveform")
+    for df in (A.with_row_index(rows, ["subject_id", "ecg_time", "study_id"]), D.assign_batches(stored[1], 256, shuffle=True, drop_last=False)):
+        text = plan(df)
+        assert "SinglePartition" not in text
+        assert not any("waveform" in line for line in text.splitlines() if "rangepartitioning" in line)
 
 
 def test_splitting_and_sampling_do_not_shuffle(spark, stored):
