@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import store
 from .mixing import draw, low_bits
 from .recurrent import Adam, Both, Gated, softmax
 from .words import batch_of, texts_of
@@ -59,7 +60,8 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     rows = docs.where(
         F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}"))
     ).select(F.col(lang_col).alias("lang"), draw(seed, F.col(id_col)).alias("order"), F.col(text_col).alias("text"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # stored, so that its size is known and no text moves to meet it
+    counts = store(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-counts")
     near = rows.join(counts, "lang").where(low_bits(F.col("order")) < F.lit(4 * per_language) / F.col("n") * (1 << 32))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", F.md5("text"))))
     ddl = "lang string, order string, window binary"
