@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import store
+
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "lower_ascii", "store", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,11 +21,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
-
-
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the folder all executors share and read back, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stayline/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
