@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.arrays import flatten_frames
 from ..functions.labels import decode_labels, encode_labels
-from ..schema import RECORDINGS, conform
+from ..schema import PAIRS, RECORDINGS, conform
+from ..sources import tables
 from .ordered import positions_joined
+from .pairs import build_pairs
+from .quality import check_split_sizes
 
 
 def assemble_recordings(
@@ -36,6 +39,34 @@ def with_row_index(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
     return positions_joined(df, order_by, "row_idx")
 
 
+def build_tables(
+    metadata: DataFrame | None,
+    waves: DataFrame | None,
+    labels: DataFrame | None,
+    vocab: Sequence[str],
+    folder: str,
+    pairs_only: bool = False,
+) -> DataFrame:
+    """The whole build: recordings, vocabulary, pair index; returns (table, kind, rows) of what is stored.
+
+    Writes ``recordings``, ``pairs`` and ``vocabulary`` below ``folder``. With ``pairs_only`` the stored
+    recordings stay as they are and only the pair index is made anew.
+    """
+    spark = SparkSession.active()
+    recordings = f"{folder}/recordings"
+    if not pairs_only:
+        rows = assemble_recordings(metadata, waves, labels, vocab)
+        tables.write_recordings(rows, recordings)
+        tables.save_vocabulary(spark, vocab, f"{folder}/vocabulary")
+    stored = tables.read_recordings(spark, recordings, ["row_idx", "subject_id", "ecg_time", "ecg_no_within_stay", "fold"])
+    tables.write_pairs(build_pairs(stored), f"{folder}/pairs")
+    pairs = spark.read.schema(PAIRS).parquet(f"{folder}/pairs")
+    count = F.count(F.lit(1)).alias("rows")
+    kinds = pairs.groupBy(F.col("pair_type").alias("kind")).agg(count).select(F.lit("pairs").alias("table"), "kind", "rows")
+    splits = check_split_sizes(stored).select(F.lit("recordings").alias("table"), F.col("split").alias("kind"), F.col("monitoring").alias("rows"))
+    return splits.unionByName(kinds)
+
+
 def add_label_column(df: DataFrame, name: str, vocab: Sequence[str]) -> DataFrame:
     """Add a label vector derived from ``icd_raw`` under another vocabulary."""
     return df.withColumn(name, encode_labels("icd_raw", vocab))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,7 @@ from ..functions.labels import contextual_prediction, next_labels, transition_ta
 from .lineage import cut_lineage
 from .metrics import macro_auroc
 from .ordered import HOT_ROWS, cut_groups, row_positions
+from .scoring import transition_probabilities
 
 BLOCK_ROWS = 4_096  # rows of one class and score range that a task gets together
 SLICE_ROWS = 1_024  # rows it weighs at once
@@ -247,3 +248,24 @@ def evaluate_transitions(
     return bootstrap_auroc(
         transition_task_cells(predictions, row), replicates, seed, row, ["task"], method, limit
     )
+
+
+def evaluate_inverse(
+    pairs: DataFrame,
+    weights: Mapping[str, Mapping[str, np.ndarray]],
+    replicates: int,
+    seed: int,
+    row: str = "idx_t",
+    method: str = "blocks",
+    digits: int | None = None,
+) -> DataFrame:
+    """AUROC with interval per task, from embeddings: displacement, both heads, probabilities, draws.
+
+    ``pairs`` has h_t, h_t1, y_t and a_t. ``digits`` rounds the probabilities, so that scores which
+    differ by the order of a sum only count as ties.
+    """
+    scored = transition_probabilities(pairs, weights).select(row, "y_t", "a_t", "onset", "resolution")
+    scored = scored.where("onset IS NOT NULL AND resolution IS NOT NULL")
+    if digits is not None:
+        scored = scored.withColumns({n: F.transform(n, lambda p: F.round(p, digits)) for n in ("onset", "resolution")})
+    return evaluate_transitions(scored, replicates, seed, row, method)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import squared_error
+from ..functions.labels import transition_targets
 from .lineage import cut_lineage
 from .ordered import HOT_ROWS, running
 
@@ -98,13 +99,38 @@ def resolution_structural(cells: DataFrame) -> DataFrame:
     return binary_auroc(cells, F.col("y_t"), (F.col("a_t") == -1).cast("int"))
 
 
+def weighted_bce(logit: str, target: str, pos_weight: float) -> Column:
+    """Weighted logistic loss of a cell, in the form that does not overflow."""
+    x, y = F.col(logit), F.col(target).cast("double")
+    softplus = F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0))
+    return (1.0 - y) * x + (1.0 + (pos_weight - 1.0) * y) * softplus
+
+
 def bce_with_logits(
     cells: DataFrame, logit: str = "logit", target: str = "target", pos_weight: float = 1.0
 ) -> DataFrame:
-    """Mean weighted logistic loss, in the form that does not overflow."""
-    x, y = F.col(logit), F.col(target).cast("double")
-    softplus = F.log1p(F.exp(-F.abs(x))) + F.greatest(-x, F.lit(0.0))
-    return cells.agg(F.avg((1.0 - y) * x + (1.0 + (pos_weight - 1.0) * y) * softplus).alias("loss"))
+    """Mean weighted logistic loss."""
+    return cells.agg(F.avg(weighted_bce(logit, target, pos_weight)).alias("loss"))
+
+
+def two_head_loss(
+    df: DataFrame, onset_weight: float, resolution_weight: float, change: str = "a_t"
+) -> DataFrame:
+    """(onset_loss, resolution_loss, loss): weighted logistic losses of both heads against the transition
+    vector, and their sum, from (onset_logits, resolution_logits, a_t). Rows with a null vector are left out."""
+    onset, resolution = transition_targets(change)
+    whole = df.where("onset_logits IS NOT NULL AND resolution_logits IS NOT NULL").where(F.col(change).isNotNull())
+    both = F.arrays_zip(
+        F.col("onset_logits").alias("onset_logit"),
+        F.col("resolution_logits").alias("resolution_logit"),
+        onset.alias("onset"),
+        resolution.alias("resolution"),
+    )
+    cells = whole.select(F.inline(both))
+    return cells.agg(
+        F.avg(weighted_bce("onset_logit", "onset", onset_weight)).alias("onset_loss"),
+        F.avg(weighted_bce("resolution_logit", "resolution", resolution_weight)).alias("resolution_loss"),
+    ).withColumn("loss", F.col("onset_loss") + F.col("resolution_loss"))
 
 
 def mse(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -28,12 +28,17 @@ def single_samples(
     seed: int = 0,
     steps: int = STEPS,
     leads: int = LEADS,
+    ordered: bool = False,
 ) -> DataFrame:
-    """(row_idx, waveform, label) of one split; in ``train`` of a fraction of its subjects."""
+    """(row_idx, waveform, label) of one split; in ``train`` of a fraction of its subjects.
+
+    ``ordered`` sorts the samples by ``row_idx``, which moves their signals.
+    """
     rows = split(recordings, split_name)
     if split_name == "train":
         rows = subject_fraction(rows, train_frac, seed)
-    return select_mode(rows, mode).select(
+    rows = select_mode(rows, mode)
+    return (rows.orderBy("row_idx") if ordered else rows).select(
         "row_idx",
         lead_major_batch(steps, leads)("waveform").alias("waveform"),
         _as_float("icd").alias("label"),

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.arrays import displacement
 from .lineage import store
 
 
@@ -152,6 +153,21 @@ def action_predictor(
     return score(df, make, [col], "_heads", kind, batch_size, [[weights["input"]["weight"].shape[1]]])
 
 
+def transition_probabilities(
+    df: DataFrame,
+    weights: Mapping[str, Mapping[str, np.ndarray]],
+    h_t: str = "h_t",
+    h_t1: str = "h_t1",
+    batch_size: int = 1024,
+) -> DataFrame:
+    """Append the probability vectors ``onset`` and ``resolution`` that `action_predictor` gives the displacement."""
+    moved = df.withColumn("_d", displacement(h_t, h_t1))
+    heads = action_predictor(moved, weights, "_d", batch_size)
+    return heads.withColumns(
+        {f"{n}": F.transform(f"{n}_logits", lambda x: 1.0 / (1.0 + F.exp(-x))) for n in ("onset", "resolution")}
+    ).drop("_d")
+
+
 def _probe_sums(weight: np.ndarray, dim: int):
     """Rows of a partition -> their number, and per class the loss and the gradient by weight and bias."""
     classes = len(weight)

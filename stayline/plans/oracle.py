@@ -167,6 +167,15 @@ sql(
     REC,
     SIG,
 )
+sql(
+    "build_tables",
+    """SELECT "table", kind, rows, pairs_only FROM (
+  SELECT 'recordings' AS "table", CASE WHEN fold <= 17 THEN 'train' WHEN fold = 18 THEN 'val' ELSE 'test' END AS kind,
+    count(*) AS rows FROM rec GROUP BY 2
+  UNION ALL SELECT 'pairs', pair_type, count(*) FROM pairs GROUP BY 2) t, (VALUES (false), (true)) p(pairs_only)""",
+    REC,
+    PAIRS,
+)
 sql(
     "with_row_index",
     f"""SELECT study_id, subject_id, ecg_time,
@@ -512,6 +521,24 @@ sql(
     layer("onset_head", "trunk", CLASSES, 32, 4, False),
     layer("resolution_head", "trunk", CLASSES, 32, 8, False),
 )
+HEADS = [
+    vector("t0", "ends", "h_t1[j + 1] - h_t[j + 1]", 64),
+    *TRUNK,
+    layer("onset_head", "trunk", CLASSES, 32, 4, False),
+    layer("resolution_head", "trunk", CLASSES, 32, 8, False),
+    """heads AS (
+  SELECT o.id AS idx_t, o.j AS class_idx, o.x AS onset_logit, r.x AS resolution_logit
+  FROM onset_head o JOIN resolution_head r ON o.id = r.id AND o.j = r.j)""",
+]
+sql(
+    "transition_probabilities",
+    f"""SELECT idx_t, class_idx, {_r('1 / (1 + exp(-onset_logit))', 'onset')},
+  {_r('1 / (1 + exp(-resolution_logit))', 'resolution')} FROM heads""",
+    REC,
+    PAIRS,
+    EMB_PAIRS,
+    *HEADS,
+)
 sql(
     "embedding_displacement",
     f"SELECT idx_t, i AS dim, {_r('h_t1[i + 1]::DOUBLE - h_t[i + 1]::DOUBLE', 'value')} FROM ends, {STEPPED}",
@@ -596,6 +623,25 @@ sql(
     "weighed AS (SELECT * FROM task_cells JOIN draws USING (idx_t))",
     auroc("weighed", "task, replicate", "weight"),
 )
+sql(
+    "evaluate_inverse",
+    f"SELECT task, {INTERVAL} FROM (SELECT task, replicate, avg(auroc) AS m FROM aucs GROUP BY ALL) GROUP BY task",
+    *TEST,
+    EMB_PAIRS.replace("SELECT pairs.*", "SELECT test_ends.*").replace("FROM pairs,", "FROM (SELECT * FROM pairs WHERE fold = 19 AND pair_type = 'cross_stay') test_ends,"),
+    *HEADS,
+    """pred AS (
+  SELECT c.*, round(1 / (1 + exp(-onset_logit)), 9) AS onset, round(1 / (1 + exp(-resolution_logit)), 9) AS resolution
+  FROM test_cells c JOIN heads USING (idx_t, class_idx))""",
+    f"""task_cells AS (
+  SELECT idx_t, 'onset' AS task, class_idx, onset AS score, CASE WHEN a_t = 1 THEN 1 ELSE 0 END AS target FROM pred
+  UNION ALL
+  SELECT idx_t, 'resolution', class_idx, resolution, CASE WHEN a_t = -1 THEN 1 ELSE 0 END FROM pred
+  UNION ALL
+  SELECT idx_t, 'contextual', class_idx, {CONTEXT}, y_t1 FROM pred)""",
+    draws("test_cells", "idx_t"),
+    "weighed AS (SELECT * FROM task_cells JOIN draws USING (idx_t))",
+    auroc("weighed", "task, replicate", "weight"),
+)
 BCE = "avg((1 - y) * x + (1 + (w - 1) * y) * (ln(1 + exp(-abs(x))) + greatest(-x, 0)))"
 sql(
     "bce_with_logits",
@@ -605,6 +651,19 @@ sql(
     REC,
     LABEL_CELLS,
 )
+def head_loss(logit: str, target: str, pos_weight: int) -> str:
+    return f"avg((1 - {target}) * {logit} + (1 + {pos_weight - 1} * {target}) * (ln(1 + exp(-abs({logit}))) + greatest(-{logit}, 0)))"
+
+
+sql(
+    "two_head_loss",
+    f"""SELECT round(o, 6) AS onset_loss, round(r, 6) AS resolution_loss, round(o + r, 6) AS loss FROM (
+  SELECT {head_loss('onset_logit', '(a_t = 1)::INT', 46)} AS o, {head_loss('resolution_logit', '(a_t = -1)::INT', 20)} AS r
+  FROM cells JOIN heads USING (idx_t, class_idx))""",
+    *TEST,
+    EMB_PAIRS,
+    *HEADS,
+)
 MSE = """avg((h_t[d + 1]::DOUBLE - h_t1[d + 1]::DOUBLE) ** 2) AS mse
   FROM ends, (SELECT range AS d FROM range(64)) dims"""
 sql(

@@ -24,6 +24,7 @@ from ..functions import (
     zscore_leads,
 )
 from ..operators import assemble, bootstrap, metrics, normality, pairs, quality, samples, scoring, select, signal
+from ..operators.lineage import store
 from ..operators.ordered import row_positions
 from ..sources import tables
 from . import views as V
@@ -154,6 +155,20 @@ def assemble_recordings(spark, sf):
     )
 
 
+@query
+def build_tables(spark, sf):
+    """From the CSV and the array tables to the checked pair index, and that once more from the stored recordings."""
+    rows = V.recordings(spark, sf)
+    meta = tables.read_metadata(spark, _metadata_csv(spark, sf))
+    waves = rows.select(F.col("row_idx").alias("src_index"), "ecg_time", reshape_frames("waveform", V.LEADS).alias("frames"))
+    labels = rows.select(F.col("row_idx").alias("src_index"), F.col("icd").alias("labels"))
+    folder = V.shared_dir(spark, "build_tables", sf)
+    built = assemble.build_tables(meta, waves, labels, V.VOCABULARY, folder).withColumn("pairs_only", F.lit(False))
+    first = store(built, "built")
+    again = assemble.build_tables(None, None, None, V.VOCABULARY, folder, pairs_only=True)
+    return first.unionByName(again.withColumn("pairs_only", F.lit(True)))
+
+
 @query
 def with_row_index(spark, sf):
     rows = V.recordings(spark, sf).select("study_id", "subject_id", "ecg_time")
@@ -513,6 +528,15 @@ def action_predictor(spark, sf):
     return _vector_sums(scoring.action_predictor(rows, weights), "onset_logits", "resolution_logits")
 
 
+@query
+def transition_probabilities(spark, sf):
+    weights = predictor_weights(64, 32, {"onset": V.CLASSES, "resolution": V.CLASSES})
+    out = scoring.transition_probabilities(V.embedding_pairs(spark, sf), weights)
+    return out.select("idx_t", F.posexplode(F.arrays_zip("onset", "resolution")).alias("class_idx", "p")).select(
+        "idx_t", "class_idx", "p.onset", "p.resolution"
+    )
+
+
 @query
 def embedding_displacement(spark, sf):
     d = displacement(F.col("h_t").cast("array<double>"), F.col("h_t1").cast("array<double>"))
@@ -618,6 +642,24 @@ def evaluate_transitions(spark, sf):
     return bootstrap.evaluate_transitions(V.predictions(spark, sf), REPLICATES, SEED)
 
 
+@query
+def evaluate_inverse(spark, sf):
+    """From the embeddings of the cross-stay test pairs to the intervals."""
+    weights = predictor_weights(64, 32, {"onset": V.CLASSES, "resolution": V.CLASSES})
+    chosen = V.test_pairs(spark, sf).select("idx_t")
+    ends = V.embedding_pairs(spark, sf).join(chosen, "idx_t", "left_semi")
+    return bootstrap.evaluate_inverse(ends, weights, REPLICATES, SEED, digits=9)
+
+
+@query
+def two_head_loss(spark, sf):
+    weights = predictor_weights(64, 32, {"onset": V.CLASSES, "resolution": V.CLASSES})
+    ends = V.embedding_pairs(spark, sf)
+    rows = scoring.action_predictor(ends.withColumn("d", displacement("h_t", "h_t1")), weights)
+    out = metrics.two_head_loss(rows, 46.0, 20.0)
+    return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
+
+
 def _logits(spark, sf):
     return V.label_cells(spark, sf).withColumn("logit", 8.0 * F.col("score") - 4.0)
 
