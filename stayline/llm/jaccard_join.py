@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from bisect import bisect_left
+from itertools import chain
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.ordered import running
 from .common import WORD, store
 from .components import components
-from .words import batch_of, in_shards, numbered, plain_words
+from .words import batch_of, in_shards, plain_words
 
 NGRAM = 4
 #: Link when 100 * intersection >= PERCENT * union.
@@ -27,6 +28,8 @@ LONG_LIST = 64
 MOST_LONG = 1 << 20
 #: What one verifying task holds from either side: shingles, each set counting at least so many.
 BLOCK_SHINGLES, SET_COST = 200_000, 400
+#: Bits of the place of an id in the bit field that spares texts the way to a join they have no part in.
+PLACE_BITS = 24
 
 GOLDEN, MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -47,16 +50,29 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(words: list[bytes], hashes: WordHashes, ngram: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; the whole sequence if it is shorter."""
-    h = numbered(words, hashes).astype(np.uint64)
-    k = min(ngram, len(words))
-    if not k:
-        return h
-    rolled = np.zeros(len(h) - k + 1, np.uint64)
+def rolled(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k word hashes."""
+    out = np.full(max(0, len(h) - k + 1), k, np.uint64)
     for i in range(k):
-        rolled = scramble(rolled * GOLDEN + h[i : i + len(rolled)] + np.uint64(k))
-    return np.unique(rolled)
+        out = out * GOLDEN + h[i : i + len(out)]
+    return scramble(out)
+
+
+def shingle_sets(words: list[list[bytes]], hashes: WordHashes, ngram: int) -> list[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its shingles; the whole sequence if it is shorter."""
+    h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(words)), np.int64, sum(map(len, words))).astype(np.uint64)
+    full, out, at = rolled(h, ngram), [], 0
+    for w in words:
+        n = len(w)
+        if n < ngram:
+            out.append(rolled(h[at : at + n], n) if n else h[:0])
+        else:
+            s = np.sort(full[at : at + n - ngram + 1])
+            fresh = np.ones(len(s), bool)
+            np.not_equal(s[1:], s[:-1], out=fresh[1:])
+            out.append(s[fresh])
+        at += n
+    return out
 
 
 def set_key(shingles: np.ndarray) -> int:
@@ -88,8 +104,7 @@ def set_reader(schema: pa.Schema, ngram: int, shard_words: int):
         hashes = WordHashes()
         for rows, words in in_shards(batches, 1, plain_words, shard_words):
             out, sets = [], {}
-            for row, w in zip(rows, words):
-                s = shingle_set(w, hashes, ngram)
+            for row, s in zip(rows, shingle_sets(words, hashes, ngram)):
                 key = set_key(s) if len(s) else None
                 out.append((row[0], row[2], key, len(s), None, None))
                 sets[key] = s
@@ -108,8 +123,7 @@ def prefix_reader(schema: pa.Schema, ngram: int, shard_words: int, percent: int,
         hashes = WordHashes()
         for _, words in in_shards(batches, 0, plain_words, shard_words):
             seen, columns = set(), ([], [], [])
-            for w in words:
-                s = shingle_set(w, hashes, ngram)
+            for s in shingle_sets(words, hashes, ngram):
                 key = set_key(s)
                 if not len(s) or key in seen:
                     continue
@@ -159,25 +173,39 @@ def candidate_finder(schema: pa.Schema, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            lists = batch.column(3)
+            of_query, members = lists.offsets.to_numpy(), lists.values
+            of_list, entries = members.offsets.to_numpy().tolist(), members.values
+            other, size, others_long = (entries.field(i).to_numpy() for i in range(3))
             out = []
-            for key, n, long, lists in zip(*(c.to_pylist() for c in batch.columns)):
-                smallest = at_least(n, percent)
-                about, merged = {}, []
-                for of in lists:
-                    fit = [m for m in of if smallest <= m["n"] and at_least(m["n"], percent) <= n]
-                    about.update((m["key"], m) for m in fit)
-                    if fit:
-                        merged.append(sorted(m["key"] for m in fit))
-                least = max(1, min(needed(n, percent), needed(smallest, percent)) - long)
-                for other, shared in divide_skip(merged, least).items() if len(merged) >= least else ():
-                    m = about[other]
-                    if shared >= max(1, min(needed(n, percent), needed(m["n"], percent)) - min(long, m["long"])):
-                        out.append((key, other))
+            for q, (key, n, long) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)))):
+                a, b = of_query[q], of_query[q + 1]
+                merged = [other[of_list[i] : of_list[i + 1]].tolist() for i in range(a, b)]
+                least = max(1, min(needed(n, percent), needed(at_least(n, percent), percent)) - long)
+                found = divide_skip(merged, least) if len(merged) >= least else {}
+                if found:
+                    span = slice(of_list[a], of_list[b])
+                    about = dict(zip(other[span].tolist(), zip(size[span].tolist(), others_long[span].tolist())))
+                    for m, shared in found.items():
+                        if shared >= max(1, min(needed(n, percent), needed(about[m][0], percent)) - min(long, about[m][1])):
+                            out.append((key, m))
             yield batch_of(out, schema)
 
     return run
 
 
+def id_filter(bits: np.ndarray):
+    """Rows (number, ...) whose number's bit is set; the number goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(0).to_numpy().astype(np.int64)
+            on = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(on.astype(bool))).drop_columns([batch.schema.names[0]])
+
+    return run
+
+
 def overlap_links(keys: list[int], sets: list[np.ndarray], side: np.ndarray, percent: int, across: bool) -> list[tuple[int, int]]:
     """A spanning forest of the links among sets; with `across`, of the links between side 0 and side 1."""
     m = len(sets)
@@ -232,10 +260,9 @@ def holder_sets(schema: pa.Schema, ngram: int, shard_words: int):
         hashes = WordHashes()
         for rows, words in in_shards(batches, 1, plain_words, shard_words):
             out = {}
-            for row, w in zip(rows, words):
-                s = shingle_set(w, hashes, ngram)
+            for row, s in zip(rows, shingle_sets(words, hashes, ngram)):
                 if len(s) and set_key(s) == row[2]:
-                    out[row[2]] = (row[2], row[3], len(s), s.tobytes())
+                    out[row[2]] = (row[2], row[3], len(s), int(s[0] >> np.uint64(1)), s.tobytes())
             yield batch_of(out.values(), schema)
 
     return run
@@ -264,8 +291,8 @@ def jaccard_components(
        `SHARED` shingles (or what small sets have) within short prefixes; only these go into the inverted lists.
     2. DivideSkip merges a set's short lists and keeps those that occur often enough. Long lists are not
        merged: a set with `SHARED` or more of them in its prefix is tied to the shingles themselves.
-    3. Components of these ties, which hold every link, are verified: sets in blocks of about `block` shingles,
-       block against block, by exact overlaps. A pair of blocks returns a spanning forest of its links only.
+    3. Pairs and ties are verified by exact overlaps: the sets of a component lie in blocks of about `block`
+       shingles, and blocks that share a pair or tie meet. They return a spanning forest of their links only.
     4. Components of the links give the result.
 
     Null and empty texts have no shingles and link with nothing: component_id is their own id. Rows with
@@ -299,27 +326,38 @@ def jaccard_components(
     long_of = in_long.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("long"))
     short = postings.where(F.col("length") <= long_list).join(long_of, "key", "left").fillna(0, ["long"])
     lists = short.groupBy("hash").agg(F.sort_array(F.collect_list(F.struct("key", "n", "long"))).alias("list"))
+    # only sets of a size that can link; a pair is met once, at its lower key
+    fits = f"m -> 100 * m.n >= {percent} * n AND 100 * n >= {percent} * m.n"
     queries = (
         lists.select(F.posexplode("list").alias("at", "query"), "list")
         .select("query.*", F.expr("slice(list, at + 2, size(list))").alias("rest"))
+        .withColumn("rest", F.expr(f"filter(rest, {fits})"))
         .where("size(rest) > 0")
         .groupBy("key", "n", "long")
         .agg(F.collect_list("rest").alias("lists"))
     )
     ddl, schema = ddl_of("a long, b long")
-    pairs = queries.mapInArrow(candidate_finder(schema, percent), ddl)
+    pairs = store(queries.mapInArrow(candidate_finder(schema, percent), ddl), "join-pairs")
     need = F.least(F.lit(SHARED), F.ceil(percent * F.col("n") / 100))
     ties = (
-        in_long.join(long_of, "key").where(F.col("long") >= need).select(F.col("key").alias("a"), (-F.shiftrightunsigned("hash", 1) - 1).alias("b"))
+        in_long.select("key", "hash", "n").join(long_of, "key").where(F.col("long") >= need).select(F.col("key").alias("a"), (-F.shiftrightunsigned("hash", 1) - 1).alias("b"))
     )
+    ties = store(ties, "join-ties")
     groups = components(pairs.unionAll(ties)).where("node >= 0").select(F.col("node").alias("key"), F.col("root").alias("part"))
     groups = store(groups, "join-groups")
 
     holders = members.join(groups, "key").groupBy("key", "part").agg(F.min("id").alias("id")).select("id", "key", "part")
-    ddl, schema = ddl_of("key long, part long, n int, shingles binary")
-    texts = rows.join(holders, "id").select("id", "text", "key", "part")
-    sets = store(texts.mapInArrow(holder_sets(schema, ngram, shard_words), ddl).dropDuplicates(["key"]), "join-groups-sets")
-    links = _verified(sets, percent, block, arrow_schema(docs, "a long, b long"))
+    holders = store(holders, "join-holders")
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - PLACE_BITS)
+    set_bits = holders.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
+    marked = set_bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
+    bits = np.zeros(1 << (PLACE_BITS - 6), np.uint64)
+    bits[marked["word"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+    near = rows.select(place.alias("place"), "id", "text").mapInArrow(id_filter(bits), f"id {id_type}, text string")
+    ddl, schema = ddl_of("key long, part long, n int, low long, shingles binary")
+    texts = near.join(holders, "id").select("id", "text", "key", "part")
+    sets = store(texts.mapInArrow(holder_sets(schema, ngram, shard_words), ddl).dropDuplicates(["key"]), "join-group-sets")
+    links = _verified(sets, pairs, ties, percent, block, arrow_schema(docs, "a long, b long"))
     roots = components(links).select(F.col("node").alias("key"), "root")
     classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
     classes = classes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
@@ -334,18 +372,26 @@ def jaccard_components(
     )
 
 
-def _verified(sets: DataFrame, percent: int, block: int, schema: pa.Schema) -> DataFrame:
-    """Links (a, b) within the parts: blocks of consecutive sizes, each with itself and each later one in reach."""
-    total = sets.groupBy("part").agg(F.count(F.lit(1)).alias("m"))
-    placed = sets.select("key", "part", "n").join(total, "part").where("m > 1").drop("m")
-    placed = running(placed, ["part"], ["n", "key"], {"before": F.greatest("n", F.lit(SET_COST)).cast("long")})
-    placed = placed.withColumn("own", F.floor(F.col("before") / block).cast("int"))
-    ends = placed.groupBy("part", "own").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    left, right = ends.alias("l"), ends.alias("r")
-    met = left.join(right, (F.col("l.part") == F.col("r.part")) & (F.col("l.own") <= F.col("r.own"))).where(
-        percent * F.col("r.low") <= 100 * F.col("l.high")
+def _verified(sets: DataFrame, pairs: DataFrame, ties: DataFrame, percent: int, block: int, schema: pa.Schema) -> DataFrame:
+    """Links (a, b). Sets of a part lie in blocks in the order of their least hash, which near copies mostly share;
+    blocks meet that hold the two ends of a pair, or sets tied to the same long shingle and of a size in reach."""
+    placed = running(
+        sets.select("key", "part", "low", "n"), ["part"], ["low", "key"], {"before": F.greatest("n", F.lit(SET_COST)).cast("long")}
+    )
+    placed = store(placed.select("key", "part", "n", F.floor(F.col("before") / block).cast("int").alias("own")), "join-blocks")
+    ends = [placed.select(F.col("key").alias(k), "part", F.col("own").alias(f"own_{k}")) for k in ("a", "b")]
+    met = pairs.join(ends[0], "a").join(ends[1].drop("part"), "b")
+    met = met.select("part", F.least("own_a", "own_b").alias("first"), F.greatest("own_a", "own_b").alias("second"))
+
+    tied = ties.join(placed, ties["a"] == placed["key"]).groupBy("b", "part", "own")
+    tied = tied.agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    left, right = tied.alias("l"), tied.alias("r")
+    reach = (F.col("l.b") == F.col("r.b")) & (F.col("l.own") <= F.col("r.own"))
+    in_reach = (percent * F.col("r.low") <= 100 * F.col("l.high")) & (percent * F.col("l.low") <= 100 * F.col("r.high"))
+    tied = left.join(right, reach & in_reach).select(
+        F.col("l.part").alias("part"), F.col("l.own").alias("first"), F.col("r.own").alias("second")
     )
-    met = met.select(F.col("l.part").alias("part"), F.col("l.own").alias("first"), F.col("r.own").alias("second"))
+    met = met.unionAll(tied).distinct()
     by_block = met.select("part", "first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("own"))
     dealt = placed.select("key", "part", "own").join(by_block, ["part", "own"])
     dealt = dealt.join(sets.select("key", "shingles"), "key").select("part", "first", "second", "own", "key", "shingles")
