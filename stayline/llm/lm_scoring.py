@@ -115,7 +115,8 @@ def score_documents(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = good.where("quality = 1 AND coalesce(toxic, 0) = 0").select("id", F.lit(True).alias("good"))
-    marked = rows.join(good, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # labels grow with the documents, so they meet them by a merge join at every size
+    marked = rows.join(good.hint("merge"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ddl = "gram int, target long, background long"
     counted = marked.mapInArrow(gram_counter(arrow_schema(docs, ddl)), ddl).groupBy("gram")
     model = counted.agg(F.sum("target").alias("target"), F.sum("background").alias("background")).orderBy("gram").toArrow()
