@@ -15,13 +15,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.ordered import running
 from .common import WORD, store
 from .components import components
-from .words import batch_of, in_shards, plain_words
+from .words import arrow_schema, batch_of, in_shards, plain_words
 
 NGRAM = 4
 #: Link when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Shared shingles of the prefixes that a candidate needs (fewer for sets that hold fewer).
-SHARED = 4
+#: Shared shingles of the prefixes that a candidate needs: so many, and one more for each so many of the set.
+SHARED, SHARED_EACH = 4, 50
 #: Inverted lists above this are long: their shingles come last in the common order.
 LONG_LIST = 64
 #: Long shingles that tasks are told of at most. It only changes the order of shingles, so the cost, not the result.
@@ -86,7 +86,8 @@ def at_least(n: int, percent: int) -> int:
 
 
 def needed(n: int, percent: int) -> int:
-    return min(SHARED, at_least(n, percent))
+    """Shared prefix shingles of linked sets: that of the smaller set; never more for a smaller set."""
+    return min(SHARED + n // SHARED_EACH, at_least(n, percent))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -273,7 +274,7 @@ def jaccard_components(
     ngram: int = NGRAM,
     percent: int = PERCENT,
     long_list: int = LONG_LIST,
-    shard_words: int = 1 << 19,
+    shard_words: int = 1 << 20,
     block: int = BLOCK_SHINGLES,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -287,10 +288,10 @@ def jaccard_components(
     shingles, as 64-bit hashes; fewer words are one shingle. Two texts link when 100 * intersection >=
     percent * union. Equal sets are one class and take part once.
 
-    1. Shingles are ordered by hash, those that many sets have behind all others. Linked sets then share
-       `SHARED` shingles (or what small sets have) within short prefixes; only these go into the inverted lists.
+    1. Shingles are ordered by hash, those that are often repeated within a shard behind all others. Linked
+       sets then share `needed` shingles within short prefixes; only these go into the inverted lists.
     2. DivideSkip merges a set's short lists and keeps those that occur often enough. Long lists are not
-       merged: a set with `SHARED` or more of them in its prefix is tied to the shingles themselves.
+       merged: a set with so many of them in its prefix that it needs no others is tied to the shingles themselves.
     3. Pairs and ties are verified by exact overlaps: the sets of a component lie in blocks of about `block`
        shingles, and blocks that share a pair or tie meet. They return a spanning forest of their links only.
     4. Components of the links give the result.
@@ -299,20 +300,18 @@ def jaccard_components(
     equal ids are rows of their own, linked if their texts are. A null id is never the least unless all of
     its component are null. An empty table gives no rows.
     """
-    from .decontaminate import arrow_schema
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
     def ddl_of(ddl: str) -> tuple[str, pa.Schema]:
         ddl = ddl.format(id=id_type)
-        return ddl, arrow_schema(docs, ddl)
+        return ddl, arrow_schema(ddl)
 
     ddl, schema = ddl_of(DOCS_AND_COUNTS)
     digested = rows.withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
     read = store(digested.mapInArrow(set_reader(schema, ngram, shard_words), ddl), "join-sets")
     members = read.where("hash IS NULL").select("id", "digest", "key", "n")
-    often = read.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") > long_list)
+    often = read.where("hash IS NOT NULL").groupBy("hash").agg(F.sum("count").alias("count")).where(F.col("count") > long_list // 4)
     known = often.orderBy(F.desc("count"), "hash").limit(MOST_LONG).select("hash").toArrow()["hash"].to_numpy()
     long = np.sort(known.astype(np.int64).view(np.uint64))
 
@@ -338,7 +337,9 @@ def jaccard_components(
     )
     ddl, schema = ddl_of("a long, b long")
     pairs = store(queries.mapInArrow(candidate_finder(schema, percent), ddl), "join-pairs")
-    need = F.least(F.lit(SHARED), F.ceil(percent * F.col("n") / 100))
+    # tied are sets that may share long shingles only with a set of the least size in reach
+    smallest = F.ceil(percent * F.col("n") / 100)
+    need = F.least(SHARED + F.floor(smallest / SHARED_EACH), F.ceil(percent * smallest / 100))
     ties = (
         in_long.select("key", "hash", "n").join(long_of, "key").where(F.col("long") >= need).select(F.col("key").alias("a"), (-F.shiftrightunsigned("hash", 1) - 1).alias("b"))
     )
@@ -357,7 +358,7 @@ def jaccard_components(
     ddl, schema = ddl_of("key long, part long, n int, low long, shingles binary")
     texts = near.join(holders, "id").select("id", "text", "key", "part")
     sets = store(texts.mapInArrow(holder_sets(schema, ngram, shard_words), ddl).dropDuplicates(["key"]), "join-group-sets")
-    links = _verified(sets, pairs, ties, percent, block, arrow_schema(docs, "a long, b long"))
+    links = _verified(sets, pairs, ties, percent, block, arrow_schema("a long, b long"))
     roots = components(links).select(F.col("node").alias("key"), "root")
     classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"))
     classes = classes.join(roots, "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
