@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
-from .words import Numbering, alnum_words, batch_of, in_shards, numbered, texts_of
+from .words import Numbering, alnum_words, arrow_schema, batch_of, in_shards, numbered, texts_of
 
 #: What one phrase block may hold: it travels to every task.
 BLOCK_PHRASES = 250_000
@@ -146,7 +147,7 @@ def find_contamination(
         F.col(text_col).alias("text"),
     )
     hits = HITS.format(id=rows.schema["id"].dataType.simpleString())
-    schema = arrow_schema(docs, hits)
+    schema = arrow_schema(hits)
     found = None
     for block in range(blocks):
         own = phrases.where(F.col("block") == block).select("phrase", "items").toArrow()
@@ -173,13 +174,6 @@ def _merged(found: DataFrame, blocks: int) -> DataFrame:
     return rows.select("id", "digest", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
-def arrow_schema(df: DataFrame, ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(ddl))
-
-
 def cutter(text: int, spans: int):
     """Replaces texts by what is left outside their spans of words."""
 
@@ -198,8 +192,6 @@ def cutter(text: int, spans: int):
 
 def without_words(text: str, spans: list[dict]) -> str:
     """`text` without its words first..last of each span and what stands between them."""
-    import re
-
     places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)]
     left, at = [], 0
     for s in spans:

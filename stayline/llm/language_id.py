@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import store
 from .mixing import draw, low_bits
 from .recurrent import Adam, Both, Gated, softmax
-from .words import batch_of, texts_of
+from .words import arrow_schema, batch_of, texts_of
 
 UNDETERMINED = "und"
 
@@ -55,8 +55,6 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     A threshold on the hash brings each language down to a few times its share before anything is ranked.
     """
-    from .decontaminate import arrow_schema
-
     rows = docs.where(
         F.col(id_col).isNotNull() & ~held_out(id_col) & F.col(lang_col).isNotNull() & F.rlike(text_col, F.lit(r"\p{L}"))
     ).select(F.col(lang_col).alias("lang"), draw(seed, F.col(id_col)).alias("order"), F.col(text_col).alias("text"))
@@ -66,7 +64,7 @@ def training_windows(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", F.md5("text"))))
     ddl = "lang string, order string, window binary"
     sample = ranked.where(F.col("rank") <= per_language).select("lang", "order", "text")
-    return sample.mapInArrow(window_sampler(arrow_schema(docs, ddl), SAMPLE_WINDOWS, TRAIN_BYTES), ddl).toArrow()
+    return sample.mapInArrow(window_sampler(arrow_schema(ddl), SAMPLE_WINDOWS, TRAIN_BYTES), ddl).toArrow()
 
 
 def as_matrix(windows: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,9 +225,7 @@ def identify_languages(
     Null texts and texts without a letter are `und` with score 0, as are all without any labelled text.
     Rows are predicted each, from their text alone; a null id is not held out and not learned from.
     """
-    from .decontaminate import arrow_schema
-
     tagger = train(training_windows(docs, id_col, text_col, lang_col, per_language, seed), seed=seed)
     rows = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     ddl = f"id {rows.schema['id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double"
-    return rows.mapInArrow(predictor(tagger, arrow_schema(docs, ddl)), ddl).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(predictor(tagger, arrow_schema(ddl)), ddl).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import alnum_words, batch_of, texts_of
+from .words import alnum_words, arrow_schema, batch_of, texts_of
 
 # Phrases and labels of the base.
 BASE = {
@@ -154,14 +154,12 @@ def scan_licenses(
     ones too. `expressions` are the valid licence expressions behind identifier tags: their identifiers
     in lower case, and their freedom from 0 to 1. Null and empty texts have none. Each row stands alone.
     """
-    from .decontaminate import arrow_schema
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ddl = (
         f"id {rows.schema['id'].dataType.simpleString()}, n_words long, "
         "places array<struct<word:int,label:string,base:boolean>>, expressions array<struct<labels:array<string>,freedom:double>>"
     )
-    return rows.mapInArrow(scanner(base, notices, arrow_schema(docs, ddl)), ddl)
+    return rows.mapInArrow(scanner(base, notices, arrow_schema(ddl)), ddl)
 
 
 def license_labels(scanned: DataFrame) -> DataFrame:

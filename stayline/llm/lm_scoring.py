@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import batch_of
+from .words import arrow_schema, batch_of
 
 #: The vocabulary of both models: the 256 values of a byte of UTF-8. A text starts after two zero bytes.
 VOCABULARY = 256
@@ -110,20 +110,18 @@ def score_documents(
     documents both models are uniform and the score is 0. Null and empty texts have no tokens, losses
     and score 0. Repeated rows count and are scored each.
     """
-    from .decontaminate import arrow_schema
-
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     good = labels.groupBy(F.col(id_col).alias("id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = good.where("quality = 1 AND coalesce(toxic, 0) = 0").select("id", F.lit(True).alias("good"))
     # labels grow with the documents, so they meet them by a merge join at every size
     marked = rows.join(good.hint("merge"), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ddl = "gram int, target long, background long"
-    counted = marked.mapInArrow(gram_counter(arrow_schema(docs, ddl)), ddl).groupBy("gram")
+    counted = marked.mapInArrow(gram_counter(arrow_schema(ddl)), ddl).groupBy("gram")
     model = counted.agg(F.sum("target").alias("target"), F.sum("background").alias("background")).orderBy("gram").toArrow()
     grams, target, background = (model[c].to_numpy() for c in ("gram", "target", "background"))
     scale = target.sum() / max(1, background.sum())
     ddl = f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, target_loss double, background_loss double"
-    score = scorer(grams, losses(grams, target), losses(grams, background * scale), arrow_schema(docs, ddl))
+    score = scorer(grams, losses(grams, target), losses(grams, background * scale), arrow_schema(ddl))
     scored = rows.mapInArrow(score, ddl)
     return scored.select(
         F.col("id").alias(id_col),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .mixing import draw, low_bits
 from .recurrent import Adam, Both, LongShort
-from .words import batch_of
+from .words import arrow_schema, batch_of
 
 # The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -303,8 +303,6 @@ def sample_reader(schema: pa.Schema, windows: int, seed: int):
 
 def train(docs: DataFrame, id_col: str, text_col: str, most: int, seed: int) -> Chain | None:
     """A chain from at most `most` documents with a digit or `@`, chosen by a keyed hash; None without any."""
-    from .decontaminate import arrow_schema
-
     order = draw(seed, F.col(id_col), F.md5(F.col(text_col)))
     rows = docs.where(F.rlike(text_col, F.lit("[0-9@]"))).select(order.alias("order"), F.col(text_col).alias("text"))
     n = rows.count()
@@ -313,7 +311,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, most: int, seed: int) ->
     near = rows.where(low_bits(F.col("order")) < F.lit(2 * most / n * (1 << 32)))
     # the part of a text around its spans is cut out by the tasks; what arrives is bounded by `most`
     ddl = "order string, symbols binary, tags binary"
-    cut = near.mapInArrow(sample_reader(arrow_schema(docs, ddl), SAMPLE_WINDOWS, seed), ddl)
+    cut = near.mapInArrow(sample_reader(arrow_schema(ddl), SAMPLE_WINDOWS, seed), ddl)
     sample = cut.orderBy("order", "symbols").limit(most * SAMPLE_WINDOWS).toArrow()
     pairs = zip(sample["symbols"].to_pylist(), sample["tags"].to_pylist())
     return fit([(np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8).astype(np.int64)) for s, t in pairs], seed=seed)
@@ -353,9 +351,7 @@ def find_personal_data(
 
     Null and empty texts have none. Rows are searched each. An empty table gives no rows.
     """
-    from .decontaminate import arrow_schema
-
     chain = train(docs, id_col, text_col, sample, seed)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ddl = f"id {rows.schema['id'].dataType.simpleString()}, base {SPANS}, spans {SPANS}"
-    return rows.mapInArrow(span_finder(chain, arrow_schema(docs, ddl)), ddl)
+    return rows.mapInArrow(span_finder(chain, arrow_schema(ddl)), ddl)
