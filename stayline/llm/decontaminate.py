@@ -170,7 +170,7 @@ def _merged(found: DataFrame, blocks: int) -> DataFrame:
     pick = lambda x: x.isNotNull()
     firsts = F.filter(F.zip_with("hit", before, lambda a, b: F.when(a != b + 1, a)), pick)
     lasts = F.filter(F.zip_with("hit", after, lambda a, b: F.when(a + 1 != F.coalesce(b, F.lit(-9)), a)), pick)
-    spans = F.zip_with(firsts, lasts, F.struct).cast("array<struct<first:int,last:int>>")
+    spans = F.zip_with(firsts, lasts, lambda a, b: F.struct(a, b)).cast("array<struct<first:int,last:int>>")
     return rows.select("id", "digest", "n_words", spans.alias("spans"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
 
 
