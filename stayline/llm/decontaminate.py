@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .fm_index import FMIndex
-from .words import Numbering, alnum_words, arrow_schema, batch_of, in_shards, numbered, texts_of
+from .words import Numbering, alnum_words, arrow_schema, batch_of, in_shards, numbered, texts_of, trimmed
 
 #: What one phrase block may hold: it travels to every task.
 BLOCK_PHRASES = 250_000
@@ -22,6 +22,7 @@ HITS = "id {id}, digest string, n_words long, spans array<struct<first:int,last:
 def phrases_of(window: int):
     """Windows of `window` consecutive words of each item (id, text); fewer words are one window."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("phrase", pa.binary()), ("item", pa.string())])
         for batch in batches:
@@ -92,6 +93,7 @@ def spans_of(mask: np.ndarray) -> list[dict]:
 
 
 def searcher(phrases: Phrases, schema: pa.Schema, shard_words: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, words in in_shards(batches, 2, alnum_words, shard_words):
             # equal texts of a shard are indexed once
@@ -119,7 +121,7 @@ def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
     window: int = 10,
-    shard_words: int = 1 << 20,
+    shard_words: int = 1 << 19,
     block_phrases: int = BLOCK_PHRASES,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -177,6 +179,7 @@ def _merged(found: DataFrame, blocks: int) -> DataFrame:
 def cutter(text: int, spans: int):
     """Replaces texts by what is left outside their spans of words."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()

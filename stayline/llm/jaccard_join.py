@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..operators.ordered import running
 from .common import WORD, store
 from .components import components
-from .words import arrow_schema, batch_of, in_shards, plain_words
+from .words import arrow_schema, batch_of, in_shards, plain_words, trimmed
 
 NGRAM = 4
 #: Link when 100 * intersection >= PERCENT * union.
@@ -101,6 +101,7 @@ DOCS_AND_COUNTS = "id {id}, digest string, key long, n int, hash long, count int
 def set_reader(schema: pa.Schema, ngram: int, shard_words: int):
     """Rows (id, key, n) of documents, and rows (hash, count) of shingles in several sets of a shard."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows, words in in_shards(batches, 1, plain_words, shard_words):
@@ -120,6 +121,7 @@ def set_reader(schema: pa.Schema, ngram: int, shard_words: int):
 def prefix_reader(schema: pa.Schema, ngram: int, shard_words: int, percent: int, long: np.ndarray):
     """(hash, key, n) for the first shingles of each set: by hash, the long ones behind all others."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for _, words in in_shards(batches, 0, plain_words, shard_words):
@@ -172,6 +174,7 @@ def divide_skip(lists: list[list[int]], least: int) -> dict[int, int]:
 def candidate_finder(schema: pa.Schema, percent: int):
     """Candidates of each set (key, n, long, lists): shared short lists, less what long lists may add, reach the need."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
@@ -198,6 +201,7 @@ def candidate_finder(schema: pa.Schema, percent: int):
 def id_filter(bits: np.ndarray):
     """Rows (number, ...) whose number's bit is set; the number goes."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(0).to_numpy().astype(np.int64)
@@ -257,6 +261,7 @@ def verifier(percent: int, schema: pa.Schema):
 
 
 def holder_sets(schema: pa.Schema, ngram: int, shard_words: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for rows, words in in_shards(batches, 1, plain_words, shard_words):
@@ -274,7 +279,7 @@ def jaccard_components(
     ngram: int = NGRAM,
     percent: int = PERCENT,
     long_list: int = LONG_LIST,
-    shard_words: int = 1 << 20,
+    shard_words: int = 1 << 19,
     block: int = BLOCK_SHINGLES,
     id_col: str = "doc_id",
     text_col: str = "text",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import store
 from .mixing import draw, low_bits
 from .recurrent import Adam, Both, Gated, softmax
-from .words import arrow_schema, batch_of, texts_of
+from .words import arrow_schema, batch_of, texts_of, trimmed
 
 UNDETERMINED = "und"
 
@@ -20,8 +20,8 @@ SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_BYTES = 256, 12, 48
 HIDDEN, STEPS, BATCH, RATE = 8, 400, 192, 0.02
 #: Bytes of a window that are labelled, and of context read on either side of them.
 CORE, CONTEXT = 112, 8
-#: Windows run side by side.
-TOGETHER = 2048
+#: Windows run side by side, and rows held as Python objects.
+TOGETHER, ROWS_AT_ONCE = 2048, 1000
 
 LETTER = np.array([(65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
@@ -38,6 +38,7 @@ def held_out(id_col: str) -> Column:
 def window_sampler(schema: pa.Schema, windows: int, size: int):
     """(lang, order, bytes) for evenly spread windows of whole texts: as many, fewer in short texts."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -149,26 +150,38 @@ def train(windows: pa.Table, hidden: int = HIDDEN, steps: int = STEPS, seed: int
     return Tagger(languages, hidden, seed).fit(windows["window"].to_pylist(), targets, steps, BATCH, RATE, seed)
 
 
+def predicted(tagger: Tagger | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text; parts of about 4 MB are read together."""
+    out = [(UNDETERMINED, 0.0)] * len(texts)
+    known = [k for k, t in enumerate(texts) if tagger and has_letter(t)]
+    at = 0
+    while at < len(known):
+        upto, n = at, 0
+        while upto < len(known) and (upto == at or n + len(texts[known[upto]]) < 4 << 20):
+            n += len(texts[known[upto]])
+            upto += 1
+        part = known[at:upto]
+        for k, p in zip(part, tagger.pooled([texts[k].encode() for k in part])):
+            best = int(p.argmax())
+            out[k] = (tagger.languages[best], float(min(1.0, p[best])))
+        at = upto
+    return out
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, len(batch), ROWS_AT_ONCE):
+            yield batch.slice(start, ROWS_AT_ONCE)
+
+
 def predictor(tagger: Tagger | None, schema: pa.Schema):
     """Predictions for rows (id, held_out, text)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             ids, held, texts = (c.to_pylist() for c in batch.columns)
-            out = [(i, h, UNDETERMINED, 0.0) for i, h in zip(ids, held)]
-            known = [k for k, t in enumerate(texts) if tagger and has_letter(t)]
-            at = 0
-            while at < len(known):  # so many texts as hold about 4 MB
-                upto, n = at, 0
-                while upto < len(known) and (upto == at or n + len(texts[known[upto]]) < 4 << 20):
-                    n += len(texts[known[upto]])
-                    upto += 1
-                part = known[at:upto]
-                for k, p in zip(part, tagger.pooled([texts[k].encode() for k in part])):
-                    best = int(p.argmax())
-                    out[k] = (ids[k], held[k], tagger.languages[best], float(min(1.0, p[best])))
-                at = upto
-            yield batch_of(out, schema)
+            yield batch_of([(i, h, *found) for i, h, found in zip(ids, held, predicted(tagger, texts))], schema)
 
     return run
 
@@ -176,16 +189,11 @@ def predictor(tagger: Tagger | None, schema: pa.Schema):
 def row_filter(tagger: Tagger | None, text: int, min_score: float):
     """Batches less their rejected rows."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = predictor(tagger, pa.schema([("id", pa.int64()), ("held", pa.bool_()), ("lang", pa.string()), ("score", pa.float64())]))
-        for batch in batches:
-            n = len(batch)
-            asked = pa.RecordBatch.from_arrays(
-                [pa.array(range(n), pa.int64()), pa.nulls(n, pa.bool_()), batch.column(text)], names=["id", "held", "text"]
-            )
-            (found,) = predict(iter([asked]))
-            kept = [lang != UNDETERMINED and score >= min_score for lang, score in zip(found["lang"].to_pylist(), found["score"].to_pylist())]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for batch in in_slices(batches):
+            found = predicted(tagger, batch.column(text).to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_()))
 
     return run
 

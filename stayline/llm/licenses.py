@@ -9,7 +9,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import alnum_words, arrow_schema, batch_of, texts_of
+from .words import alnum_words, arrow_schema, batch_of, texts_of, trimmed
 
 # Phrases and labels of the base.
 BASE = {
@@ -136,6 +136,7 @@ def scan(text: bytes | None, finds: ahocorasick.Automaton, base: dict[str, str],
 
 
 def scanner(base: dict[str, str], notices: dict[str, str], schema: pa.Schema):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finds = automaton(base, notices)
         for batch in batches:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import arrow_schema, batch_of
+from .words import arrow_schema, batch_of, trimmed
 
 #: The vocabulary of both models: the 256 values of a byte of UTF-8. A text starts after two zero bytes.
 VOCABULARY = 256
@@ -41,6 +41,7 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 def gram_counter(schema: pa.Schema):
     """(gram, target, background) counts of a partition from rows (text, is target)."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, GRAMS), np.int64)
         for batch in batches:
@@ -74,6 +75,7 @@ def losses(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def scorer(grams: np.ndarray, target: np.ndarray, background: np.ndarray, schema: pa.Schema):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.zeros(GRAMS, np.int32)
         at[grams] = np.arange(len(grams))

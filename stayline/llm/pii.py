@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .mixing import draw, low_bits
 from .recurrent import Adam, Both, LongShort
-from .words import arrow_schema, batch_of
+from .words import arrow_schema, batch_of, trimmed
 
 # The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
@@ -281,6 +281,7 @@ def varied(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str,
 def sample_reader(schema: pa.Schema, windows: int, seed: int):
     """Labelled windows (order, symbols, tags) from rows (order, text): around spans, around other digits and elsewhere."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -321,6 +322,7 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 
 def span_finder(chain: Chain | None, schema: pa.Schema):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         as_rows = lambda spans: [dict(zip(("kind", "start", "end"), s)) for s in spans]
         for batch in batches:
