@@ -303,14 +303,15 @@ def sample_reader(schema: pa.Schema, windows: int, seed: int):
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, most: int, seed: int) -> Chain | None:
-    """A chain from at most `most` documents with a digit or `@`, chosen by a keyed hash; None without any."""
+    """A chain from at most `most` times `SAMPLE_WINDOWS` windows of documents with a digit or `@`, the documents
+    chosen by a keyed hash; None without any."""
     order = draw(seed, F.col(id_col), F.md5(F.col(text_col)))
     rows = docs.where(F.rlike(text_col, F.lit("[0-9@]"))).select(order.alias("order"), F.col(text_col).alias("text"))
     n = rows.count()
     if not n:
         return None
     near = rows.where(low_bits(F.col("order")) < F.lit(2 * most / n * (1 << 32)))
-    # the part of a text around its spans is cut out by the tasks; what arrives is bounded by `most`
+    # the part of a text around its spans is cut out by the tasks; what arrives is bounded
     ddl = "order string, symbols binary, tags binary"
     cut = near.mapInArrow(sample_reader(arrow_schema(ddl), SAMPLE_WINDOWS, seed), ddl)
     sample = cut.orderBy("order", "symbols").limit(most * SAMPLE_WINDOWS).toArrow()
@@ -345,7 +346,7 @@ def find_personal_data(
     """(id, base, spans) for each row of `docs`: spans (kind, start, end) in code points, end exclusive, by kind and start.
 
     `base` holds the fixed patterns. `spans` adds those that a character-level bidirectional LSTM with a
-    CRF reports: it learns from the base spans of at most `sample` documents, some of them rewritten
+    CRF reports: it learns from base spans in at most `sample` times `SAMPLE_WINDOWS` windows, some of them rewritten
     (phones without country code, grouped cards). Whole texts are read in windows of 64 characters, 32
     apart; a character follows the window it lies most centrally in, and spans are put together over
     the whole text. A learned span must hold a digit or `@`, so only windows with one are decoded, and
