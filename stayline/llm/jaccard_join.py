@@ -352,16 +352,19 @@ def jaccard_components(
     groups = components(pairs.unionAll(ties)).where("node >= 0").select(F.col("node").alias("key"), F.col("root").alias("part"))
     groups = store(groups, "join-groups")
 
-    holders = members.join(groups, "key").groupBy("key", "part").agg(F.min("id").alias("id")).select("id", "key", "part")
+    # a set whose ids are all null is found by its digest
+    holder = F.min(F.struct(F.col("id").isNull(), "id", "digest")).alias("holder")
+    holders = members.join(groups, "key").groupBy("key", "part").agg(holder).select("holder.id", "holder.digest", "key", "part")
     holders = store(holders, "join-holders")
-    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - PLACE_BITS)
+    place = F.shiftrightunsigned(F.xxhash64("id", "digest"), 64 - PLACE_BITS)
     set_bits = holders.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word"))
     marked = set_bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 AS int))")).alias("bits")).toArrow()
     bits = np.zeros(1 << (PLACE_BITS - 6), np.uint64)
     bits[marked["word"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
-    near = rows.select(place.alias("place"), "id", "text").mapInArrow(id_filter(bits), f"id {id_type}, text string")
+    near = digested.select(place.alias("place"), "id", "digest", "text").mapInArrow(id_filter(bits), f"id {id_type}, digest string, text string")
     ddl, schema = ddl_of("key long, part long, n int, low long, shingles binary")
-    texts = near.join(holders, "id").select("id", "text", "key", "part")
+    same = near["id"].eqNullSafe(holders["id"]) & (near["digest"] == holders["digest"])
+    texts = near.join(holders, same).select(near["id"], "text", "key", "part")
     sets = store(texts.mapInArrow(holder_sets(schema, ngram, shard_words), ddl).dropDuplicates(["key"]), "join-group-sets")
     links = _verified(sets, pairs, ties, percent, block, arrow_schema("a long, b long"))
     roots = components(links).select(F.col("node").alias("key"), "root")

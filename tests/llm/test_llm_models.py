@@ -300,6 +300,18 @@ def test_jaccard_join_with_long_lists_and_small_blocks(spark, long_list, block):
     assert 1 < len(set(root)) < len(root)
 
 
+def test_null_id_bridges_two_documents(spark):
+    """Ends link only through near copies without an id, of which one set has no other row."""
+    words = [f"w{i}" for i in range(100)]
+    texts = [(1, words), (None, [*words[:95], *"abcde"]), (None, ["v", *words[1:90]]), (2, [*words[10:95], *"abcde", "z1", "z2", "z3"])]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    sets = [{" ".join(w[j : j + 4]) for j in range(len(w) - 3)} for _, w in texts]
+    assert [100 * len(a & sets[1]) >= 85 * len(a | sets[1]) for a in sets] == [True, True, True, True]
+    assert 100 * len(sets[0] & sets[3]) < 85 * len(sets[0] | sets[3])
+    assert {r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()} == {1}
+    assert [r["doc_id"] for r in jaccard_join.keep_one_of_each(docs).collect()] == [1]
+
+
 # quality bounds
 
 
