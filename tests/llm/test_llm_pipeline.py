@@ -80,6 +80,28 @@ def test_one_of_each_group_stays(run):
     assert len(wordless) == after.count() - len(kept)
 
 
+def test_near_copies_share_four_fifths_of_five_words(spark):
+    """Against brute force, with edits around the limit: of copies with single words changed, and of unlike texts."""
+    base = [f"w{i}" for i in range(200)]
+    texts = [base] + [[f"e{k}x{i}" if 9 < i < 10 + k else w for i, w in enumerate(base)] for k in range(2, 40, 3)]
+    texts += [[f"o{i}" for i in range(n)] for n in (3, 30, 33, 40)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    sets = {n: [{" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in texts] for n in (4, 5)}
+
+    def first_of_each(n, percent):
+        root = list(range(len(texts)))
+        for a, x in enumerate(sets[n]):
+            for b, y in enumerate(sets[n][:a]):
+                if 100 * len(x & y) >= percent * len(x | y):
+                    low, high = sorted((root[a], root[b]))
+                    root = [low if r == high else r for r in root]
+        return sorted(set(root))
+
+    assert first_of_each(5, 80) != first_of_each(4, 85)
+    kept = STAGES["ngram_jaccard"](spark, docs, SF).collect()
+    assert sorted(r["doc_id"] for r in kept) == first_of_each(5, 80)
+
+
 def test_passages_of_the_benchmark_are_cut(run, spark):
     folder, steps = run
     before, after = steps["decontamination"]
