@@ -128,5 +128,20 @@ def test_mixing_takes_what_the_operator_says(run, spark, duck_of, tmp_path):
     assert after.columns == [*before.columns, "taken"]
 
 
+def test_one_row_of_each_group_of_copies_survives(spark, tmp_path, monkeypatch):
+    """From line dedup to the mix; the network and the mix drop documents for reasons of their own."""
+    texts = ["\n".join(" ".join(f"t{t}l{i}w{j}" for j in range(9)) for i in range(2 + t)) for t in range(12)]
+    rows = [(10 * t + c if c or t % 3 else None, x) for t, x in enumerate(texts) for c in range(4)] + [(11, texts[1]), (None, texts[0])]
+    rows += [(900, None), (901, None), (902, " \n"), (903, " \n")]
+    docs = spark.createDataFrame([(i, x, len(x or "")) for i, x in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    (tmp_path / "benchmark.parquet").write_bytes(open(f"{SF}/benchmark.parquet", "rb").read())
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:-1])
+    left = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    first = [(10 * t + (t % 3 == 0), x) for t, x in enumerate(texts)]
+    assert sorted(str((r["doc_id"], r["text"])) for r in left if (r["doc_id"] or 0) < 900) == sorted(map(str, first))
+    assert sorted(r["doc_id"] for r in left if (r["doc_id"] or 0) >= 900) == [900, 901, 902, 903]
+
+
 def test_pipeline_on_empty_tables(spark, empty):
     assert corpus_pipeline.run(spark, empty).count() == 0
