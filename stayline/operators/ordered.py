@@ -143,7 +143,7 @@ def running(
     if taken := set(names) & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(taken)}")
     if not group:
-        return _running_over_all(df, order, totals)
+        return running_by_ranges(df, [], order, totals)
     valued = df.withColumns({f"_v_{n}": e for n, e in totals.items()})
     cut, hot = cut_groups(valued, group, order, limit)
     zero = F.lit(0)
@@ -168,20 +168,28 @@ def running(
     return summed.select(*df.columns, *names)
 
 
-def _running_over_all(df: DataFrame, order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    """Running totals over all rows: sums inside the partitions of a range partitioning, then their offsets.
+def running_by_ranges(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]
+) -> DataFrame:
+    """As `running`, but rows are dealt by ranges of (group, order), so a group of any size spreads by itself.
 
-    The partitions are stored, so that both steps see the same ones; only one row of each meets in one task.
+    Sums inside the partitions of the range partitioning, then offsets from the sums of a group's earlier
+    partitions. The partitions are stored, so that both steps see the same ones; what meets for the offsets
+    is one row of each partition and group in it, and of one group never more than the partitions. No
+    group keeps its borders in a row, so the width of a row does not depend on the rows. Group keys must
+    not be null; the order columns may tie only in rows that are equal otherwise.
     """
-    names = list(totals)
-    ranged = df.withColumns({f"_v_{n}": e for n, e in totals.items()}).repartitionByRange(*ascending(order))
-    numbered = ranged.sortWithinPartitions(*ascending(order)).withColumn("_row", F.monotonically_increasing_id())
+    group, names = list(group), list(totals)
+    by = ascending([*group, *order])
+    ranged = df.withColumns({f"_v_{n}": e for n, e in totals.items()}).repartitionByRange(*by)
+    numbered = ranged.sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id())
     kept = store(numbered, "ranged").withColumn("_part", F.shiftright("_row", IN_PARTITION_BITS))
-    inside = Window.partitionBy("_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    parts = kept.groupBy("_part").agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("_part", *[F.coalesce(F.sum(f"_c_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names])
-    summed = kept.join(store(offsets, "offsets"), "_part").withColumns(
+    keys = ["_part", *group]
+    inside = Window.partitionBy(*keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    parts = kept.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_c_{n}") for n in names])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*keys, *[F.coalesce(F.sum(f"_c_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in names])
+    summed = kept.join(store(offsets, "offsets"), keys).withColumns(
         {n: F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)) + F.col(f"_o_{n}") for n in names}
     )
     return summed.select(*df.columns, *names)
