@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_chunks, quality, url_rules
+from . import line_chunks, merkle, quality, url_rules, vector_codes
 
 _B, _M = line_chunks.BASE, line_chunks.MODULUS
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -260,6 +260,102 @@ least AS (SELECT x AS rn, min(doc_id) AS component_id FROM reach JOIN d ON d.rn
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (rn) LEFT JOIN least USING (rn)
 """
 
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """Rounds are the same statement over the codebook before: nearest entries, then their floored means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT rn, p, min(d * {entries} + e) AS best FROM (
+    SELECT rn, p, e, CAST(sum((x - y) * (x - y)) AS BIGINT) AS d FROM x JOIN b{i} USING (p, c) GROUP BY ALL
+  ) GROUP BY ALL
+)""")
+        if i < rounds:
+            steps.append(f"""s{i} AS (
+  SELECT p, best % {entries} AS e, c, count(*) AS n, CAST(sum(x) AS BIGINT) AS s FROM a{i} JOIN x USING (rn, p) GROUP BY ALL
+),
+b{i + 1} AS MATERIALIZED (
+  SELECT p, e, c, coalesce((s - ((s % n) + n) % n) // n, y) AS y FROM b{i} LEFT JOIN s{i} USING (p, e, c)
+)""")
+    chain = ",\n".join(steps)
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER () AS rn, vec_id, label,
+    list_transform(embedding, lambda z: CAST(floor({vector_codes.SCALE} * CAST(z AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0
+),
+f AS (SELECT len(v) AS n FROM k ORDER BY vec_id NULLS LAST, v LIMIT 1),
+kk AS MATERIALIZED (SELECT * FROM k, f WHERE len(v) = n AND n > 0 AND n % {parts} = 0),
+u AS (SELECT rn, n // {parts} AS w, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM kk),
+x AS MATERIALIZED (SELECT rn, i // w AS p, i % w AS c, x FROM u),
+first AS (SELECT rn, row_number() OVER (ORDER BY vec_id NULLS LAST, v, rn) - 1 AS e FROM kk QUALIFY e < {entries}),
+b0 AS MATERIALIZED (SELECT p, e, c, x AS y FROM first JOIN x USING (rn)),
+{chain},
+coded AS (
+  SELECT rn, string_agg(printf('%02x', best % {entries}), '' ORDER BY p) AS code, CAST(sum(best // {entries}) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY rn
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, c)) FROM b{rounds}) AS codebooks_sha256
+FROM coded JOIN kk USING (rn)
+"""
+
+
+OP12 = _codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field_sql, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+def _level_sql(n: str, p: str, n1: str, p1: str) -> str:
+    """A level of the trees: nodes n(g, r, h) and leaves' places p(rn, g, i, sibs, f) to n1 and p1."""
+    run = merkle.RUN
+    return f"""m_{n} AS MATERIALIZED (
+  SELECT g, r // {run} AS q, list(h ORDER BY r) AS hs, max(c) AS c FROM {n} JOIN (SELECT g, count(*) AS c FROM {n} GROUP BY g) USING (g) GROUP BY ALL
+),
+{n1} AS MATERIALIZED (SELECT g, q AS r, CASE WHEN c = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM m_{n}),
+{p1} AS MATERIALIZED (
+  SELECT rn, g, i // {run} AS i,
+    CASE WHEN c = 1 THEN sibs ELSE sibs || coalesce(array_to_string(list_filter(hs, lambda x, k: k <> i % {run} + 1), ''), '') END AS sibs,
+    CASE WHEN c = 1 THEN f ELSE sha256(array_to_string(list_transform(hs, lambda x, k: CASE WHEN k = i % {run} + 1 THEN f ELSE x END), '')) END AS f
+  FROM {p} JOIN m_{n} USING (g) WHERE q = i // {run}
+)"""
+
+
+def _manifest_sql(levels: int, top: int) -> str:
+    """Trees of up to 8^levels rows a language and 8^top languages."""
+    rows = ",\n".join(_level_sql(f"n{j}", f"p{j}", f"n{j + 1}", f"p{j + 1}") for j in range(levels))
+    tops = ",\n".join(_level_sql(f"tn{j}", f"tp{j}", f"tn{j + 1}", f"tp{j + 1}") for j in range(top))
+    polynomial, ones = 0xEDB88320, 0xFFFFFFFF
+    steps = ", ".join(["ord(z)", *["-1"] * 8])
+    crc = f"""xor(list_reduce(CAST([{ones}] AS BIGINT[]) || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda z: CAST([{steps}] AS BIGINT[]))),
+    lambda c, e: CASE WHEN e < 0 THEN xor(c >> 1, {polynomial} * (c & 1)) ELSE xor(c, e) END), {ones})"""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rn, doc_id, coalesce('1' || lang, '0') AS g, {_leaf_sql("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {_leaf_sql(lower)} ELSE {_leaf_sql("text")} END AS tampered
+  FROM documents
+),
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST, leaf, rn) - 1 AS i FROM d),
+n0 AS (SELECT g, i AS r, leaf AS h FROM r),
+p0 AS (SELECT rn, g, i, '' AS sibs, tampered AS f FROM r),
+{rows},
+t AS MATERIALIZED (SELECT g AS lg, row_number() OVER (ORDER BY g) - 1 AS r, h FROM n{levels}),
+tn0 AS (SELECT 0 AS g, r, h FROM t),
+tp0 AS (SELECT rn, 0 AS g, t.r AS i, sibs, f FROM p{levels} JOIN t ON lg = p{levels}.g),
+{tops}
+SELECT doc_id, leaf, t.h AS subroot, tn{top}.h AS root, sha256(sibs) AS proof_sha256, f AS folded_root, f = tn{top}.h AS verified
+FROM tp{top} JOIN r USING (rn) JOIN t ON lg = r.g, tn{top}
+"""
+
+
+OP13 = _manifest_sql(8, 4)
+
 ORACLE_SQL = {
     "op2_mixing": OP2,
     "op3_url_rules": OP3,
@@ -268,4 +364,6 @@ ORACLE_SQL = {
     "op6_line_chunks": OP6,
     "op7_decontamination": OP7,
     "op9_jaccard_join": OP9,
+    "op12_vector_codes": OP12,
+    "op13_merkle_manifest": OP13,
 }

@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, jaccard_join, language_id, licenses, line_chunks, lm_scoring, mixing, pii, quality, url_rules
-from .common import table
+from . import (
+    bpe,
+    decontaminate,
+    jaccard_join,
+    language_id,
+    licenses,
+    line_chunks,
+    lm_scoring,
+    merkle,
+    mixing,
+    pii,
+    quality,
+    url_rules,
+    vector_codes,
+)
+from .common import lower_ascii, table
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +97,53 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    decoded = bpe.decode_ids(bpe.encode_texts(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digits = F.transform("code", lambda e: F.lower(F.lpad(F.hex(e), 2, "0")))
+    numbers = ",".join(str(x) for b in books for x in b.reshape(-1).tolist())
+    return codes.select(
+        F.col("id").alias("vec_id"),
+        F.array_join(digits, "").alias("code"),
+        "error",
+        "label_error",
+        F.sha2(F.lit(numbers), 256).alias("codebooks_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    changed = merkle.row_digest([lower_ascii(F.col(c)) if c == "text" else F.col(c) for c in columns])
+    same = merkle.row_digest([F.col(c) for c in columns])
+    proofs = merkle.prove_rows(
+        table(spark, sf_dir, "documents"), columns, carry={"tampered": F.when(hit, changed).otherwise(same)}
+    )
+    siblings = F.flatten(F.transform("path", lambda level: level["siblings"]))
+    rows = proofs.withColumn("folded_root", merkle.fold("tampered", "path"))
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(siblings, ""), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -94,5 +157,8 @@ QUERIES = {
         op8_licenses,
         op9_jaccard_join,
         op10_personal_data,
+        op11_byte_bpe,
+        op12_vector_codes,
+        op13_merkle_manifest,
     )
 }

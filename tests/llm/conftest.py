@@ -1,5 +1,8 @@
 """Small tables with every awkward case, as Parquet folders that Spark and DuckDB both read."""
 
+import math
+import os
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -80,7 +83,22 @@ PAGES = [
 ]
 
 
-def write(folder, documents, labels, benchmark, pages):
+VECTORS = [(i, [math.sin(1 + i * 7 + j * j) for j in range(16)], i % 3) for i in range(40)] + [
+    (3, [math.sin(22 + j * j) for j in range(16)], 0),
+    (3, [math.sin(22 + j * j) for j in range(16)], 0),
+    (None, [0.5] * 16, None),
+    (None, [0.5] * 16, None),
+    (50, None, 1),
+    (-1, [math.nan] * 16, 1),
+    (-2, [1.0, None] * 8, 1),
+    (-3, [-math.inf] * 16, 1),
+    (51, [1.0] * 8, 2),
+    (52, [], 2),
+    (53, [700.0, -700.0] * 8, None),
+]
+
+
+def write(folder, documents, labels, benchmark, pages, vectors):
     extra = {c: pa.string() for c in "id _id _text _row key n size digest hash shard pos chunk stratum host path words spans items".split()}
 
     def table(rows, schema):
@@ -95,25 +113,28 @@ def write(folder, documents, labels, benchmark, pages):
     pq.write_table(table(labels, {"doc_id": long, "quality": long, "toxic": long}), folder / "labels.parquet")
     pq.write_table(table(benchmark, {"item_id": long, "text": text}), folder / "benchmark.parquet")
     pq.write_table(table(pages, {"page_id": long, "url": text, "html": text}), folder / "pages.parquet")
+    pq.write_table(table(vectors, {"vec_id": long, "embedding": pa.list_(pa.float32()), "label": pa.int32()}), folder / "embeddings.parquet")
     return str(folder)
 
 
 @pytest.fixture(scope="session")
 def awkward(tmp_path_factory):
     pages = [(*p, None) for p in PAGES]
-    return write(tmp_path_factory.mktemp("awkward"), DOCUMENTS, LABELS, BENCHMARK, pages)
+    return write(tmp_path_factory.mktemp("awkward"), DOCUMENTS, LABELS, BENCHMARK, pages, VECTORS)
 
 
 @pytest.fixture(scope="session")
 def empty(tmp_path_factory):
-    return write(tmp_path_factory.mktemp("empty"), [], [], [], [])
+    return write(tmp_path_factory.mktemp("empty"), [], [], [], [], [])
 
 
 @pytest.fixture(scope="session")
 def duck_of():
     def connect(folder):
         con = duckdb.connect()
-        for t in ("documents", "labels", "benchmark", "pages"):
+        for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
+            if not os.path.exists(f"{folder}/{t}.parquet"):
+                continue
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
         return con
 
