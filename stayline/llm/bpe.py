@@ -6,6 +6,7 @@ The tokenizer file is read once by the driver and sent to the tasks; its size is
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -19,8 +20,10 @@ from .words import trimmed
 
 NONE = 1 << 62  # the rank of a pair that does not merge
 PLACE_BITS = 32
-MEMO_WORDS = 200_000  # words whose ids a Python worker remembers; it starts anew when they are more
-MEMO_LENGTH = 64  # longer words are not remembered
+MEMO_CHARS = 3_000_000  # characters of words whose ids a Python worker remembers; it starts anew when they are more
+WORDS_AT_ONCE = 200_000  # words of texts in hand; the new ones among them are merged together
+TEXT_AT_ONCE = 1 << 20  # words of longer texts come in portions
+SIZES = (1, 2, 4, 8, 16, 32, 64)  # leaves of the trees that are merged together; longer words are merged one by one
 ROWS_AT_ONCE = 512
 
 # The endings that are words of their own, and the word pattern of byte-level BPE.
@@ -62,6 +65,10 @@ class Tokenizer:
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[left] << PLACE_BITS | vocab[right]] = rank, vocab[left + right]
+        keys = np.array(sorted(self.merges), np.int64)
+        self.pair_keys = np.append(keys, np.int64(-1))
+        self.pair_ranks = np.array([self.merges[k][0] << PLACE_BITS for k in keys.tolist()] + [NONE], np.int64)
+        self.merged = np.array([new for _, new in sorted(self.merges.values())], np.int64)
         self.byte_id = [vocab.get(c) for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         contents = [b""] * (1 + max([*vocab.values(), *self.special.values()]))
@@ -73,19 +80,43 @@ class Tokenizer:
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")").split
         self.special_ids = {t: np.int32(i).tobytes() for t, i in self.special.items()}
-        self.ascii_words = re.compile(WORDS.format(letter="[A-Za-z]", number="[0-9]", other=r"[^\sA-Za-z0-9]"), re.ASCII).findall
+        self.ascii_words = re.compile(WORDS.format(letter="[A-Za-z]", number="[0-9]", other=r"[^\sA-Za-z0-9]"), re.ASCII)
         young = "".join("-".join(f"\\U{int(c, 16):08x}" for c in run.split("-")) for run in YOUNG.split())
         letter, number, other = rf"[\p{{L}}--[{young}]]", rf"[\p{{N}}--[{young}]]", rf"[[^\s\p{{L}}\p{{N}}]||[{young}]]"
         old = WORDS.format(letter=r"\p{L}", number=r"\p{N}", other=r"[^\s\p{L}\p{N}]")
         self.young = regex.compile(f"[{young}]").search
-        self.old_words = regex.compile(old).findall
-        self.young_words = regex.compile(WORDS.format(letter=letter, number=number, other=other), regex.V1).findall
-        self.memo = _Memo(self)
-
-    def words(self, text: str) -> list[str]:
-        if text.isascii():
-            return self.ascii_words(text)
-        return self.young_words(text) if self.young(text) else self.old_words(text)
+        self.old_words = regex.compile(old)
+        self.young_words = regex.compile(WORDS.format(letter=letter, number=number, other=other), regex.V1)
+        self.byte_ranks = self.ranks(*(np.array(self.byte_id, np.int64)[i] for i in np.indices((256, 256))))
+        self.memo: dict[str, bytes] = {}
+        self.memo_chars = 0
+
+    def word_lists(self, text: str) -> Iterator[list[str]]:
+        """The words of a text without special strings; those of a long one in portions."""
+        pattern = self.ascii_words if text.isascii() else self.young_words if self.young(text) else self.old_words
+        if len(text) <= TEXT_AT_ONCE:
+            yield pattern.findall(text)
+        else:
+            found = (m.group() for m in pattern.finditer(text))
+            while words := list(itertools.islice(found, WORDS_AT_ONCE)):
+                yield words
+
+    def parts(self, text: str | None) -> Iterator[list[str]]:
+        """Words and special strings in order."""
+        if not text:
+            return
+        special = any(t in text for t in self.special)
+        for i, part in enumerate(self.cut(text) if special else [text]):
+            if i % 2:
+                yield [part]
+            elif part:
+                yield from self.word_lists(part)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs of ids, above an empty place; NONE where a pair does not merge."""
+        pair = left << PLACE_BITS | right
+        at = np.searchsorted(self.pair_keys[:-1], pair)
+        return np.where(self.pair_keys[at] == pair, self.pair_ranks[at], NONE)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of a word.
@@ -144,15 +175,90 @@ class Tokenizer:
             i = after[i]
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids as 32-bit integers, end to end."""
-        if not text:
-            return b""
-        parts = self.cut(text) if self.special and any(t in text for t in self.special) else [text]
-        return b"".join(
-            self.special_ids[part] if i % 2 else b"".join(map(self.memo.__getitem__, self.words(part)))
-            for i, part in enumerate(parts)
-        )
+    def merge_together(self, words: list[bytes], size: int) -> list[bytes]:
+        """As `merge` for many words of 2 to size + 1 bytes: one tree for each, all of which take a step at once."""
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.array(words, f"S{size + 1}").view(np.uint8).reshape(len(words), size + 1)
+        place = np.arange(size + 1)
+        alive = place < n[:, None]
+        ids = np.array(self.byte_id, np.int64)[text]
+        after, before = (np.tile(np.arange(d, size + 2 + d), (len(words), 1)) for d in (1, -1))
+        tree = np.full((len(words), 2 * size), NONE, np.int64)
+        leaves = self.byte_ranks[text[:, :-1], text[:, 1:]]
+        tree[:, size:] = np.where(alive[:, 1:] & (leaves < NONE), leaves | place[:-1], NONE)
+        for low in (1 << b for b in reversed(range(size.bit_length() - 1))):
+            tree[:, low : 2 * low] = np.minimum(tree[:, 2 * low : 4 * low : 2], tree[:, 2 * low + 1 : 4 * low : 2])
+        flat = tree.reshape(-1)
+        row = np.flatnonzero(tree[:, 1] < NONE)
+        while len(row):
+            root = tree[row, 1]
+            i = root & ((1 << PLACE_BITS) - 1)
+            j = after[row, i]
+            k = after[row, j]
+            h = before[row, i]
+            ids[row, i] = self.merged[root >> PLACE_BITS]
+            alive[row, j] = False
+            after[row, i] = k
+            before[row, k] = i
+            pairs, closed = np.flatnonzero(k < n[row]), np.flatnonzero(j < size)
+            left = np.flatnonzero(h >= 0)
+            flat[row * 2 * size + size + i] = NONE
+            flat[row[closed] * 2 * size + size + j[closed]] = NONE
+            r, x, y = row[pairs], i[pairs], k[pairs]
+            ranks = self.ranks(ids[r, x], ids[r, y])
+            flat[r * 2 * size + size + x] = np.where(ranks < NONE, ranks | x, NONE)
+            r, x, y = row[left], h[left], i[left]
+            ranks = self.ranks(ids[r, x], ids[r, y])
+            flat[r * 2 * size + size + x] = np.where(ranks < NONE, ranks | x, NONE)
+            base = np.concatenate([row, row[closed], row[left]]) * 2 * size
+            node = (np.concatenate([i, j[closed], h[left]]) + size) >> 1
+            for _ in range(size.bit_length() - 1):
+                below = base + 2 * node
+                flat[base + node] = np.minimum(flat[below], flat[below + 1])
+                node >>= 1
+            row = row[tree[row, 1] < NONE]
+        out = ids[alive].astype(np.int32).tobytes()
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [out[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def learn(self, words: set[str]) -> None:
+        """Puts the ids of new words into the memo."""
+        by_size: dict[int, list[str]] = {}
+        for word in words - self.special.keys():
+            n = len(word) if word.isascii() else len(word.encode())
+            by_size.setdefault(0 if n < 2 else 1 << (n - 2).bit_length(), []).append(word)
+        for size, alike in by_size.items():
+            texts = [w.encode() for w in alike]
+            if size in SIZES:
+                ids = self.merge_together(texts, size)
+            else:
+                ids = [np.array(self.merge(t), np.int32).tobytes() for t in texts]
+            self.memo.update(zip(alike, ids))
+        self.memo.update((w, self.special_ids[w]) for w in words & self.special.keys())
+        self.memo_chars += sum(map(len, words))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as 32-bit integers, end to end."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting, n = [], 0
+
+        def finish() -> None:
+            words = set().union(*(w for _, w in waiting))
+            if self.memo_chars > MEMO_CHARS:
+                self.memo, self.memo_chars = {}, 0
+            self.learn(words - self.memo.keys())
+            for row, of_row in waiting:
+                out[row].append(b"".join(map(self.memo.__getitem__, of_row)))
+
+        for row, text in enumerate(texts):
+            for words in self.parts(text):
+                waiting.append((row, words))
+                n += len(words)
+                if n >= WORDS_AT_ONCE:
+                    finish()
+                    waiting, n = [], 0
+        finish()
+        return [b"".join(parts) for parts in out]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of lists of ids laid end to end; bytes that are no UTF-8 become U+FFFD."""
@@ -163,21 +269,6 @@ class Tokenizer:
         return [str(data[a:b], "utf-8", "replace") for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
 
 
-class _Memo(dict):
-    """Ids of words seen before; starts anew when full, which costs time only."""
-
-    def __init__(self, tokenizer: Tokenizer):
-        self.tokenizer = tokenizer
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.merge(word.encode()), np.int32).tobytes()
-        if len(word) <= MEMO_LENGTH:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 _tokenizers: dict[str, Tokenizer] = {}
 
 
@@ -211,7 +302,7 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(start, ROWS_AT_ONCE)
-                ids = [tokenizer.encode(t) for t in part.column(1).to_pylist()]
+                ids = tokenizer.encode(part.column(1).to_pylist())
                 ends = np.cumsum([0, *(len(b) // 4 for b in ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=["id", "text", "ids"])

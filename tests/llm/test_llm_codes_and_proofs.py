@@ -43,7 +43,7 @@ def own():
 
 
 def ids_of(own, text):
-    return np.frombuffer(own.encode(text), np.int32).tolist()
+    return np.frombuffer(own.encode([text])[0], np.int32).tolist()
 
 
 def library_row(library, text):
@@ -66,7 +66,7 @@ def test_every_character(own, library):
         if not 0x20000 < c < 0xE0000 or c % 97 == 0:
             x = chr(c)
             text = f"a{x}1{x}.{x} x{x}{x} '{x}"
-            if own.words(text) != [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]:
+            if list(itertools.chain(*own.word_lists(text))) != [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]:
                 wrong.append(hex(c))
     assert wrong == []
 
@@ -105,10 +105,20 @@ def test_tree_finds_what_a_scan_finds(own):
         assert own.merge(word) == plain_merge(own, word)
 
 
-def test_memo_starts_anew(own, library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
-    text = "one two three four five one two six " * 3
-    assert ids_of(own, text) == library.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("size", bpe.SIZES)
+def test_trees_together_find_what_a_scan_finds(own, size):
+    draw = random.Random(size)
+    words = [bytes(draw.choice(b"aabbethinors \x00\xc3\xa9") for _ in range(draw.randint(2, size + 1))) for _ in range(300)]
+    got = [np.frombuffer(b, np.int32).tolist() for b in own.merge_together(words, size)]
+    assert got == [plain_merge(own, w) for w in words]
+
+
+def test_memo_and_portions_change_nothing(own, library, monkeypatch):
+    for name, value in {"MEMO_CHARS": 9, "WORDS_AT_ONCE": 4, "TEXT_AT_ONCE": 30}.items():
+        monkeypatch.setattr(bpe, name, value)
+    texts = ["one two three four five one two six " * 3, None, "", "seven <|endoftext|> eight one", "one " * 50 + "é"]
+    got = [np.frombuffer(b, np.int32).tolist() for b in own.encode(texts)]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
 def test_decoding_cut_bytes(spark, own, library):
