@@ -139,6 +139,7 @@ def prove_rows(
         row_digest([F.col(c) for c in columns]).alias("digest"),
         *[c.alias(f"_x_{n}") for n, c in carry.items()],
     )
+    leaves = store(leaves, "merkle-leaves")  # ranges are sampled first: texts are read and hashed once
     one = F.lit(1).cast("long")
     tiers = _tiers(running_by_ranges(leaves, ["_g"], ["_id", "digest"], {"_rank": one}), "rows")
 
