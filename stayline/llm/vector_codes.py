@@ -20,7 +20,7 @@ SCALE = 4096
 PARTS = 8
 ENTRIES = 16
 ROUNDS = 6
-CELL = 512  # the width of a grid cell, in scaled units
+CELL = 256  # the width of a grid cell, in scaled units
 EDGE = 127  # cells at -EDGE and EDGE are open to the outside
 LARGEST = 1 << 27  # scaled components are below this, so that squared distances are exact in 64 bits
 MEMO_CELLS = 1 << 16  # cells of one part that a task remembers; it starts anew when they are more
@@ -35,6 +35,12 @@ class Grid:
         self.memo: dict[bytes, int] = {}
         self.candidates = np.empty((0, len(codebook)), np.int64)  # of each remembered cell, ascending
         self.counts = np.empty(0, np.int64)
+        # Squared distances of a box along one axis, by axis, place of the cell and entry: of its near and far side.
+        low = (np.arange(-EDGE, EDGE + 1) * CELL)[None, :, None]
+        high, entry = low + CELL - 1, codebook.T[:, None, :]
+        gap = np.maximum(np.maximum(low - entry, entry - high), 0)
+        reach = np.maximum(np.abs(entry - low), np.abs(high - entry))
+        self.near, self.far = gap * gap, reach * reach
 
     def candidates_of(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The entries not dominated across the box of each cell, first in the row, and how many they are.
@@ -42,27 +48,26 @@ class Grid:
         An entry goes if its least distance to the box is above the smallest greatest distance; of equal ones
         both stay, so ties are decided by the exact comparison.
         """
-        low = cells.astype(np.int64)[:, None, :] * CELL
-        high = low + CELL - 1
-        book = self.book[None, :, :]
-        gap = np.maximum(np.maximum(low - book, book - high), 0)
-        reach = np.maximum(np.abs(book - low), np.abs(high - book))
-        least, greatest = (gap * gap).sum(axis=2), (reach * reach).sum(axis=2)
+        place = cells.astype(np.int64) + EDGE
+        least = sum(side[place[:, axis]] for axis, side in enumerate(self.near))
+        greatest = sum(side[place[:, axis]] for axis, side in enumerate(self.far))
         held = least <= greatest.min(axis=1, keepdims=True)
         held[(np.abs(cells) >= EDGE).any(axis=1)] = True  # a box without an end
-        return np.argsort(~held, axis=1, kind="stable"), held.sum(axis=1)
+        order = np.cumsum(held, axis=1) - 1
+        entries = np.zeros(held.shape, np.int64)
+        cell, entry = np.nonzero(held)
+        entries[cell, order[cell, entry]] = entry
+        return entries, held.sum(axis=1)
 
-    def rows_of(self, cells: np.ndarray) -> np.ndarray:
+    def rows_of(self, cells: np.ndarray, keys: list[bytes]) -> np.ndarray:
         """Where the candidates of each of the (distinct) cells stand; new cells are added."""
-        keys = [c.tobytes() for c in cells]
         if len(self.memo) + len(keys) > MEMO_CELLS:
             self.memo.clear()
             self.candidates, self.counts = self.candidates[:0], self.counts[:0]
         new = [i for i, k in enumerate(keys) if k not in self.memo]
         if new:
             entries, counts = self.candidates_of(cells[new])
-            for n, i in enumerate(new):
-                self.memo[keys[i]] = len(self.counts) + n
+            self.memo.update(zip([keys[i] for i in new], range(len(self.counts), len(self.counts) + len(new))))
             self.candidates = np.concatenate([self.candidates, entries])
             self.counts = np.concatenate([self.counts, counts])
         return np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))
@@ -73,7 +78,7 @@ class Grid:
         cells = np.clip(parts // CELL, -EDGE, EDGE).astype(np.int8)
         whole = np.ascontiguousarray(cells).view(np.dtype((np.void, width))).reshape(n)
         _, first, of = np.unique(whole, return_index=True, return_inverse=True)
-        row = self.rows_of(cells[first])[of]
+        row = self.rows_of(cells[first], whole[first].tolist())[of]
         best, least = np.zeros(n, np.int64), np.full(n, np.iinfo(np.int64).max)
         counts = self.counts[row]
         for k in range(int(counts.max(initial=0))):
