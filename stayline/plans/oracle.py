@@ -22,6 +22,10 @@ def _text(expr: str) -> str:
     return f"array_to_string({expr}, ',')"
 
 
+def _whole(expr: str) -> str:
+    return _text(f"list_transform({expr}, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1073741824) AS BIGINT))")
+
+
 def _draw(key: str, seed: int) -> str:
     return f"('0x' || substr(md5('{seed}:' || ({key})), 1, 15))::BIGINT"
 
@@ -248,6 +252,12 @@ sql(
     REC,
     PAIRS,
 )
+WHOLE_PAIRS = f"""SELECT idx_t, idx_t1, {_text('a.icd')} AS icd_t, {_text('b.icd')} AS icd_t1,
+  a.ecg_time AS ecg_time_t, b.ecg_time AS ecg_time_t1, {_whole('a.waveform')} AS waveform_t, {_whole('b.waveform')} AS waveform_t1
+  FROM pairs JOIN sig a ON a.row_idx = idx_t JOIN sig b ON b.row_idx = idx_t1"""
+sql("fetch_pairs_together", WHOLE_PAIRS, REC, SIG, PAIRS)
+sql("fetch_pairs_of_cut_subjects", WHOLE_PAIRS, REC, SIG, PAIRS)
+sql("read_linked_pairs", WHOLE_PAIRS + " WHERE pairs.fold <= 17 AND pair_type = 'cross_stay'", REC, SIG, PAIRS)
 sql("transition_vectors", f"SELECT idx_t, {_text('a_t')} AS a_t FROM change", REC, PAIRS, CHANGE)
 sql(
     "transition_values",

@@ -23,7 +23,7 @@ from ..functions import (
     transition_targets,
     zscore_leads,
 )
-from ..operators import assemble, bootstrap, metrics, normality, pairs, quality, samples, scoring, select, signal
+from ..operators import assemble, bootstrap, colocated, metrics, normality, pairs, quality, samples, scoring, select, signal
 from ..operators.lineage import store
 from ..operators.ordered import row_positions
 from ..sources import tables
@@ -257,6 +257,35 @@ def fetch_pairs(spark, sf):
     return found.select("idx_t", "idx_t1", "icd_t", "icd_t1", "ecg_time_t", "ecg_time_t1")
 
 
+FETCHED = ["icd", "ecg_time", "waveform"]
+
+
+def whole(signal):
+    """Every sample of a signal as a whole number of 2^-30, which any engine prints alike."""
+    return F.transform(signal, lambda x: F.floor(x.cast("double") * 2.0**30).cast("long"))
+
+
+def _whole_pairs(found):
+    signals = {f"waveform_{e}": whole(f"waveform_{e}") for e in ("t", "t1")}
+    return found.withColumns(signals).select("idx_t", "idx_t1", *[f"{c}_{e}" for e in ("t", "t1") for c in FETCHED])
+
+
+@query
+def fetch_pairs_together(spark, sf):
+    return _whole_pairs(colocated.fetch_pairs_together(V.pairs(spark, sf), V.recordings(spark, sf), FETCHED))
+
+
+@query
+def fetch_pairs_of_cut_subjects(spark, sf):
+    """Every subject is cut into chunks of some 16 rows, as a dominant one would be."""
+    return _whole_pairs(colocated.fetch_pairs_together(V.pairs(spark, sf), V.recordings(spark, sf), FETCHED, limit=16))
+
+
+@query
+def read_linked_pairs(spark, sf):
+    return _whole_pairs(colocated.read_linked_pairs(spark, V.linked_table(spark, sf), FETCHED, "train", [S.CROSS_STAY]))
+
+
 @query
 def transition_vectors(spark, sf):
     return pairs.pair_labels(V.pairs(spark, sf), V.recordings(spark, sf)).select("idx_t", "a_t")

@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import encode_labels, transition_vector
+from ..operators.colocated import write_linked
 from ..operators.lineage import shared_folder
 from ..operators.ordered import row_positions
 from ..operators.pairs import build_pairs, fetch_pairs, pair_labels
@@ -18,6 +19,7 @@ from ..sources import read_recordings, write_pairs, write_recordings
 VOCABULARY = ["click", "purchase", "signup", "view", "k0", "k1", "k2", "k3"]
 CLASSES = len(VOCABULARY)
 STEPS, LEADS = 16, 4
+LINKED_BUCKETS = 16
 
 _written: set[str] = set()
 
@@ -83,6 +85,16 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(PAIRS).parquet(path)
 
 
+def linked_table(spark: SparkSession, sf_dir: str) -> str:
+    """The name of the recordings table that is bucketed by subject with links, written on first use."""
+    path = shared_dir(spark, "linked", sf_dir)
+    name = f"linked_{zlib.crc32(path.encode()):08x}"
+    if path not in _written:
+        write_linked(recordings(spark, sf_dir), name, LINKED_BUCKETS, path)
+        _written.add(path)
+    return name
+
+
 def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-stay pairs of the test split with y_t, y_t1 and a_t."""
     chosen = split(pairs(spark, sf_dir), "test").where(F.col("pair_type") == "cross_stay")
