@@ -13,7 +13,7 @@ from ..functions.hashing import draw
 from ..functions.labels import contextual_prediction, next_labels, transition_targets
 from .lineage import cut_lineage
 from .metrics import macro_auroc
-from .ordered import HOT_ROWS, cut_groups, row_positions
+from .ordered import HOT_ROWS, row_positions, running_by_ranges
 from .scoring import transition_probabilities
 
 BLOCK_ROWS = 4_096  # rows of one class and score range that a task gets together
@@ -102,9 +102,10 @@ def _block_sums(replicates: int, names: list[str], schema: pa.Schema):
 
 
 def _by_blocks(cells, replicates, seed, row, group, block_rows):
-    """Sort by score once per class, weigh whole blocks for all replicates, and join the blocks' sums.
+    """Rank by score within the class, weigh whole blocks for all replicates, and join the blocks' sums.
 
-    Inside a block ties count one half. Across blocks a negative in an earlier
+    Ranks come from a range partitioning by class and score, so blocks are of one size however many rows a
+    class has, and no row holds more for it. Inside a block ties count one half. Across blocks a negative in an earlier
     block counts one and in a later block nothing; where it has the positive's
     score, which is then an edge score of both blocks, both are set to one half.
     """
@@ -121,7 +122,9 @@ def _by_blocks(cells, replicates, seed, row, group, block_rows):
     narrow = cells.select(
         *keys, row, F.col("score").cast("double").alias("score"), F.col("target").cast("double").alias("target")
     )
-    cut, _ = cut_groups(narrow.where("target IS NOT NULL"), keys, ["score", row], block_rows)
+    one = F.lit(1).cast("long")
+    ranked = running_by_ranges(narrow.where("target IS NOT NULL"), keys, ["score", row], {"_rank": one})
+    cut = ranked.withColumn("_chunk", F.floor(F.col("_rank") / block_rows)).drop("_rank")
     names = [*keys, "_chunk"]
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
     out = ", ".join(f"{n} {kinds[n]}" for n in names)

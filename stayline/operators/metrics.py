@@ -29,7 +29,7 @@ def auroc_by_class(
         F.sum(F.when(positive, 0).otherwise(w)).alias("neg"),
     )
     counts = cut_lineage(counts)
-    ranked = running(counts, keys, ["score"], {"below": F.col("neg")}, limit)
+    ranked = running(counts, keys, ["score"], {"below": F.col("neg")}, limit, few_groups=True)
     wins = F.col("pos") * (F.col("below") + F.lit(0.5) * F.col("neg"))
     return (
         ranked.groupBy(*keys)

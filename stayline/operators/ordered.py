@@ -133,17 +133,22 @@ def running(
     order: Sequence[str],
     totals: Mapping[str, Column],
     limit: int = HOT_ROWS,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Add, per name, the sum of the expression over the earlier rows of the group.
 
     All columns of ``df`` move with the shuffle: pass narrow ones and join wide cells later.
-    Without a group the rows are dealt by ranges of their order, whatever their number.
+    Without a group the rows are dealt by ranges of their order, whatever their number. With ``few_groups``
+    (classes, say) so are they if a group is above the limit; otherwise that group is cut at borders, which
+    costs the other groups nothing.
     """
     group, names = list(group), list(totals)
     if taken := set(names) & set(df.columns):
         raise ValueError(f"columns exist already: {sorted(taken)}")
     if not group:
         return running_by_ranges(df, [], order, totals)
+    if few_groups and hot_groups(df, group, limit) is not None:
+        return running_by_ranges(df, group, order, totals)
     valued = df.withColumns({f"_v_{n}": e for n, e in totals.items()})
     cut, hot = cut_groups(valued, group, order, limit)
     zero = F.lit(0)
