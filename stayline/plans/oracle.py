@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import OTHER_VOCABULARY, REPLICATES, SEED
+from ..operators import normality
+from .queries import OTHER_VOCABULARY, REPLICATES, SEED, SLICES
 from .views import CLASSES, LEADS, VOCABULARY
 
 ORACLE_SQL: dict[str, str] = {}
@@ -735,6 +736,28 @@ sql(
     WAYS,
     projected("proj", "embeddings", "embedding", "8"),
 )
+
+
+def mixed(counter: str, seed: int) -> str:
+    """The uniform draw of a counter, from its 32 random bits."""
+    mask = normality.MASK
+    x = f"((({counter}) + {seed * normality.SEED_STEP % (mask + 1)}) & {mask})"
+    for i, (shift, factor) in enumerate(normality.MIXING):
+        x = f"list_transform({x if i else f'[{x}]'}, lambda x{i}: CAST((CAST(xor(x{i}, x{i} >> {shift}) AS HUGEINT) * {factor}) % {mask + 1} AS BIGINT))"
+    return f"((list_transform({x}, lambda y: xor(y, y >> {normality.LAST_SHIFT}))[1])::DOUBLE + 0.5) / 4294967296::DOUBLE"
+
+
+sql(
+    "seeded_slice_statistics",
+    f"SELECT slice, {_r('statistic', 'statistic')} FROM ({distance('proj')})",
+    GRID,
+    f"""normals AS (
+  SELECT slice, d, sqrt(-2 * ln({mixed('(slice * 64 + d) * 2', 7)})) * cos(2 * pi() * ({mixed('(slice * 64 + d) * 2 + 1', 7)})) AS z
+  FROM (SELECT range AS slice FROM range({SLICES})) ss, (SELECT range AS d FROM range(64)) ds),
+ways AS (SELECT slice, list(a ORDER BY d) AS way FROM (
+  SELECT slice, d, z / sqrt(sum(z * z) OVER (PARTITION BY slice)) AS a FROM normals) GROUP BY slice),
+proj AS (SELECT slice, list_inner_product(CAST(list_transform(embedding, lambda x: x::DOUBLE * 8) AS DOUBLE[]), way) AS x FROM embeddings, ways)""",
+)
 sql(
     "objective",
     f"""SELECT round(p, 6) AS pred_loss, round(r, 6) AS reg_loss, round(0.995::DOUBLE * p + 0.005::DOUBLE * r, 6) AS loss,

@@ -727,6 +727,15 @@ def sliced_epps_pulley(spark, sf):
     return normality.sliced_epps_pulley(_scaled(spark, sf), normality.random_directions(0, 6, 64))
 
 
+SLICES = 1024
+
+
+@query
+def seeded_slice_statistics(spark, sf):
+    """All 1,024 directions of the regulariser."""
+    return normality.seeded_slice_statistics(_scaled(spark, sf), SLICES, 64, seed=7)
+
+
 @query
 def objective(spark, sf):
     ends = V.embedding_pairs(spark, sf)

@@ -154,3 +154,61 @@ def test_sliced_epps_pulley(spark):
     got = N.slice_statistics(df.repartition(3), ways).orderBy("slice").collect()
     assert np.allclose([r.statistic for r in got], want)
     assert N.sliced_epps_pulley(df, ways).first().statistic == pytest.approx(np.mean(want))
+
+
+def test_rows_of_unequal_length_are_left_out(spark):
+    """Values of different rows must never be read as one embedding."""
+    good = np.random.default_rng(2).normal(size=(9, 4)).tolist()
+    bad = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0], [], None, [1.0, None, 2.0, 3.0], [float("nan")] * 4, [float("inf"), 1.0, 1.0, 1.0]]
+    ways = N.random_directions(1, 3, 4)
+    df = spark.createDataFrame([(r,) for pair in zip(good, bad + bad) for r in pair], "embedding array<double>").coalesce(1)
+    only = spark.createDataFrame([(r,) for r in good], "embedding array<double>")
+    for f in (lambda d: N.slice_statistics(d, ways), lambda d: N.seeded_slice_statistics(d, 5, 4, 3)):
+        assert np.allclose([r.statistic for r in f(df).orderBy("slice").collect()], [r.statistic for r in f(only).orderBy("slice").collect()])
+    assert N.slice_statistics(spark.createDataFrame([(r,) for r in bad], "embedding array<double>"), ways).count() == 0
+
+
+def test_seeded_directions(spark, monkeypatch):
+    whole = N.counter_directions(3, 0, 1024, 16)
+    assert np.allclose(np.linalg.norm(whole, axis=1), 1)
+    assert np.array_equal(whole[100:140], N.counter_directions(3, 100, 40, 16))
+    assert abs(whole.mean()) < 0.01 and np.abs(whole.T @ whole / 1024 * 16 - np.eye(16)).max() < 0.15
+    assert not np.allclose(whole, N.counter_directions(4, 0, 1024, 16))
+    draws = N.counter_uniforms(9, np.arange(200_000))
+    assert abs(np.histogram(draws, 50, (0, 1))[0] - 4000).max() < 300 and abs(np.corrcoef(draws[:-1], draws[1:])[0, 1]) < 0.01
+    x = np.random.default_rng(8).normal(size=(200, 16))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "embedding array<double>")
+    monkeypatch.setattr(N, "DIRECTIONS_AT_ONCE", 7)
+    got = N.seeded_slice_statistics(df.repartition(3), 20, 16, 3).orderBy("slice").collect()
+    assert np.allclose([r.statistic for r in got], [statistic(x @ w) for w in whole[:20]])
+
+
+def test_ordered_keys():
+    x = np.array([-np.inf, -1e300, -2.5, -1e-310, 0.0, 5e-324, 1.0, np.nextafter(1, 2), 7e200, np.inf, np.nan])
+    keys = G.ordered_keys(x)
+    assert (np.diff(keys.astype(object)) > 0).all() and G.ordered_keys(np.array([-0.0]))[0] == keys[4]
+    back = [G.value_of_key(int(k)) for k in keys]
+    assert np.array_equal(back, x, equal_nan=True)
+
+
+@pytest.mark.parametrize("limit", [0, 40, 10_000])
+def test_ranks_of_awkward_values(spark, limit):
+    """Values over the whole range of doubles, ties, nulls, several groups, a null group and a null-only one."""
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=200), 10.0 ** rng.uniform(-300, 300, 200), -(10.0 ** rng.uniform(-300, 300, 200)), np.repeat(1.5, 200), [0.0, -0.0]])
+    rows = [(None if i % 3 == 0 else i % 3, float(x)) for i, x in enumerate(values)] + [(1, None), (7, None)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(5)
+    ranks = lambda n: [0, n // 3, n // 2, n - 1]
+    got = G.select_ranks(df, ["g"], "x", ranks, limit)
+    for g in (None, 1, 2):
+        own = sorted(x for k, x in rows if k == g and x is not None)
+        assert got[(g,)] == (len(own), {r: own[r] for r in ranks(len(own))})
+    assert set(got) == {(None,), (1,), (2,)}
+    assert G.percentiles(df.where("false"), ["g"], "x", [50], limit).count() == 0
+    assert G.percentiles(df.where("g = 1"), [], "x", [50], limit).first()[0] == pytest.approx(np.median([x for k, x in rows if k == 1 and x is not None]))
+
+
+def test_selection_moves_counts_only(spark):
+    df = spark.range(5000).selectExpr("id % 2 AS g", "sqrt(id) AS x")
+    text = G._digit_counts(df, ["g"], "x", 0, G.DIGIT, [0])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in text and all("_value" not in line for line in text.splitlines() if "Exchange" in line)
