@@ -111,8 +111,11 @@ def searcher(phrases: Phrases, schema: pa.Schema, shard_words: int):
 
 
 def benchmark_phrases(benchmark: DataFrame, window: int, item_col: str, text_col: str) -> DataFrame:
-    """(phrase, items): each distinct window with the items it is from. Null ids and texts give none."""
-    rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string"), F.col(text_col))
+    """(phrase, items): each distinct window with the ids of the items it is from.
+
+    An item without an id has windows too, which stand in no list of ids; null texts give none.
+    """
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col))
     windows = rows.mapInArrow(phrases_of(window), "phrase binary, item string")
     return windows.groupBy("phrase").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
@@ -131,7 +134,8 @@ def find_contamination(
 
     Words are lower-cased (A-Z) runs of digits, letters a-z and non-ASCII characters. `spans` are the
     merged runs of words inside any occurrence of a benchmark window, `items` the ids of the items
-    whose windows occur, as sorted strings; `digest` is the MD5 of the text.
+    whose windows occur, as sorted strings; `digest` is the MD5 of the text. Windows of items without an
+    id hit words like any others; such an item is not listed.
 
     Phrases are searched in blocks of at most `block_phrases`, so what a task gets is bounded; with
     several blocks their hits are merged by document. Each task cuts its documents into shards of about

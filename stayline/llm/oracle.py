@@ -218,7 +218,7 @@ WITH d AS (
 ),
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWER.format("text")}, '{_ALNUM}') AS ws
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+  FROM benchmark WHERE text IS NOT NULL
 ),
 phrases AS (
   SELECT DISTINCT item, least(len(ws), 10) AS n, array_to_string(ws[i : i + 9], ' ') AS phrase
@@ -231,7 +231,7 @@ places AS (
 ),
 hits AS (SELECT rn, i, n, item FROM places JOIN phrases USING (n, phrase)),
 words AS (SELECT rn, count(DISTINCT i + o) AS n_hit FROM (SELECT DISTINCT rn, i, n FROM hits), (SELECT unnest(range(0, 10)) AS o) WHERE o < n GROUP BY rn),
-items AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rn, item FROM hits) GROUP BY rn)
+items AS (SELECT rn, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rn, item FROM hits WHERE item IS NOT NULL) GROUP BY rn)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (rn) LEFT JOIN items USING (rn)

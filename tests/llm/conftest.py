@@ -57,6 +57,7 @@ DOCUMENTS = [
     (25, prose(9000, 10) + " end", "en", "long"),
     (26, "x" * 30000 + " " + "9" * 8000 + " " + "a.b@" * 3000, "en", "long"),
     (-27, prose(120, 1).replace("the", "THE", 2), "en", "a"),
+    (28, prose(15, 40) + " " + prose(20, 8) + " " + prose(15, 41), "en", "c"),
 ] + [(100 + i, " ".join([*prose(100, 31).split()[: 100 - i % 3], f"edit{i}"]), "de", "hot") for i in range(12)]
 
 BENCHMARK = [(1, ITEM), (2, "tiny item"), (2, "tiny item"), (10, ITEM + " more words"), (3, None), (4, " .. "), (None, prose(20, 8)), (5, "tiny item"), (6, "")]
