@@ -14,6 +14,7 @@ from ..functions.labels import contextual_prediction, next_labels, transition_ta
 from .lineage import cut_lineage
 from .metrics import macro_auroc
 from .ordered import HOT_ROWS, row_positions, running_by_ranges
+from .resampling import held_positions
 from .scoring import transition_probabilities
 
 BLOCK_ROWS = 4_096  # rows of one class and score range that a task gets together
@@ -101,7 +102,24 @@ def _block_sums(replicates: int, names: list[str], schema: pa.Schema):
     return sums
 
 
-def _by_blocks(cells, replicates, seed, row, group, block_rows):
+def _listed_draws(positions: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """(pos, held) of the draws by counter."""
+    number = "smallint" if replicates < 2**15 else "int"
+    drawn = _draws(positions, replicates, seed)
+    return drawn.groupBy("pos").agg(F.collect_list(F.col("replicate").cast(number)).alias("held"))
+
+
+def tree_draws(rows: DataFrame, replicates: int, seed: int, row: str = "row_idx") -> DataFrame:
+    """As `bootstrap_draws` with the draws of `held_positions`, of which none is shuffled."""
+    positions = _positions(rows, row)
+    held = held_positions(positions, replicates, seed).join(positions, "pos")
+    counts = F.transform(
+        F.array_distinct("held"), lambda r: F.struct(r.cast("int").alias("replicate"), F.size(F.filter("held", lambda x: x == r)).cast("long").alias("weight"))
+    )
+    return held.select(row, F.inline(counts)).select("replicate", row, "weight")
+
+
+def _by_blocks(cells, replicates, seed, row, group, block_rows, draws=_listed_draws):
     """Rank by score within the class, weigh whole blocks for all replicates, and join the blocks' sums.
 
     Ranks come from a range partitioning by class and score, so blocks are of one size however many rows a
@@ -110,14 +128,7 @@ def _by_blocks(cells, replicates, seed, row, group, block_rows):
     score, which is then an edge score of both blocks, both are set to one half.
     """
     positions = _positions(cells, row)
-    number = "smallint" if replicates < 2**15 else "int"
-    held = (
-        _draws(positions, replicates, seed)
-        .groupBy("pos")
-        .agg(F.collect_list(F.col("replicate").cast(number)).alias("held"))
-        .join(positions, "pos")
-        .select(row, "held")
-    )
+    held = draws(positions, replicates, seed).join(positions, "pos").select(row, "held")
     keys = [*group, "class_idx"]
     narrow = cells.select(
         *keys, row, F.col("score").cast("double").alias("score"), F.col("target").cast("double").alias("target")
@@ -173,11 +184,14 @@ def bootstrap_replicates(
 
     ``blocks`` moves every cell once with its replicate list and suits continuous
     scores; ``cells`` sums (replicate, class, score) on the map side and suits
-    scores of few values. Replicates without a usable class are absent.
+    scores of few values. ``tree`` is ``blocks`` with the draws of `held_positions`: other draws, of which
+    none is made or moved for itself, for many rows and replicates. Replicates without a usable class are absent.
     """
     cells = cut_lineage(cells.select(*group, row, "class_idx", "score", "target"))
     if method == "blocks":
         return _by_blocks(cells, replicates, seed, row, list(group), limit or BLOCK_ROWS)
+    if method == "tree":
+        return _by_blocks(cells, replicates, seed, row, list(group), limit or BLOCK_ROWS, held_positions)
     if method == "cells":
         return _by_cells(cells, replicates, seed, row, list(group), limit or HOT_ROWS)
     raise ValueError(f"unknown method: {method!r}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..operators import normality
+from ..operators import normality, resampling
 from .queries import OTHER_VOCABULARY, REPLICATES, SEED, SLICES
 from .views import CLASSES, LEADS, VOCABULARY
 
@@ -98,7 +98,8 @@ def _r(expr: str, name: str) -> str:
 
 
 def sql(name: str, body: str, *views: str) -> None:
-    ORACLE_SQL[name] = (f"WITH {', '.join(views)}\n" if views else "") + body
+    recursive = "RECURSIVE " if any("UNION ALL" in v for v in views) else ""
+    ORACLE_SQL[name] = (f"WITH {recursive}{', '.join(views)}\n" if views else "") + body
 
 
 def auroc(cells: str, keys: str = "", weight: str = "1") -> str:
@@ -128,6 +129,46 @@ draws AS (
   SELECT replicate, {row}, count(*) AS weight FROM drawn JOIN positions USING (pos) GROUP BY ALL)"""
 
 
+def tree_draws(rows: str, row: str) -> str:
+    """Views positions and draws as `resampling` makes them: every row of the recursion compares one more bit of
+    all its draws with the share of the left half, or, when that is settled, gives its two halves."""
+    R = resampling
+    whole = "18446744073709551616::UHUGEINT"  # 2^64
+    spread = {k: f"{v}::UHUGEINT" for k, v in R.SPREAD.items()}
+    parts = {"seed": str(SEED), "replicate": "replicate", "node": "node", "step": "step", "word": "w"}
+    x = "((" + " + ".join(f"{e}::UHUGEINT * {spread[k]}" for k, e in parts.items()) + f") % {whole})::UBIGINT"
+    x = f"[{x}]"
+    for i, (shift, factor) in enumerate(R.ROUNDS):
+        x = f"list_transform({x}, lambda x{i}: ((xor(x{i}, x{i} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {whole})::UBIGINT)"
+    bits = f"list_transform({x}, lambda y: xor(y, y >> {R.LAST_SHIFT}))[1]"
+    ones = f"""list_sum(list_transform(range((open + 63) // 64),
+      lambda w: bit_count((({bits}) >> CAST(64 - least(open - 64 * w, 64) AS INTEGER))::HUGEINT)))::BIGINT"""
+
+    def half(size: str) -> str:
+        return f"CASE WHEN {size} > 1 THEN 1::BIGINT << (length(ltrim(bin({size} - 1), '0')) - 1) ELSE 0 END"
+
+    def part(node: str, first: str, size: str, c: str) -> str:
+        return f"{{'node': {node}, 'first': {first}, 'size': {size}, 'c': {c}, 'rest': {half(size)}, 'open': {c}, 'won': 0::BIGINT, 'step': 0::BIGINT}}"
+
+    return f"""positions AS (
+  SELECT {row}, row_number() OVER (ORDER BY {row}) - 1 AS pos FROM (SELECT DISTINCT {row} FROM {rows})),
+tree AS (
+  SELECT replicate, n.* FROM (SELECT range AS replicate FROM range({REPLICATES})) r,
+    (SELECT {part("1::BIGINT", "0::BIGINT", "n", "n")} AS n FROM (SELECT count(*) AS n FROM positions) WHERE n > 0)
+  UNION ALL
+  SELECT replicate, n.* FROM (
+    SELECT replicate, unnest(CASE
+      WHEN going THEN [{{'node': node, 'first': first, 'size': size, 'c': c, 'rest': 2 * rest - b * size,
+        'open': CASE WHEN b = 1 THEN ones ELSE open - ones END, 'won': won + b * (open - ones), 'step': step + 1}}]
+      ELSE [{part("2 * node", "first", "h", "won")}, {part("2 * node + 1", "first + h", "size - h", "c - won")}] END) AS n
+    FROM (
+      SELECT *, open > 0 AND rest > 0 AS going, CASE WHEN 2 * rest >= size THEN 1 ELSE 0 END AS b, {half("size")} AS h,
+        CASE WHEN open > 0 AND rest > 0 THEN {ones} ELSE 0 END AS ones
+      FROM tree WHERE size > 1)
+  ) WHERE n.c > 0),
+draws AS (SELECT replicate, {row}, c AS weight FROM tree JOIN positions ON pos = first WHERE size = 1)"""
+
+
 # Sources and sinks.
 
 sql(
@@ -586,12 +627,13 @@ TEST = (REC, PAIRS, CHANGE, CELLS)
 sql("bootstrap_draws", "SELECT replicate, idx_t, weight FROM draws", *TEST, draws("test_cells", "idx_t"))
 INTERVAL = f"""{_r('avg(m)', 'mean')}, {_r('quantile_cont(m, 0.025)', 'lo')}, {_r('quantile_cont(m, 0.975)', 'hi')},
   count(*) AS replicates"""
-for name in ("bootstrap_auroc", "bootstrap_auroc_blocks"):
+sql("tree_draws", "SELECT replicate, idx_t, weight FROM draws", *TEST, tree_draws("test_cells", "idx_t"))
+for name, drawn in (("bootstrap_auroc", draws), ("bootstrap_auroc_blocks", draws), ("bootstrap_auroc_tree", tree_draws)):
     sql(
         name,
         f"SELECT {INTERVAL} FROM (SELECT replicate, avg(auroc) AS m FROM aucs GROUP BY replicate)",
         *TEST,
-        draws("test_cells", "idx_t"),
+        drawn("test_cells", "idx_t"),
         """weighed AS (
   SELECT replicate, class_idx, y_t AS score, y_t1 AS target, weight FROM test_cells JOIN draws USING (idx_t))""",
         auroc("weighed", "replicate", "weight"),

@@ -619,6 +619,12 @@ def bootstrap_draws(spark, sf):
     return bootstrap.bootstrap_draws(rows, REPLICATES, SEED, "idx_t")
 
 
+@query
+def tree_draws(spark, sf):
+    rows = V.test_pairs(spark, sf).select("idx_t")
+    return bootstrap.tree_draws(rows, REPLICATES, SEED, "idx_t")
+
+
 def _carry_cells(spark, sf):
     cells = metrics.pair_cells(V.test_pairs(spark, sf))
     return cells.select("idx_t", "class_idx", F.col("y_t").alias("score"), F.col("y_t1").alias("target"))
@@ -629,6 +635,11 @@ def bootstrap_auroc(spark, sf):
     return bootstrap.bootstrap_auroc(_carry_cells(spark, sf), REPLICATES, SEED, "idx_t", method="cells")
 
 
+@query
+def bootstrap_auroc_tree(spark, sf):
+    return bootstrap.bootstrap_auroc(_carry_cells(spark, sf), REPLICATES, SEED, "idx_t", method="tree")
+
+
 @query
 def bootstrap_auroc_blocks(spark, sf):
     return bootstrap.bootstrap_auroc(_carry_cells(spark, sf), REPLICATES, SEED, "idx_t", method="blocks")
