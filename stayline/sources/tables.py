@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..schema import METADATA, PAIRS, RECORDINGS, conform
 
+CLUSTER_ROWS = 4_096  # rows of a folder of a clustered table
+CLUSTER_MARK = "_div_"
+
 
 def read_metadata(spark: SparkSession, path: str, schema: T.StructType = METADATA) -> DataFrame:
     """Header CSV of recording metadata, columns by name, with ``row_idx`` = place in the file.
@@ -79,6 +83,64 @@ def write_recordings(df: DataFrame, path: str, mode: str = "overwrite", gather:
     out.write.mode(mode).partitionBy("fold").parquet(path)
 
 
+def append_batch(df: DataFrame, path: str, batch: str) -> None:
+    """Add a chunk of recordings under a name of its own; writing the same chunk again replaces it.
+
+    Each batch is a folder of its own that counts once its write has been committed, so a write that broke
+    leaves nothing that `read_batches` would read, and is simply done again.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch):
+        raise ValueError(f"a batch is named by letters, digits, - and _: {batch!r}")
+    conform(df, RECORDINGS).write.mode("overwrite").partitionBy("fold").parquet(f"{path}/batch={batch}")
+
+
+def committed_batches(spark: SparkSession, path: str) -> list[str]:
+    """The names of the batches whose write has been committed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/_SUCCESS"))
+    return sorted(m.getPath().getParent().getName().removeprefix("batch=") for m in marks)
+
+
+def read_batches(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, where: Column | str | None = None
+) -> DataFrame:
+    """Recordings of all committed batches; unread columns and folds ruled out by ``where`` are not touched."""
+    names = committed_batches(spark, path)
+    if not names:
+        return spark.createDataFrame([], RECORDINGS).select(*(columns or RECORDINGS.fieldNames()))
+    schema = T.StructType([*RECORDINGS.fields, T.StructField("batch", T.StringType())])
+    df = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/batch={n}" for n in names])
+    if where is not None:
+        df = df.where(where)
+    return df.select(*(columns or RECORDINGS.fieldNames()))
+
+
+def write_clustered(df: DataFrame, path: str, rows: int = CLUSTER_ROWS, key: str = "row_idx") -> None:
+    """Write a table in folders of ``rows`` consecutive positions each, sorted, for `take_stored_rows`.
+
+    The folders' column is named after the key and their size, so readers need not be told.
+    """
+    part = f"{key}{CLUSTER_MARK}{rows}"
+    placed = df.withColumn(part, F.floor(F.col(key) / rows).cast("long"))
+    placed.repartitionByRange(part).sortWithinPartitions(part, key).write.mode("overwrite").partitionBy(part).parquet(path)
+
+
+def take_stored_rows(spark: SparkSession, path: str, ids: DataFrame, columns: Sequence[str] | None = None, key: str = "row_idx") -> DataFrame:
+    """Rows of a clustered table by position: ``ids`` holds (pos, key), repeats allowed; ordered by pos.
+
+    The folders that hold any of the ids are found first, and no other is read: what is read is in proportion
+    to the ids. Their numbers, one for each folder of the table at most, come to the driver.
+    """
+    df = spark.read.parquet(path)
+    (part,) = [c for c in df.columns if c.startswith(f"{key}{CLUSTER_MARK}")]
+    rows = int(part.removeprefix(f"{key}{CLUSTER_MARK}"))
+    found = ids.where(F.col(key).isNotNull()).select(F.floor(F.col(key) / rows).cast("long").alias("part")).distinct()
+    cells = df.where(F.col(part).isin([r["part"] for r in found.collect()]))
+    cells = cells.select(key, *(columns or [c for c in df.columns if c not in (key, part)]))
+    return ids.select("pos", key).join(cells, key).orderBy("pos")
+
+
 def write_bucketed(
     df: DataFrame, table: str, key: str, buckets: int, path: str, mode: str = "overwrite"
 ) -> None:
