@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,9 +11,9 @@ from ..functions.arrays import flatten_frames
 from ..functions.labels import decode_labels, encode_labels
 from ..schema import PAIRS, RECORDINGS, conform
 from ..sources import tables
+from . import quality
 from .ordered import positions_joined
 from .pairs import build_pairs
-from .quality import check_split_sizes
 
 
 def assemble_recordings(
@@ -63,10 +64,40 @@ def build_tables(
     pairs = spark.read.schema(PAIRS).parquet(f"{folder}/pairs")
     count = F.count(F.lit(1)).alias("rows")
     kinds = pairs.groupBy(F.col("pair_type").alias("kind")).agg(count).select(F.lit("pairs").alias("table"), "kind", "rows")
-    splits = check_split_sizes(stored).select(F.lit("recordings").alias("table"), F.col("split").alias("kind"), F.col("monitoring").alias("rows"))
+    splits = quality.check_split_sizes(stored).select(F.lit("recordings").alias("table"), F.col("split").alias("kind"), F.col("monitoring").alias("rows"))
     return splits.unionByName(kinds)
 
 
+def verify_build(
+    folder: str, metadata: DataFrame, waves: DataFrame, labels: DataFrame, vocab: Sequence[str], sample: int | None = None, seed: int = 0
+) -> DataFrame:
+    """What is wrong with a build: (check, finding, rows), without rows where nothing is.
+
+    Row counts of both tables (``counts``), missing columns and array lengths (``schema``), recordings that
+    differ from their inputs in any cell (``cells``; with ``sample`` that many, drawn by a hash of the id),
+    label vectors that their codes do not give (``labels``) and pairs that break a rule (``pairs``).
+    """
+    spark = SparkSession.active()
+    stored = tables.read_recordings(spark, f"{folder}/recordings")
+    pairs = spark.read.schema(PAIRS).parquet(f"{folder}/pairs")
+    wanted = assemble_recordings(metadata, waves, labels, vocab)
+    cells = ["subject_id", "ecg_time", "ecg_no_within_stay", "fold", "icd_raw", "icd", "waveform"]
+    counts = quality.check_counts(stored, pairs, metadata).where("NOT ok")
+    schema = quality.check_schema(stored, RECORDINGS.fieldNames(), {"icd": len(vocab)})
+    differing = quality.compare_tables(stored, wanted, "row_idx", cells, sample, seed)
+    wrong = quality.check_reencode(stored, vocab)
+    broken = quality.check_pair_rules(pairs, stored)
+    rows = F.count(F.lit(1)).alias("rows")
+    parts = [
+        counts.select(F.lit("counts").alias("check"), F.col("table").alias("finding"), "rows"),
+        schema.select(F.lit("schema").alias("check"), F.concat_ws(" ", "finding", "column", "length").alias("finding"), "rows"),
+        differing.groupBy(F.col("difference").alias("finding")).agg(rows).select(F.lit("cells").alias("check"), "finding", "rows"),
+        wrong.agg(rows).where("rows > 0").select(F.lit("labels").alias("check"), F.lit("vector").alias("finding"), "rows"),
+        broken.groupBy(F.col("broken_rule").alias("finding")).agg(rows).select(F.lit("pairs").alias("check"), "finding", "rows"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def add_label_column(df: DataFrame, name: str, vocab: Sequence[str]) -> DataFrame:
     """Add a label vector derived from ``icd_raw`` under another vocabulary."""
     return df.withColumn(name, encode_labels("icd_raw", vocab))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import normality, resampling
 from .queries import OTHER_VOCABULARY, REPLICATES, SEED, SLICES
-from .views import CLASSES, LEADS, VOCABULARY
+from .views import CLASSES, LEADS, STEPS, VOCABULARY
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -98,7 +98,7 @@ def _r(expr: str, name: str) -> str:
 
 
 def sql(name: str, body: str, *views: str) -> None:
-    recursive = "RECURSIVE " if any("UNION ALL" in v for v in views) else ""
+    recursive = "RECURSIVE " if any("FROM tree" in v for v in views) else ""
     ORACLE_SQL[name] = (f"WITH {recursive}{', '.join(views)}\n" if views else "") + body
 
 
@@ -183,13 +183,17 @@ sql(
     REC,
 )
 sql("read_array_table", f"SELECT row_idx AS src_index, {_text('icd')} AS labels FROM rec", REC)
+#: The signal with its steps in reverse order.
+TURNED = f"flatten(list_transform(range({STEPS}), lambda t: waveform[({STEPS} - 1 - t) * {LEADS} + 1 : ({STEPS} - t) * {LEADS}]))"
+WHOLE_ROWS = f"""SELECT row_idx, study_id, subject_id, ecg_time, seq::BIGINT AS ecg_no_within_stay,
+  fold::BIGINT AS fold, {_text('icd_raw')} AS icd_raw, {_text('icd')} AS icd, {_whole('waveform')} AS waveform FROM sig"""
 sql(
     "write_recordings",
-    f"""SELECT fold::BIGINT AS fold, count(*) AS rows, sum(row_idx)::BIGINT AS ids,
-  sum(len(waveform))::BIGINT AS samples, sum(len(icd))::BIGINT AS labels FROM sig GROUP BY fold""",
+    WHOLE_ROWS,
     REC,
     SIG,
 )
+sql("append_batches", WHOLE_ROWS, REC, SIG)
 PAIR_ROWS = "SELECT idx_t, idx_t1, subject_id, fold::BIGINT AS fold, pair_type FROM pairs"
 sql("write_pairs", PAIR_ROWS, REC, PAIRS)
 sql(
@@ -207,12 +211,21 @@ sql(
     f"""SELECT row_idx, study_id, subject_id, seq::BIGINT AS ecg_no_within_stay, fold::BIGINT AS fold,
   ecg_time,
   {_text(f"list_filter({_list(VOCABULARY)}, lambda c: list_contains(icd_raw, c))")} AS icd_raw,
-  {_text('icd')} AS icd, len(waveform)::BIGINT AS samples,
-  round(list_sum(list_transform(waveform, lambda x: x::DOUBLE)), 6) + 0.0 AS total,
-  {_r('waveform[64]::DOUBLE', 'last_sample')} FROM sig""",
+  {_text('icd')} AS icd, {_whole('waveform')} AS waveform FROM sig""",
     REC,
     SIG,
 )
+sql(
+    "verify_build",
+    f"""SELECT * FROM (
+  SELECT 'counts' AS "check", 'recordings' AS finding, count(*) AS rows FROM rec HAVING count(*) <> count(*) FILTER (fold <> 10)
+  UNION ALL SELECT 'cells', CASE WHEN fold = 10 THEN 'only_a' ELSE 'waveform' END, count(*) FROM sig
+    WHERE fold = 10 OR (fold = 11 AND {_whole('waveform')} <> {_whole(TURNED)}) GROUP BY ALL
+  UNION ALL SELECT 'pairs', 'number does not rise', count(*) FROM pairs WHERE idx_t % 3 = 0 AND pair_type = 'cross_stay' HAVING count(*) > 0) f""",
+    REC,
+    SIG,
+    PAIRS,
+)
 sql(
     "build_tables",
     """SELECT "table", kind, rows, pairs_only FROM (
@@ -230,14 +243,13 @@ sql(
 )
 sql(
     "frames",
-    f"""SELECT vec_id, step, {_r('embedding[step * 4 + 4]::DOUBLE', 'last_lead')},
-  {_r('embedding[step + 1]::DOUBLE', 'flat_at_step')}
-  FROM embeddings, (SELECT range AS step FROM range(16)) s""",
+    f"""SELECT vec_id, step, {_whole(f"waveform[step * {LEADS} + 1 : step * {LEADS} + {LEADS}]")} AS frame,
+  {_whole('waveform')} AS flat FROM (SELECT vec_id, embedding AS waveform FROM embeddings), (SELECT range AS step FROM range(16))""",
 )
 sql(
     "conform",
     f"""SELECT row_idx, study_id, subject_id, ecg_time, seq::BIGINT AS ecg_no_within_stay,
-  fold::BIGINT AS fold, {_text('icd_raw')} AS icd_raw, {_text('icd')} AS icd, len(waveform)::BIGINT AS waveform FROM sig""",
+  fold::BIGINT AS fold, {_text('icd_raw')} AS icd_raw, {_text('icd')} AS icd, {_whole('waveform')} AS waveform FROM sig""",
     REC,
     SIG,
 )
@@ -375,6 +387,13 @@ sql(
   JOIN rec ON rec.row_idx = ids.row_idx""",
     REC,
 )
+sql(
+    "take_stored_rows",
+    f"""SELECT ids.pos, ids.row_idx, subject_id, {_text('icd')} AS icd
+  FROM (SELECT row_idx AS pos, {_draw('row_idx', 3)} % (SELECT count(*) FROM rec) AS row_idx FROM rec) ids
+  JOIN rec ON rec.row_idx = ids.row_idx""",
+    REC,
+)
 sql(
     "sample_rows",
     f"SELECT row_idx, subject_id FROM rec ORDER BY {_draw('row_idx', 42)}, row_idx LIMIT 2000",
@@ -528,8 +547,8 @@ def vector(name: str, source: str, expr: str, dim: int, key: str = "idx_t") -> s
     return f"{name} AS (SELECT {key} AS id, j, ({expr})::DOUBLE AS x FROM {source}, (SELECT range AS j FROM range({dim})) dims)"
 
 
-def total(source: str, name: str) -> str:
-    return f"SELECT id AS idx_t, round(sum(x * (j + 1)), 6) + 0.0 AS {name} FROM {source} GROUP BY id"
+def values(source: str, name: str) -> str:
+    return f"SELECT id AS idx_t, j, round(x, 6) + 0.0 AS {name} FROM {source}"
 
 
 PROJECTOR = [
@@ -543,10 +562,10 @@ TRUNK = [
     layer("t2", "t1", 32, 32, 2, True),
     layer("trunk", "t2", 32, 32, 3, True, skip="t1"),
 ]
-sql("action_projector", total("emb", "action_emb_sum"), REC, PAIRS, CHANGE, *PROJECTOR)
+sql("action_projector", values("emb", "action_emb"), REC, PAIRS, CHANGE, *PROJECTOR)
 sql(
     "dynamics_predictor",
-    total("ahead", "h_t1_hat_sum"),
+    values("ahead", "h_t1_hat"),
     REC,
     SIG,
     PAIRS,
@@ -560,10 +579,9 @@ sql(
 )
 sql(
     "action_predictor",
-    """SELECT o.idx_t, onset_logits_sum, resolution_logits_sum
-  FROM (SELECT id AS idx_t, round(sum(x * (j + 1)), 6) + 0.0 AS onset_logits_sum FROM onset_head GROUP BY id) o
-  JOIN (SELECT id AS idx_t, round(sum(x * (j + 1)), 6) + 0.0 AS resolution_logits_sum FROM resolution_head GROUP BY id) r
-  ON o.idx_t = r.idx_t""",
+    f"""SELECT o.idx_t, o.j, onset_logits, resolution_logits
+  FROM ({values('onset_head', 'onset_logits')}) o JOIN ({values('resolution_head', 'resolution_logits')}) r
+  ON o.idx_t = r.idx_t AND o.j = r.j""",
     REC,
     SIG,
     PAIRS,
@@ -842,6 +860,9 @@ sql(
     REC,
     SIG,
 )
+COMPARED = """SELECT row_idx, CASE WHEN fold = 10 THEN 'only_a' ELSE 'icd' END AS difference
+  FROM rec WHERE fold = 10 OR (fold = 11 AND list_reverse(icd) <> icd)"""
+sql("compare_by_ranges", COMPARED, REC)
 sql(
     "compare_tables",
     """SELECT row_idx, CASE WHEN fold = 10 THEN 'only_a' ELSE 'icd' END AS difference

@@ -53,6 +53,11 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema])
 
 
+def whole(signal):
+    """Every sample of a signal as a whole number of 2^-30, which any engine prints alike."""
+    return F.transform(signal, lambda x: F.floor(x.cast("double") * 2.0**30).cast("long"))
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
     QUERIES[fn.__name__] = lambda spark, sf_dir: tidy(fn(spark, sf_dir))
     return fn
@@ -102,16 +107,18 @@ def write_recordings(spark, sf):
     rows = V.recordings(spark, sf)
     tables.write_recordings(rows.where("fold < 10"), path, "overwrite")
     tables.write_recordings(rows.where("fold >= 10"), path, "append")
-    return (
-        tables.read_recordings(spark, path)
-        .groupBy("fold")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum("row_idx").alias("ids"),
-            F.sum(F.size("waveform")).alias("samples"),
-            F.sum(F.size("icd")).alias("labels"),
-        )
-    )
+    return tables.read_recordings(spark, path).withColumn("waveform", whole("waveform"))
+
+
+@query
+def append_batches(spark, sf):
+    """Three chunks, one of which is written a second time after a first try with half of its rows."""
+    path = V.shared_dir(spark, "append_batches", sf)
+    rows = V.recordings(spark, sf)
+    chunk = F.col("row_idx") % 3
+    for name, part in (("0", chunk == 0), ("1", (chunk == 1) & (F.col("fold") > 9)), ("1", chunk == 1), ("2", chunk == 2), ("2", chunk == 2)):
+        tables.append_batch(rows.where(part), path, name)
+    return tables.read_batches(spark, path).withColumn("waveform", whole("waveform"))
 
 
 @query
@@ -142,16 +149,13 @@ def assemble_recordings(spark, sf):
     )
     labels = rows.select(F.col("row_idx").alias("src_index"), F.col("icd").alias("labels"))
     built = assemble.assemble_recordings(meta, waves, labels, V.VOCABULARY)
-    total = F.aggregate("waveform", F.lit(0.0), lambda s, x: s + x)
     return built.select(
         "row_idx",
         *META,
         "ecg_time",
         "icd_raw",
         "icd",
-        F.size("waveform").alias("samples"),
-        F.round(total, 6).alias("total"),
-        F.get("waveform", F.lit(63)).alias("last_sample"),
+        whole("waveform").alias("waveform"),
     )
 
 
@@ -169,6 +173,24 @@ def build_tables(spark, sf):
     return first.unionByName(again.withColumn("pairs_only", F.lit(True)))
 
 
+@query
+def verify_build(spark, sf):
+    """Of a build after which the inputs changed: signals of fold 11 were turned round, fold 10 has gone, and a
+    third of the pair index was marked as within a stay."""
+    rows = V.recordings(spark, sf)
+    folder = V.shared_dir(spark, "verify_build", sf)
+    narrow = rows.select("row_idx", *META, F.col("row_idx").alias("h5_index"))
+    frames = reshape_frames("waveform", V.LEADS)
+    turned = F.when(F.col("fold") == 11, F.reverse(frames)).otherwise(frames)
+    waves, other = (rows.select(F.col("row_idx").alias("src_index"), "ecg_time", f.alias("frames")) for f in (frames, turned))
+    labels = rows.select(F.col("row_idx").alias("src_index"), F.col("icd").alias("labels"))
+    assemble.build_tables(narrow, waves, labels, V.VOCABULARY, folder)
+    index = spark.read.schema(S.PAIRS).parquet(f"{folder}/pairs")
+    marked = F.when(F.col("idx_t") % 3 == 0, S.WITHIN_STAY).otherwise(F.col("pair_type"))
+    tables.write_pairs(store(index.withColumn("pair_type", marked), "marked"), f"{folder}/pairs")
+    return assemble.verify_build(folder, narrow.where("fold <> 10"), other, labels, V.VOCABULARY)
+
+
 @query
 def with_row_index(spark, sf):
     rows = V.recordings(spark, sf).select("study_id", "subject_id", "ecg_time")
@@ -181,16 +203,14 @@ def frames(spark, sf):
         "vec_id", reshape_frames("embedding", V.LEADS).alias("frames")
     )
     flat = nested.select("vec_id", F.posexplode("frames").alias("step", "f"), flatten_frames("frames").alias("flat"))
-    return flat.select(
-        "vec_id", "step", F.get("f", F.lit(3)).alias("last_lead"), F.get("flat", F.col("step")).alias("flat_at_step")
-    )
+    return flat.select("vec_id", "step", whole("f").alias("frame"), whole("flat").alias("flat"))
 
 
 @query
 def conform(spark, sf):
     rows = V.recordings(spark, sf).withColumn("extra", F.lit(1))
     out = S.conform(rows, S.RECORDINGS)
-    return out.withColumn("waveform", F.size("waveform"))
+    return out.withColumn("waveform", whole("waveform"))
 
 
 # Labels.
@@ -260,11 +280,6 @@ def fetch_pairs(spark, sf):
 FETCHED = ["icd", "ecg_time", "waveform"]
 
 
-def whole(signal):
-    """Every sample of a signal as a whole number of 2^-30, which any engine prints alike."""
-    return F.transform(signal, lambda x: F.floor(x.cast("double") * 2.0**30).cast("long"))
-
-
 def _whole_pairs(found):
     signals = {f"waveform_{e}": whole(f"waveform_{e}") for e in ("t", "t1")}
     return found.withColumns(signals).select("idx_t", "idx_t1", *[f"{c}_{e}" for e in ("t", "t1") for c in FETCHED])
@@ -371,6 +386,17 @@ def sample_rows_with_replacement(spark, sf):
     return select.sample_rows(rows, 2000, seed=1, replace=True)
 
 
+@query
+def take_stored_rows(spark, sf):
+    """As take_rows, from files in folders of 64 positions each."""
+    path = V.shared_dir(spark, "clustered", sf)
+    rows = V.recordings(spark, sf)
+    tables.write_clustered(rows.select("row_idx", "subject_id", "icd"), path, 64)
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ids = rows.select(F.col("row_idx").alias("pos"), (draw("row_idx", 3) % n).alias("row_idx"))
+    return tables.take_stored_rows(spark, path, ids, ["subject_id", "icd"])
+
+
 @query
 def sample_per_group(spark, sf):
     return select.sample_per_group(V.pairs(spark, sf), "pair_type", 10, seed=2, id_col="idx_t")
@@ -530,16 +556,16 @@ def projector_weights(classes: int, dim: int) -> list[dict[str, np.ndarray]]:
     return [rule_layer(dim, classes, 5), rule_layer(dim, dim, 6), rule_layer(dim, dim, 7)]
 
 
-def _vector_sums(df: DataFrame, *cols: str) -> DataFrame:
-    """Sums in which the place of a value counts."""
-    sums = [F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x) for c in cols]
-    return df.select("idx_t", *[F.round(s, 6).alias(f"{c}_sum") for s, c in zip(sums, cols)])
+def _vector_values(df: DataFrame, *cols: str) -> DataFrame:
+    """Every value of the vectors, by its place."""
+    cells = df.select("idx_t", F.posexplode(F.arrays_zip(*cols)).alias("j", "v"))
+    return cells.select("idx_t", "j", *[F.round(f"v.{c}", 6).alias(c) for c in cols])
 
 
 @query
 def action_projector(spark, sf):
     rows = V.embedding_pairs(spark, sf).select("idx_t", "a_t")
-    return _vector_sums(scoring.action_projector(rows, projector_weights(V.CLASSES, 16)), "action_emb")
+    return _vector_values(scoring.action_projector(rows, projector_weights(V.CLASSES, 16)), "action_emb")
 
 
 @query
@@ -547,14 +573,14 @@ def dynamics_predictor(spark, sf):
     rows = V.embedding_pairs(spark, sf).select("idx_t", "h_t", "a_t")
     rows = scoring.action_projector(rows, projector_weights(V.CLASSES, 16))
     weights = predictor_weights(64 + 16, 32, {"output": 64})
-    return _vector_sums(scoring.dynamics_predictor(rows, weights), "h_t1_hat")
+    return _vector_values(scoring.dynamics_predictor(rows, weights), "h_t1_hat")
 
 
 @query
 def action_predictor(spark, sf):
     rows = V.embedding_pairs(spark, sf).select("idx_t", displacement("h_t", "h_t1").alias("d"))
     weights = predictor_weights(64, 32, {"onset": V.CLASSES, "resolution": V.CLASSES})
-    return _vector_sums(scoring.action_predictor(rows, weights), "onset_logits", "resolution_logits")
+    return _vector_values(scoring.action_predictor(rows, weights), "onset_logits", "resolution_logits")
 
 
 @query
@@ -794,6 +820,12 @@ def compare_tables(spark, sf):
     return quality.compare_tables(V.recordings(spark, sf), other, "row_idx", ["icd_raw", "icd"])
 
 
+@query
+def compare_by_ranges(spark, sf):
+    other = _altered(spark, sf).where("fold <> 10")
+    return quality.compare_by_ranges(V.recordings(spark, sf), other, "row_idx", ["icd_raw", "icd"], 16, 200)
+
+
 @query
 def check_reencode(spark, sf):
     return quality.check_reencode(_altered(spark, sf), V.VOCABULARY)
