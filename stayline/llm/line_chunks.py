@@ -11,30 +11,33 @@ BASE, MODULUS = 31, 2_147_483_647
 
 
 def chunked(docs: DataFrame, window: int, every: int) -> DataFrame:
-    """Adds `_lines` and `_chunks` (first line from 1, lines, text) to rows with `_text`.
+    """Adds `_chunks` (first line from 1, lines, digest, whether it has a word) to rows with `_text`.
 
-    A boundary follows each line at which the rolling hash of it and the window - 1 lines before
-    is a multiple of `every`. It depends on those lines only, so an insertion earlier in a text
-    moves chunks but does not change them.
+    A boundary is each line at which the rolling hash of it and the window - 1 lines before is a
+    multiple of `every`, and the first and the last line. A chunk runs from a boundary through the next
+    one, both included, so it has two lines or more. Boundaries depend on those lines only: an insertion
+    earlier in a text moves chunks but does not change them. With every = 1 chunks are all pairs of
+    neighbours, and each repeated run of two lines or more consists of repeated chunks.
     """
-    rows = docs.withColumn("_lines", F.split("_text", "\n"))
-    hashed = F.transform("_lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-    rows = rows.withColumn("_hashes", hashed).withColumn("_n", F.size("_lines"))
+    lines = F.split("_text", "\n")
+    rows = docs.withColumn("_marks", F.transform(lines, lambda x: F.struct(F.md5(x).alias("digest"), F.rlike(x, F.lit(WORD)).alias("word"))))
+    hashed = F.transform("_marks", lambda x: F.conv(F.substring(x["digest"], 1, 8), 16, 10).cast("long"))
+    rows = rows.withColumn("_hashes", hashed).withColumn("_n", F.size("_marks"))
     rolled = F.transform("_hashes", lambda h: h % MODULUS)
     for back in range(1, window):
         before = F.slice(F.concat(F.array_repeat(F.lit(0).cast("long"), back), F.col("_hashes")), F.lit(1), F.size("_hashes"))
         rolled = F.zip_with(rolled, before, lambda a, b: (a * BASE + b) % MODULUS)
-    ends = F.filter(F.transform(rolled, lambda r, i: F.when(r % every == 0, i + 1)), lambda x: x.isNotNull())
-    rows = rows.withColumn("_ends", F.array_distinct(F.concat(ends, F.array("_n"))))
-    starts = F.concat(F.array(F.lit(0)), F.slice("_ends", F.lit(1), F.size("_ends") - 1))
-    chunks = F.zip_with(
-        starts,
-        "_ends",
-        lambda a, b: F.struct(
-            (a + 1).alias("first"), (b - a).alias("n"), F.array_join(F.slice("_lines", a + 1, b - a), "\n").alias("text")
-        ),
-    )
-    return rows.withColumn("_chunks", chunks).drop("_hashes", "_n", "_ends")
+    cuts = F.filter(F.transform(rolled, lambda r, i: F.when(r % every == 0, i + 1)), lambda x: x.isNotNull())
+    rows = rows.withColumn("_cuts", F.array_distinct(F.concat(F.array(F.lit(1)), cuts, F.array("_n"))))
+
+    def chunk(a, b):
+        own = F.slice("_marks", a, b - a + 1)
+        digest = F.unhex(F.md5(F.array_join(own["digest"], "")))
+        return F.struct(a.alias("first"), (b - a + 1).alias("n"), digest.alias("chunk"), F.exists(own["word"], lambda w: w).alias("word"))
+
+    rest = F.size("_cuts") - 1
+    chunks = F.zip_with(F.slice("_cuts", F.lit(1), rest), F.slice("_cuts", F.lit(2), rest), chunk)
+    return rows.withColumn("_chunks", chunks).drop("_marks", "_hashes", "_n", "_cuts")
 
 
 def dedup_line_chunks(
@@ -42,34 +45,32 @@ def dedup_line_chunks(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = 2,
-    every: int = 4,
-    min_lines: int = 2,
+    every: int = 1,
+    n_lines: str = "n_lines",
+    n_removed_lines: str = "n_removed_lines",
 ) -> DataFrame:
     """`docs` with repeated multi-line chunks taken out of their text, plus `n_lines` and `n_removed_lines`.
 
-    Of equal chunks of at least `min_lines` lines and one word, the first by (id, text digest, line)
-    stays; nulls come first. Candidates share a digest; a chunk goes only if its bytes equal those of
-    the first. The other lines keep their order.
+    Of equal chunks with a word, the first by (id, text digest, line) stays; nulls come first.
+    Candidates share a digest; a chunk goes only if its bytes equal those of the first. The other
+    lines keep their order. The first place of each line of text always stays. With every = 1 each run
+    of two lines or more that stands at an earlier place too goes whole; higher values move fewer
+    rows and miss the runs, or ends of runs, that lie between boundaries.
 
     A null text stays null with no lines. Rows with equal id and text are one document: all of them
-    get the same result. Other columns, whatever their names, are kept (`n_lines` and
-    `n_removed_lines` are replaced). An empty table gives no rows.
+    get the same result. Other columns, whatever their names, are kept; the two counts replace columns of their
+    names, which are parameters. An empty table gives no rows.
     """
-    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
+    kept_columns = [c for c in docs.columns if c not in (n_lines, n_removed_lines)]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept_columns]).alias("_row"),
         F.col(id_col).alias("_id"),
         F.col(text_col).alias("_text"),
         F.md5(F.coalesce(text_col, F.lit(""))).alias("_digest"),
     )
-    texts = rows.where("_text IS NOT NULL").select("_id", "_digest", "_text")
+    texts = rows.where(F.contains("_text", F.lit("\n"))).select("_id", "_digest", "_text")
     place = F.struct("_id", "_digest", "first")
-    found = (
-        chunked(texts, window, every)
-        .select("_id", "_digest", F.inline("_chunks"))
-        .where((F.col("n") >= min_lines) & F.rlike("text", F.lit(WORD)))
-        .select("_id", "_digest", "first", F.md5("text").alias("chunk"))
-    )
+    found = chunked(texts, window, every).select("_id", "_digest", F.inline("_chunks")).where("word").drop("word")
     found = store(found, "line-chunks")
     repeated = (
         found.groupBy("chunk").agg(F.min(place).alias("holder"), F.max(place).alias("last")).where("holder != last").drop("last")
@@ -78,7 +79,7 @@ def dedup_line_chunks(
     candidates = (
         found.join(repeated, "chunk")
         .groupBy("_id", "_digest")
-        .agg(F.collect_set(F.struct("first", "chunk", (place == F.col("holder")).alias("holds"))).alias("_candidates"))
+        .agg(F.collect_set(F.struct("first", "n", "chunk", (place == F.col("holder")).alias("holds"))).alias("_candidates"))
     )
 
     def same(a: DataFrame, b: DataFrame):
@@ -87,13 +88,15 @@ def dedup_line_chunks(
     matched = rows.join(candidates, same(rows, candidates), "inner").select(
         rows["_id"], rows["_digest"], "_text", "_candidates"
     )
-    passages = (
-        chunked(matched.dropDuplicates(["_id", "_digest"]), window, every)
-        .select("_id", "_digest", F.map_from_entries(F.transform("_candidates", lambda c: F.struct(c["first"], c))).alias("_by_line"), F.inline("_chunks"))
-        .withColumn("candidate", F.try_element_at("_by_line", F.col("first")))
-        .where("candidate IS NOT NULL")
-        .select("_id", "_digest", "first", "n", "text", "candidate.chunk", "candidate.holds")
+    # the lines are split once for a text, as the variable of a function, not once for a chunk
+    cut = F.transform(
+        F.array(F.split("_text", "\n")),
+        lambda lines: F.transform(
+            "_candidates",
+            lambda c: F.struct(c["first"], c["n"], c["chunk"], c["holds"], F.array_join(F.slice(lines, c["first"], c["n"]), "\n").alias("text")),
+        ),
     )
+    passages = matched.dropDuplicates(["_id", "_digest"]).select("_id", "_digest", F.inline(F.get(cut, F.lit(0))))
     passages = store(passages, "line-passages")
     holders = passages.where("holds").select("chunk", F.col("text").alias("held"))
     removed = (
@@ -113,6 +116,6 @@ def dedup_line_chunks(
     kept = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join(F.transform(numbers, lambda i: F.get("_lines", i - 1)), "\n"))
     return result.select(
         *[(kept if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in kept_columns],
-        F.coalesce(F.size("_lines").cast("long"), F.lit(0).cast("long")).alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size("_lines").cast("long"), F.lit(0).cast("long")).alias(n_lines),
+        F.size("_gone").cast("long").alias(n_removed_lines),
     )

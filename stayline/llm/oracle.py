@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from . import line_chunks, merkle, quality, url_rules, vector_codes
 
-_B, _M = line_chunks.BASE, line_chunks.MODULUS
 _WORD = r"[^\x20\x09-\x0D]+"
 
 _URL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_rules.RULES)
@@ -125,28 +124,17 @@ u AS (SELECT DISTINCT doc_id, digest, text FROM d WHERE text IS NOT NULL),
 l AS (
   SELECT doc_id, digest, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM u
 ),
-h AS (SELECT *, CAST('0x' || md5(line)[1:8] AS BIGINT) AS h FROM l),
-r AS (
-  SELECT *, ((h % {_M}) * {_B} + coalesce(lag(h) OVER w, 0)) % {_M} AS rolled FROM h
-  WINDOW w AS (PARTITION BY doc_id, digest ORDER BY i)
-),
-b AS (
-  SELECT *, coalesce(sum(CAST(rolled % 4 = 0 AS INT)) OVER (
-    PARTITION BY doc_id, digest ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM r
-),
-chunks AS (
-  SELECT doc_id, digest, c, min(i) AS first, string_agg(line, chr(10) ORDER BY i) AS chunk FROM b
-  GROUP BY doc_id, digest, c HAVING count(*) >= 2
-),
-gone AS (
-  SELECT doc_id, digest, c FROM chunks WHERE regexp_matches(chunk, '{_WORD}')
-  QUALIFY row_number() OVER (PARTITION BY chunk ORDER BY doc_id NULLS FIRST, digest, first) > 1
+p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id, digest ORDER BY i) AS next FROM l),
+later AS (
+  SELECT doc_id, digest, i FROM p WHERE next IS NOT NULL AND regexp_matches(line || ' ' || next, '{_WORD}')
+  QUALIFY row_number() OVER (PARTITION BY line, next ORDER BY doc_id NULLS FIRST, digest, i) > 1
 ),
+gone AS (SELECT * FROM later UNION SELECT doc_id, digest, i + 1 FROM later),
 k AS (
-  SELECT b.doc_id, b.digest, count(*) AS n_lines, count(gone.c) AS n_removed_lines,
-    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.c IS NULL), '') AS text
-  FROM b LEFT JOIN gone ON b.doc_id IS NOT DISTINCT FROM gone.doc_id AND b.digest = gone.digest AND b.c = gone.c
-  GROUP BY b.doc_id, b.digest
+  SELECT l.doc_id, l.digest, count(*) AS n_lines, count(gone.i) AS n_removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (gone.i IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON l.doc_id IS NOT DISTINCT FROM gone.doc_id AND l.digest = gone.digest AND l.i = gone.i
+  GROUP BY l.doc_id, l.digest
 )
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE n_lines END AS n_lines,
   CASE WHEN d.text IS NULL THEN 0 ELSE n_removed_lines END AS n_removed_lines,
