@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.lineage import store
 
-__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "lower_ascii", "store", "table"]
+__all__ = ["LOWER", "SPACE", "UPPER", "WORD", "least_row", "lower_ascii", "row_digest", "store", "table"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -21,3 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def row_digest(row: str) -> Column:
+    """A digest of all columns of a struct: the same in every run, so that a choice among rows by it is too."""
+    return F.md5(F.to_json(row))
+
+
+def least_row(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: of several, the one whose `_row` has the least digest."""
+    return rows.groupBy(*keys).agg(F.min_by("_row", row_digest("_row")).alias("_row"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.ordered import running
-from .common import WORD, store
+from .common import WORD, least_row, store
 from .components import components
 from .words import arrow_schema, batch_of, in_shards, plain_words, trimmed
 
@@ -411,7 +411,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of `docs` less those that link, directly or through others, to a row that stays.
 
     Of each component the row with the least id stays, nulls last; of equal ids the one with the least
-    text digest; of rows equal in both any one. Texts without words link with nothing and stay.
+    text digest; of rows equal in both the one with the least digest of all columns. Texts without words link with nothing and stay.
     """
     found = jaccard_components(docs, id_col=id_col, text_col=text_col, **options)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "digest")
@@ -424,5 +424,5 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.rlike(F.coalesce(text_col, F.lit("")), F.lit(WORD)).alias("_words"),
     )
     kept = rows.where("_words").join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
-    kept = kept.dropDuplicates(["_own", "_key"]).unionAll(rows.where("NOT _words"))
+    kept = least_row(kept, "_own", "_key").select("_row").unionAll(rows.where("NOT _words").select("_row"))
     return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.ordered import row_positions
-from .common import WORD, store
+from .common import WORD, least_row, store
 
 # Weights of the sources in code point order, repeating, and the most passes over a source.
 WEIGHTS = (5, 2, 1)
@@ -87,7 +87,7 @@ def mix_sources(
 ) -> DataFrame:
     """(id, digest, source, size, source_size, target, taken) for each row of `docs`; `digest` is the MD5 of the text.
 
-    Documents are dealt to shards of about `shard_words` words by a keyed hash of their id. In a shard
+    Documents are dealt to shards of about `shard_words` words by a keyed hash of id and text. In a shard
     the words of a source, documents in hash order, are cut into equal blocks of about `block_words`.
     Sainte-Laguë gives each source its number of blocks from its target's share of the shard. A source
     gets whole passes and, for the rest, the blocks that a seeded draw ranks first; `taken` counts the
@@ -110,7 +110,7 @@ def mix_sources(
 
     placed = (
         sizes.join(sources, sizes["source"].eqNullSafe(sources["source"]))
-        .select("id", "digest", sizes["source"], "size", "source_size", "target", "pos", draw(seed, "doc", F.col("id")).alias("draw"))
+        .select("id", "digest", sizes["source"], "size", "source_size", "target", "pos", draw(seed, "doc", F.col("id"), F.col("digest")).alias("draw"))
         .withColumn("shard", low_bits(F.col("draw")) % shards)
     )
     parts = placed.groupBy("shard", "pos", "source_size", "target").agg(F.sum("size").alias("words")).where("words > 0")
@@ -153,18 +153,20 @@ def mix_sources(
     )
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", taken_col: str = "taken", **options) -> DataFrame:
     """The rows of `docs` that the mix takes words of, with `taken`; see `mix_sources`.
 
-    Rows equal in id and text become one, with the sum of what is taken of them.
+    Rows equal in id and text become one, the same in every run, with the sum of what is taken of them.
+    A column named as `taken_col` is replaced.
     """
     mixed = mix_sources(docs, id_col=id_col, text_col=text_col, **options).where("taken > 0")
     mixed = mixed.groupBy(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).agg(F.sum("taken").alias("_taken"))
-    columns = [c for c in docs.columns if c != "taken"]
+    columns = [c for c in docs.columns if c != taken_col]
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
         F.col(id_col).alias("_own"),
         F.md5(F.coalesce(text_col, F.lit(""))).alias("_key"),
-    ).dropDuplicates(["_own", "_key"])
+    )
+    rows = least_row(rows, "_own", "_key")
     met = rows.join(mixed, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")))
-    return met.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], F.col("_taken").alias("taken"))
+    return met.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns], F.col("_taken").alias(taken_col))

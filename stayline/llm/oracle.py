@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_chunks, merkle, quality, url_rules, vector_codes
+from . import merkle, quality, url_rules, vector_codes
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -145,7 +145,7 @@ FROM d LEFT JOIN k ON d.doc_id IS NOT DISTINCT FROM k.doc_id AND d.digest = k.di
 OP2 = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS rn, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size, md5(coalesce(text, '')) AS digest,
-    md5('7:doc:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw FROM documents
+    md5('7:doc:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS draw FROM documents
 ),
 s0 AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM d GROUP BY source

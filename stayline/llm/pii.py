@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -253,10 +255,9 @@ def learned_spans(texts: list[str], chain: Chain) -> list[list[Span]]:
 def merged(base: list[Span], learned: list[Span]) -> list[Span]:
     """All base spans, and learned spans that touch none of them, by kind and start."""
     taken = sorted((s, e) for _, s, e in base)
-    free = []
-    for span in learned:
-        if not any(s < span[2] and span[1] < e for s, e in taken):
-            free.append(span)
+    starts = [s for s, _ in taken]
+    reach = [0, *accumulate((e for _, e in taken), max)]  # the furthest end of the spans before each place
+    free = [s for s in learned if reach[bisect_left(starts, s[2])] <= s[1]]
     return sorted([*base, *free], key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

@@ -147,6 +147,7 @@ def test_license_statements(spark):
         4: "SPDX-License-Identifier: AND OR )(",
         5: "Licensed under CC BY-NC-SA 4.0 by us",
         6: "lesser GENERAL public license; affero general public license",
+        7: "under the Lesser General Public License",
     }
     docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
     found = {r["id"]: r for r in licenses.license_labels(licenses.scan_licenses(docs)).collect()}
@@ -155,7 +156,23 @@ def test_license_statements(spark):
     assert (found[3]["labels"], found[3]["score"]) == ("gpl-2.0-or-later", licenses.WITH_EXCEPTION)
     assert (found[4]["labels"], found[4]["score"]) == ("", 1.0)
     assert found[5]["labels"] == "cc-by,cc-by-nc,cc-by-nc-sa"
-    assert found[6]["labels"] == "agpl,gpl,lgpl"
+    assert found[6]["labels"] == "agpl,gpl,lgpl" and found[6]["score"] == 0.3
+    assert (found[7]["labels"], found[7]["base_labels"], found[7]["score"]) == ("gpl,lgpl", "gpl", 0.6)
+
+
+def test_many_places_take_linear_time():
+    finds = licenses.automaton(licenses.BASE, licenses.NOTICES)
+    words, places, _ = licenses.scan(b"cc by " * 500_000, finds, licenses.BASE, licenses.NOTICES)
+    assert words == 1_000_000 and [p["word"] for p in places] == list(range(0, 1_000_000, 2))
+
+
+def test_merged_spans_equal_plain_loop():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        spans = [[(k, int(s), int(s + rng.integers(1, 9))) for k, s in zip(rng.choice(pii.KINDS, 6), rng.integers(0, 60, 6))] for _ in "bl"]
+        base, learned = spans
+        free = [s for s in learned if not any(b[1] < s[2] and s[1] < b[2] for b in base)]
+        assert pii.merged(base, learned) == sorted([*base, *free], key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
 
 
 @pytest.mark.parametrize(
@@ -167,13 +184,17 @@ def test_license_statements(spark):
         ("gpl-2.0 with x or agpl-3.0", ["agpl-3.0", "gpl-2.0"], 0.6),
         ("gpl-2.0 and (mit or", ["gpl-2.0"], 0.4),
         ("mit mit", ["mit"], 1.0),
+        ("NOASSERTION", ["noassertion"], 0.0),
+        ("LicenseRef-Proprietary OR MPL-2.0", ["licenseref-proprietary", "mpl-2.0"], 0.6),
+        ("Apache-2.0 see the file", ["apache-2.0"], 1.0),
+        ("BSD-3-Clause AND CC-BY-SA-4.0 AND LGPL-2.1+", ["bsd-3-clause", "cc-by-sa-4.0", "lgpl-2.1+"], 0.6),
     ],
 )
 def test_license_expressions(text, labels, score):
     assert licenses.evaluate(text) == (labels, score)
 
 
-@pytest.mark.parametrize("text", ["", "or mit", ")", "()", "((mit"])
+@pytest.mark.parametrize("text", ["", "or mit", ")", "()", "((mit", "see the file", "gpl-", "mit-2"])
 def test_broken_license_expressions(text):
     assert licenses.evaluate(text) is None
 
