@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stayline.llm.common import WORD, store, table
+from stayline.llm.copies import keep_one_of_equal_texts
 from stayline.llm.decontaminate import remove_contamination
 from stayline.llm.jaccard_join import keep_one_of_each
 from stayline.llm.language_id import keep_identified
@@ -12,54 +13,70 @@ from stayline.llm.line_chunks import dedup_line_chunks
 from stayline.llm.mixing import take_mix
 
 
+#: A document that keeps less than this share of its words after line dedup is a near copy of what holds them, and goes.
+LEAST_LEFT = 0.2
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     """Brings n_chars up to date with changed texts."""
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have."""
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters or without a language that the network is fairly sure of."""
+    """Rejects texts without letters or without a language that the network is fairly sure of.
+
+    Null and empty texts have no letters and go. Each row stands alone, so repeated rows share their
+    fate. An empty table gives no rows.
+    """
     return keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated passages of lines out; a document that loses all its words with them goes."""
-    kept = dedup_line_chunks(docs)
-    emptied = (F.col("n_removed_lines") > 0) & ~F.rlike("text", F.lit(WORD))
-    return _counted(kept.where(~emptied).select(*docs.columns))
+    """Takes rows of equal text down to one, then repeated passages of lines out of the texts.
+
+    A document that loses words and keeps less than `LEAST_LEFT` of them goes. Null texts and texts
+    without words stay as they are, repeated ones too. Of rows equal in id and text one stays, the same
+    in every run. An empty table gives no rows.
+    """
+    before, lines, gone = _free(docs, "n_words_before"), _free(docs, "n_lines"), _free(docs, "n_removed_lines")
+    words = F.regexp_count("text", F.lit(WORD))
+    kept = dedup_line_chunks(keep_one_of_equal_texts(docs).withColumn(before, words), n_lines=lines, n_removed_lines=gone)
+    copied = (F.col(gone) > 0) & (words < LEAST_LEFT * F.col(before))
+    return _counted(kept.where(~F.coalesce(copied, F.lit(False))).select(*docs.columns))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: those that share 80 % of their five-word shingles."""
+    """Keeps one document of each group of near copies: those that share 80 % of their five-word shingles.
+
+    The least id stays, nulls last. Texts without words, null ones too, all stay. Of rows equal in id
+    and text one stays, the same in every run. An empty table gives no rows.
+    """
     return keep_one_of_each(docs, ngram=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages of the benchmark out of the texts."""
+    """Cuts passages of the benchmark out of the texts.
+
+    All rows stay, repeated ones too. Null texts and texts without words hold no passage and stay as
+    they are. Items without an id count, items without words do not. An empty table gives no rows.
+    """
     return _counted(remove_contamination(docs, table(spark, sf_dir, "benchmark")))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixes the sources: documents that words are taken of, with how many."""
-    return take_mix(docs)
+    """Mixes the sources: documents that words are taken of, with how many, in a column `taken`.
 
-
-def one_of_equal_texts(docs: DataFrame) -> DataFrame:
-    """Of rows with equal text the one with the least id stays, nulls last; of rows equal in both any one.
-
-    Texts without words stay.
+    Texts without words, null ones too, have nothing to take and go. A null source is a source. Rows equal in
+    id and text become one, the same in every run. An empty table gives no rows.
     """
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.col("doc_id").alias("_own"),
-        F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key"),
-        F.rlike(F.coalesce("text", F.lit("")), F.lit(WORD)).alias("_words"),
-    )
-    order = F.min(F.struct(F.col("_own").isNull(), F.col("_own").alias("id"))).alias("first")
-    stay = rows.where("_words").groupBy(F.col("_key").alias("_digest")).agg(order).select("_digest", F.col("first.id").alias("_id"))
-    kept = rows.where("_words").join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_digest")), "left_semi")
-    kept = kept.dropDuplicates(["_own", "_key"]).unionAll(rows.where("NOT _words"))
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return take_mix(docs, taken_col=_free(docs, "taken"))
 
 
 STAGES = [
@@ -70,9 +87,6 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Taken ahead of a stage, which sees what is left. Line dedup would cut copies into fragments that are no near copies.
-AHEAD = {"line_dedup": one_of_equal_texts}
-
 #: The first stage is a trained network, which SQL cannot express; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
@@ -80,7 +94,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        if name in AHEAD:
-            docs = store(AHEAD[name](docs), f"pipeline-before-{name}")
         docs = store(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
