@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import WORD, store
 
@@ -10,6 +10,11 @@ from .common import WORD, store
 BASE, MODULUS = 31, 2_147_483_647
 
 
+def elements(values: Column, first: Column, last: Column) -> Column:
+    """The elements from first to last, from 1, by place: a slice would convert the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(values, i - 1))
+
+
 def chunked(docs: DataFrame, window: int, every: int) -> DataFrame:
     """Adds `_chunks` (first line from 1, lines, digest, whether it has a word) to rows with `_text`.
 
@@ -31,7 +36,7 @@ def chunked(docs: DataFrame, window: int, every: int) -> DataFrame:
     rows = rows.withColumn("_cuts", F.array_distinct(F.concat(F.array(F.lit(1)), cuts, F.array("_n"))))
 
     def chunk(a, b):
-        own = F.slice("_marks", a, b - a + 1)
+        own = elements(F.col("_marks"), a, b)
         digest = F.unhex(F.md5(F.array_join(own["digest"], "")))
         return F.struct(a.alias("first"), (b - a + 1).alias("n"), digest.alias("chunk"), F.exists(own["word"], lambda w: w).alias("word"))
 
@@ -70,7 +75,9 @@ def dedup_line_chunks(
     )
     texts = rows.where(F.contains("_text", F.lit("\n"))).select("_id", "_digest", "_text")
     place = F.struct("_id", "_digest", "first")
-    found = chunked(texts, window, every).select("_id", "_digest", F.inline("_chunks")).where("word").drop("word")
+    # the outer form: for the inner one the optimizer adds a filter on the chunks, which computes all of them twice,
+    # and the arrays they come from anew for each chunk
+    found = chunked(texts, window, every).select("_id", "_digest", F.inline_outer("_chunks")).where("word").drop("word")
     found = store(found, "line-chunks")
     repeated = (
         found.groupBy("chunk").agg(F.min(place).alias("holder"), F.max(place).alias("last")).where("holder != last").drop("last")
@@ -93,10 +100,10 @@ def dedup_line_chunks(
         F.array(F.split("_text", "\n")),
         lambda lines: F.transform(
             "_candidates",
-            lambda c: F.struct(c["first"], c["n"], c["chunk"], c["holds"], F.array_join(F.slice(lines, c["first"], c["n"]), "\n").alias("text")),
+            lambda c: F.struct(c["first"], c["n"], c["chunk"], c["holds"], F.array_join(elements(lines, c["first"], c["first"] + c["n"] - 1), "\n").alias("text")),
         ),
     )
-    passages = matched.dropDuplicates(["_id", "_digest"]).select("_id", "_digest", F.inline(F.get(cut, F.lit(0))))
+    passages = matched.dropDuplicates(["_id", "_digest"]).select("_id", "_digest", F.inline_outer(F.get(cut, F.lit(0))))
     passages = store(passages, "line-passages")
     holders = passages.where("holds").select("chunk", F.col("text").alias("held"))
     removed = (
