@@ -15,8 +15,28 @@ from .mixing import draw, low_bits
 from .recurrent import Adam, Both, LongShort
 from .words import arrow_schema, batch_of, trimmed
 
-# The kinds in their order.
-KINDS = ("email", "ip", "card", "phone")
+# The kinds in their order. The first four have fixed patterns; secrets are learned from planted ones only.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
+
+# What planted secrets are called, what stands between name and value, and around the value.
+SECRET_NAMES = ("password", "passwd", "pwd", "secret", "api_key", "access_key", "auth", "credential", "private_key", "client_secret", "bearer", "session_id")
+JOINTS = ("=", " = ", ": ", ":", " ", " := ", " is ")
+QUOTES = ("", "'", '"')
+# Beginnings, characters and lengths of planted secrets. Forty hexadecimal digits are not among them, for tests.
+HEX, UPPER, LETTERS = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+DIGITS = HEX[:10]
+SECRET_FORMS = (
+    ("", HEX, (24, 28, 32, 36, 48, 56, 64)),
+    ("", UPPER + LETTERS + DIGITS, (16, 20, 24, 32, 43, 48)),
+    ("", UPPER + LETTERS + DIGITS + "+/", (22, 27, 44, 64, 88)),
+    ("", LETTERS + DIGITS + "-_", (18, 26, 34)),
+    ("AKIA", UPPER + DIGITS, (16,)),
+    ("sk_live_", LETTERS + DIGITS, (24, 32)),
+    ("ghp_", UPPER + LETTERS + DIGITS, (36,)),
+)
+#: What looks like a secret to a pattern. Where it is not planted its label is not known, and no window around it is learned from.
+UNKNOWN = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}")
 
 # Possessive forms of the base patterns: the same matches, without going back over long runs.
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
@@ -30,7 +50,7 @@ TRIGGER = re.compile(r"[0-9@]")
 WINDOW, STRIDE = 64, 32
 #: The sample that the network learns from.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 1500, 6
-HIDDEN, STEPS, BATCH, RATE = 12, 350, 96, 0.02
+HIDDEN, STEPS, BATCH, RATE = 16, 500, 96, 0.02
 TAGS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 TOGETHER = 1024
 
@@ -209,7 +229,9 @@ def plausible(kind: str, text: str) -> bool:
     digits = len(digits_of(text))
     if kind == "email":
         return "@" in text and 0 < text.index("@") < len(text) - 3 and "." in text
-    return {"ip": 4 <= digits <= 12 and text.count(".") == 3, "card": 13 <= digits <= 19, "phone": 8 <= digits <= 15}[kind]
+    if kind == "secret":
+        return len(text) >= 12 and digits > 0 and not any(c.isspace() for c in text) and any(c.isalpha() for c in text)
+    return {"ip": 4 <= digits <= 12 and text.count(".") == 3, "card": 13 <= digits <= 19 and luhn(digits_of(text)), "phone": 8 <= digits <= 15}[kind]
 
 
 def reconciled(tags: dict[int, np.ndarray], n: int) -> list[Span]:
@@ -279,8 +301,43 @@ def varied(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str,
     return "".join([*parts, text[at:]]), out
 
 
+def secret(rng: np.random.Generator) -> tuple[str, str]:
+    """A name with a joint, and a made-up value that holds a digit and a letter."""
+    name = str(rng.choice(SECRET_NAMES))
+    name = name.upper() if rng.random() < 0.2 else name.title() if rng.random() < 0.2 else name
+    before, characters, lengths = SECRET_FORMS[rng.integers(len(SECRET_FORMS))]
+    value = rng.choice(list(characters), rng.choice(lengths))
+    value[rng.integers(len(value))] = str(rng.integers(10))
+    return name + str(rng.choice(JOINTS)), before + "".join(value) + ("" if any(c.isalpha() for c in before + "".join(value)) else "a")
+
+
+def harmless(rng: np.random.Generator) -> str:
+    """Text with digits that is nobody's: dates, times, versions, amounts, names of files, numbered words."""
+    a, b, c = rng.integers(1, 13), rng.integers(10, 60), rng.integers(1900, 100_000)
+    word = "".join(rng.choice(list(LETTERS), rng.integers(3, 9)))
+    forms = (f"{c}-{a:02d}-{b % 28 + 1:02d}", f"{a}:{b}:{b}", f"v{a}.{b}.{a}", f"${c}.{b}", f"{word}_{c}.txt", f"https://{word}.org/{word}/{c}")
+    return str(rng.choice([*forms, f"{word}{a}", f"{c},{b * 10 + 100}", f"({c})", f"{word}={c}", f'{word} = "{word}"', f"#{c}", f"{b}%", str(c) * 2]))
+
+
+def planted(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """The text with a secret and something harmless put between its words, outside spans."""
+    for what in ("secret", "harmless") if rng.random() < 0.8 else ("harmless",):
+        gaps = [m.start() for m in re.finditer(r"\s|\Z", text) if not any(s < m.start() < e for _, s, e in spans)]
+        at = int(rng.choice(gaps))
+        name, value = secret(rng) if what == "secret" else ("", harmless(rng))
+        quote = str(rng.choice(QUOTES))
+        before, after = f" {name}{quote}", quote + str(rng.choice(["", "", ".", ",", ";", "!!", "##"]))
+        more = len(before) + len(value) + len(after)
+        spans = [(k, s + more * (s >= at), e + more * (s >= at)) for k, s, e in spans]
+        if what == "secret":
+            spans.append(("secret", at + len(before), at + len(before) + len(value)))
+        text = text[:at] + before + value + after + text[at:]
+    return text, sorted(spans, key=lambda s: s[1])
+
+
 def sample_reader(schema: pa.Schema, windows: int, seed: int):
-    """Labelled windows (order, symbols, tags) from rows (order, text): around spans, around other digits and elsewhere."""
+    """Labelled windows (order, symbols, tags) from rows (order, text): around spans, around other digits and elsewhere.
+    Windows that touch what may be a secret of the text's own are left out."""
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,12 +345,19 @@ def sample_reader(schema: pa.Schema, windows: int, seed: int):
             out = []
             for order, text in zip(*(c.to_pylist() for c in batch.columns)):
                 rng = np.random.default_rng([seed, int(order[:12], 16)])
-                text, spans = varied(text, base_spans(text), rng)
+                text, spans = planted(*varied(text, base_spans(text), rng), rng)
+                unknown = [m.span() for m in UNKNOWN.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in spans)]
                 symbols, tags = symbols_of(text), tags_of(len(text), spans)
                 centres = [(s + e) // 2 for _, s, e in spans] + [m.start() for m in TRIGGER.finditer(text)] + [int(rng.integers(len(text)))]
-                near = rng.permutation(centres[:-1])[: windows - 1].tolist() if len(centres) > windows else centres[:-1]
+                if len(centres) > windows:  # half of them around spans
+                    first = rng.permutation(centres[: len(spans)])[: windows // 2].tolist()
+                    near = first + rng.permutation(centres[len(spans) : -1])[: windows - 1 - len(first)].tolist()
+                else:
+                    near = centres[:-1]
                 for i, c in enumerate([*near, centres[-1]]):
                     start = min(max(0, c - int(rng.integers(4, WINDOW - 4))), max(0, len(text) - WINDOW))
+                    if any(a < start + WINDOW and start < b for a, b in unknown):
+                        continue
                     own = tags[start : start + WINDOW].copy()
                     if len(own) and own[0] and own[0] % 2 == 0:  # the window cuts a span: its rest begins here
                         own[0] -= 1
@@ -347,8 +411,10 @@ def find_personal_data(
     """(id, base, spans) for each row of `docs`: spans (kind, start, end) in code points, end exclusive, by kind and start.
 
     `base` holds the fixed patterns. `spans` adds those that a character-level bidirectional LSTM with a
-    CRF reports: it learns from base spans in at most `sample` times `SAMPLE_WINDOWS` windows, some of them rewritten
-    (phones without country code, grouped cards). Whole texts are read in windows of 64 characters, 32
+    CRF reports, with a fifth kind, secrets (keys, tokens, passwords of 12 characters or more, with a digit and a letter).
+    It learns from at most `sample` times `SAMPLE_WINDOWS` windows: base spans, some of them rewritten (phones without
+    country code, grouped cards), and made-up secrets of several forms planted into the texts beside harmless
+    numbers. What may be a secret of the text's own has no label and is not learned from. Whole texts are read in windows of 64 characters, 32
     apart; a character follows the window it lies most centrally in, and spans are put together over
     the whole text. A learned span must hold a digit or `@`, so only windows with one are decoded, and
     must hold what its kind needs; one that overlaps a base span goes.

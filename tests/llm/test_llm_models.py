@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stayline.llm import fm_index, jaccard_join, language_id, licenses, pii, quality
 from stayline.llm.queries import QUERIES
@@ -235,7 +236,7 @@ def test_personal_data(spark, request, folder):
     for d in documents(spark, folder):
         text = re.sub("[0-9]{4000,}", lambda m: "9" * len(m[0]), d["text"] or "")
         spans = plain_base(text)
-        kinds = [sum(s[0] == k for s in spans) for k in pii.KINDS]
+        kinds = [sum(s[0] == k for s in spans) for k in pii.BASE_KINDS]
         expected.append((d["doc_id"], *kinds, hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()))
     columns = ("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
     assert sorted(map(str, expected)) == sorted(str(tuple(r[c] for c in columns)) for r in found)
@@ -253,10 +254,35 @@ def test_network_finds_most_spans_it_was_not_shown(spark):
     chain = pii.train(docs.where("doc_id % 2 = 0"), "doc_id", "text", pii.SAMPLE_DOCS, 5)
     texts = [r["text"] for r in docs.where("doc_id % 2 = 1 AND text RLIKE '[0-9@]'").select("text").collect()]
     base, learned = [set(pii.base_spans(t)) for t in texts], [set(s) for s in pii.learned_spans(texts, chain)]
+    learned = [{s for s in spans if s[0] in pii.BASE_KINDS} for spans in learned]
     shared = sum(len(b & s) for b, s in zip(base, learned))
     assert shared >= 0.8 * sum(map(len, base)) and shared >= 0.8 * sum(map(len, learned))
 
 
+def test_network_finds_secrets_of_forms_it_was_not_shown(spark):
+    """No planted secret is called token or has forty hexadecimal digits; those of the given texts are not learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    assert "token" not in pii.SECRET_NAMES and not any(chars == pii.HEX and 40 in n for _, chars, n in pii.SECRET_FORMS)
+    found = pii.find_personal_data(docs.select("doc_id", "text")).join(docs.select("doc_id", "text"), F.col("id") == F.col("doc_id")).collect()
+    whole = false = total = 0
+    for r in found:
+        text = r["text"] or ""
+        tokens = {m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text)}
+        secrets = {(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "secret"}
+        total, whole, false = total + len(tokens), whole + len(tokens & secrets), false + len([s for s in secrets if not any(a < s[1] and s[0] < b for a, b in tokens)])
+    assert total >= 100 and whole >= 0.9 * total and false <= 0.05 * total
+
+
+def test_planted_spans_hold_their_texts():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        text = "call +1 555 010 9999 or a.b@c.org, été 10.1.2.3 now"
+        base = pii.base_spans(text)
+        new, spans = pii.planted(text, base, rng)
+        assert [new[s:e] for k, s, e in spans if k != "secret"] == [text[s:e] for _, s, e in sorted(base, key=lambda s: s[1])]
+        assert all(pii.plausible("secret", new[s:e]) for k, s, e in spans if k == "secret")
+
+
 def test_spans_across_windows_are_one():
     text = "x" * 50 + "a" * 90 + "@example.com" + " y" * 60
     tags = pii.tags_of(len(text), [("email", 50, 152)])
