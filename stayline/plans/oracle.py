@@ -196,6 +196,7 @@ sql(
 sql("append_batches", WHOLE_ROWS, REC, SIG)
 PAIR_ROWS = "SELECT idx_t, idx_t1, subject_id, fold::BIGINT AS fold, pair_type FROM pairs"
 sql("write_pairs", PAIR_ROWS, REC, PAIRS)
+sql("update_pair_index", PAIR_ROWS, REC, PAIRS)
 sql(
     "vocabulary",
     f"""SELECT class_idx, code, rows FROM

@@ -23,7 +23,7 @@ from ..functions import (
     transition_targets,
     zscore_leads,
 )
-from ..operators import assemble, bootstrap, colocated, metrics, normality, pairs, quality, samples, scoring, select, signal
+from ..operators import assemble, bootstrap, colocated, metrics, normality, pair_index, pairs, quality, samples, scoring, select, signal
 from ..operators.lineage import store
 from ..operators.ordered import row_positions
 from ..sources import tables
@@ -128,6 +128,17 @@ def write_pairs(spark, sf):
     return spark.read.schema(S.PAIRS).parquet(path)
 
 
+@query
+def update_pair_index(spark, sf):
+    """An index built without a third of the recordings of some subjects, then brought up to date with them."""
+    path = V.shared_dir(spark, "update_pair_index", sf)
+    rows = V.recordings(spark, sf)
+    late = (F.col("subject_id") % 7 == 3) & (F.col("row_idx") % 3 == 0)
+    pair_index.update_pair_index(spark, path, rows.where(~late), buckets=64)
+    pair_index.update_pair_index(spark, path, rows, rows.where(late))
+    return pair_index.read_pair_index(spark, path)
+
+
 @query
 def vocabulary(spark, sf):
     path = V.shared_dir(spark, "vocabulary", sf)
