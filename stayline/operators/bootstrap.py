@@ -12,10 +12,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.hashing import draw
 from ..functions.labels import contextual_prediction, next_labels, transition_targets
 from .lineage import cut_lineage
-from .metrics import macro_auroc
+from .metrics import macro_auroc, prediction_cells
 from .ordered import HOT_ROWS, row_positions, running_by_ranges
 from .resampling import held_positions
-from .scoring import transition_probabilities
+from .scoring import linear_head, transition_probabilities
 
 BLOCK_ROWS = 4_096  # rows of one class and score range that a task gets together
 SLICE_ROWS = 1_024  # rows it weighs at once
@@ -253,6 +253,29 @@ def transition_task_cells(predictions: DataFrame, row: str = "idx_t") -> DataFra
     )
 
 
+def evaluate_labels(
+    recordings: DataFrame,
+    layer: Mapping[str, np.ndarray],
+    replicates: int,
+    seed: int,
+    features: str = "embedding",
+    labels: str = "icd",
+    row: str = "row_idx",
+    method: str = "blocks",
+    digits: int | None = None,
+) -> DataFrame:
+    """Macro AUROC with interval of a linear head on the embeddings of single recordings.
+
+    ``layer`` has weight and bias. Rows with null or wrong-sized embeddings, or without labels, are left
+    out. ``digits`` rounds the probabilities, so that scores which differ by the order of a sum only count as ties.
+    """
+    scored = linear_head(recordings.select(row, features, labels), layer["weight"], layer["bias"], features)
+    scored = scored.where(F.col("probs").isNotNull() & F.col(labels).isNotNull())
+    if digits is not None:
+        scored = scored.withColumn("probs", F.transform("probs", lambda p: F.round(p, digits)))
+    return bootstrap_auroc(prediction_cells(scored, row, "probs", labels), replicates, seed, row, method=method)
+
+
 def evaluate_transitions(
     predictions: DataFrame,
     replicates: int,

@@ -11,6 +11,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.arrays import displacement
+from ..functions.labels import transition_targets
 from .lineage import store
 
 
@@ -256,3 +257,25 @@ def linear_probe(
     """Fit one logistic model per class on frozen embeddings of ``train`` and append its ``probs`` to ``test``."""
     fitted = fit_probe(train, classes, features, labels, max_iter, reg)
     return linear_head(test, fitted[:, :-1], fitted[:, -1], features).drop("logits")
+
+
+def displacement_probe(
+    train: DataFrame,
+    test: DataFrame,
+    classes: int,
+    h_t: str = "h_t",
+    h_t1: str = "h_t1",
+    a_t: str = "a_t",
+    max_iter: int = 50,
+    reg: float = 0.0,
+) -> DataFrame:
+    """Append ``onset`` and ``resolution`` to ``test``: what linear models on the displacement say of each label.
+
+    Two logistic models per class, for labels that come and labels that go, are fitted on the pairs of
+    ``train``, all together. Pairs with a null or a wrong size are left out of the fit and score null.
+    """
+    fit = train.select(displacement(h_t, h_t1).alias("moved"), F.concat(*transition_targets(a_t)).alias("targets"))
+    fitted = fit_probe(fit, 2 * classes, "moved", "targets", max_iter, reg)
+    scored = linear_head(test.withColumn("_moved", displacement(h_t, h_t1)), fitted[:, :-1], fitted[:, -1], "_moved")
+    heads = {"onset": F.slice("probs", 1, classes), "resolution": F.slice("probs", classes + 1, classes)}
+    return scored.withColumns(heads).drop("_moved", "probs", "logits")

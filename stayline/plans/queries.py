@@ -629,6 +629,23 @@ def linear_probe(spark, sf):
     return metrics.macro_auroc(cells.select("held_out", "class_idx", "v.score", "v.target"), ["held_out"])
 
 
+@query
+def displacement_probe(spark, sf):
+    """Probes for labels that come and go, fitted on the training folds and scored on the pairs of each split."""
+    chosen = V.pairs(spark, sf).select("idx_t", "fold")
+    ends = V.embedding_pairs(spark, sf).join(chosen, "idx_t")
+    probed = scoring.displacement_probe(select.split(ends, "train"), ends, V.CLASSES, max_iter=100, reg=0.01)
+    parts = [select.split(probed, name).withColumn("split", F.lit(name)) for name in ("train", "val", "test")]
+    onset, resolution = transition_targets("a_t")
+    tasks = [
+        F.struct(F.lit(name).alias("task"), F.arrays_zip(F.col(name).alias("score"), target.alias("target")).alias("cells"))
+        for name, target in (("onset", onset), ("resolution", resolution))
+    ]
+    both = reduce(DataFrame.unionAll, parts).select("split", F.inline(F.array(*tasks)))
+    cells = both.select("split", "task", F.posexplode("cells").alias("class_idx", "v"))
+    return metrics.macro_auroc(cells.select("split", "task", "class_idx", "v.score", "v.target"), ["split", "task"])
+
+
 # Metrics, losses, baselines.
 
 
@@ -708,10 +725,7 @@ def evaluate_predictions(spark, sf):
     """Interval of a linear head on the first recordings of the test stays."""
     rows = select.select_mode(select.split(V.recordings(spark, sf), "test"), "triage")
     layer = rule_layer(V.CLASSES, 64)
-    out = scoring.linear_head(rows.select("row_idx", "waveform", "icd"), layer["weight"], layer["bias"], "waveform")
-    out = out.withColumn("probs", F.transform("probs", lambda p: F.round(p, 9)))
-    cells = metrics.prediction_cells(out, "row_idx", "probs", "icd")
-    return bootstrap.bootstrap_auroc(cells, REPLICATES, SEED)
+    return bootstrap.evaluate_labels(rows, layer, REPLICATES, SEED, features="waveform", digits=9)
 
 
 @query

@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_only_model_fitting_lacks_sql():
-    assert set(QUERIES) - set(SQL) == {"linear_probe"}
+    assert set(QUERIES) - set(SQL) == {"linear_probe", "displacement_probe"}
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
@@ -31,6 +31,12 @@ def test_linear_probe_separates_rows(spark):
     assert rows[False]["macro_auroc"] > 0.7
 
 
+def test_displacement_probe_fits_its_own_folds(spark):
+    rows = {(r["split"], r["task"]): r["macro_auroc"] for r in QUERIES["displacement_probe"](spark, SF).collect()}
+    assert {task for _, task in rows} == {"onset", "resolution"} and {split for split, _ in rows} == {"train", "val", "test"}
+    assert all(rows["train", task] > 0.6 for task in ("onset", "resolution"))
+
+
 def test_entry(spark):
     row = entry.entry(spark).first()
     assert row["macro_auroc"] == pytest.approx(0.4209719374193058, abs=1e-8)

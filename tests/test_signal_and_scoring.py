@@ -123,6 +123,28 @@ def test_linear_probe_with_a_single_valued_class(spark):
     assert np.allclose(got[:, 1], 0) and np.allclose(got[:, 2], 1)
 
 
+def test_displacement_probe(spark):
+    """Its optimum is that of a plain fit by Newton's steps on the training rows; null ends score null."""
+    rng = np.random.default_rng(1)
+    h, h1 = rng.normal(size=(2, 300, 3))
+    a = np.sign(np.round(1.2 * (h1 - h)[:, :2] + rng.normal(size=(300, 2)))).astype(int)
+    rows = [(i, h[i].tolist(), h1[i].tolist(), a[i].tolist()) for i in range(300)] + [(300, None, h1[0].tolist(), [1, 0])]
+    df = spark.createDataFrame(rows, "i int, h_t array<double>, h_t1 array<double>, a_t array<tinyint>")
+    got = C.displacement_probe(df.where("i % 3 > 0"), df, 2, max_iter=200, reg=0.1).orderBy("i").collect()
+    assert got[300].onset is None and got[300].resolution is None
+    train = np.arange(300) % 3 > 0
+    x = np.hstack([h1 - h, np.ones((300, 1))])
+    free = np.diag([1.0, 1.0, 1.0, 0.0]) * 0.1
+    for name, sign in (("onset", 1), ("resolution", -1)):
+        for c in range(2):
+            y, w = (a[:, c] == sign).astype(float), np.zeros(4)
+            for _ in range(30):
+                p = 1 / (1 + np.exp(-x[train] @ w))
+                slope = x[train].T @ (p - y[train]) / train.sum() + free @ w
+                w -= np.linalg.solve((x[train].T * (p * (1 - p))) @ x[train] / train.sum() + free, slope)
+            assert np.allclose([r[name][c] for r in got[:300]], 1 / (1 + np.exp(-x @ w)), atol=1e-4)
+
+
 def statistic(x, t_max=3.0, n_points=17):
     t = np.linspace(0, t_max, n_points)
     phi, dt = np.exp(-(t**2) / 2), t_max / (n_points - 1)
