@@ -47,7 +47,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     before, lines, gone = _free(docs, "n_words_before"), _free(docs, "n_lines"), _free(docs, "n_removed_lines")
     words = F.regexp_count("text", F.lit(WORD))
-    kept = dedup_line_chunks(keep_one_of_equal_texts(docs).withColumn(before, words), n_lines=lines, n_removed_lines=gone)
+    # line dedup reads its input three times, so what it reads is stored: texts move to their digests once
+    one = store(keep_one_of_equal_texts(docs), "pipeline-one-of-equal-texts")
+    kept = dedup_line_chunks(one.withColumn(before, words), n_lines=lines, n_removed_lines=gone)
     copied = (F.col(gone) > 0) & (words < LEAST_LEFT * F.col(before))
     return _counted(kept.where(~F.coalesce(copied, F.lit(False))).select(*docs.columns))
 
