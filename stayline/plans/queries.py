@@ -737,8 +737,7 @@ def evaluate_transitions(spark, sf):
 def evaluate_inverse(spark, sf):
     """From the embeddings of the cross-stay test pairs to the intervals."""
     weights = predictor_weights(64, 32, {"onset": V.CLASSES, "resolution": V.CLASSES})
-    chosen = V.test_pairs(spark, sf).select("idx_t")
-    ends = V.embedding_pairs(spark, sf).join(chosen, "idx_t", "left_semi")
+    ends = V.embedding_pairs(spark, sf, V.chosen_test_pairs(spark, sf))
     return bootstrap.evaluate_inverse(ends, weights, REPLICATES, SEED, digits=9)
 
 

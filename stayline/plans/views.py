@@ -7,10 +7,10 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import encode_labels, transition_vector
-from ..operators.colocated import write_linked
+from ..operators.colocated import fetch_pairs_together, write_linked
 from ..operators.lineage import shared_folder
 from ..operators.ordered import row_positions
-from ..operators.pairs import build_pairs, fetch_pairs, pair_labels
+from ..operators.pairs import build_pairs, pair_labels
 from ..operators.select import split
 from ..schema import PAIRS
 from ..sources import read_recordings, write_pairs, write_recordings
@@ -95,10 +95,14 @@ def linked_table(spark: SparkSession, sf_dir: str) -> str:
     return name
 
 
+def chosen_test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-stay pairs of the test split."""
+    return split(pairs(spark, sf_dir), "test").where(F.col("pair_type") == "cross_stay")
+
+
 def test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-stay pairs of the test split with y_t, y_t1 and a_t."""
-    chosen = split(pairs(spark, sf_dir), "test").where(F.col("pair_type") == "cross_stay")
-    return pair_labels(chosen, recordings(spark, sf_dir))
+    return pair_labels(chosen_test_pairs(spark, sf_dir), recordings(spark, sf_dir))
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +135,16 @@ def label_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def embedding_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs with the embeddings h_t and h_t1 and the transition a_t of their ends."""
-    ends = fetch_pairs(pairs(spark, sf_dir), recordings(spark, sf_dir), ["waveform", "icd"])
+def embedding_pairs(spark: SparkSession, sf_dir: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Pairs, all or those ``chosen``, with the embeddings h_t and h_t1 and the transition a_t of their ends.
+
+    The embeddings move once, to their subject; choosing pairs here keeps those of other pairs where they are.
+    """
+    chosen = pairs(spark, sf_dir) if chosen is None else chosen
+    ends = fetch_pairs_together(chosen, recordings(spark, sf_dir), ["waveform", "icd"])
     return ends.select(
         "idx_t",
+        "fold",
         F.col("waveform_t").alias("h_t"),
         F.col("waveform_t1").alias("h_t1"),
         F.col("icd_t").alias("y_t"),
