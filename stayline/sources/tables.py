@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from ..schema import METADATA, PAIRS, RECORDINGS, conform
 
 CLUSTER_ROWS = 4_096  # rows of a folder of a clustered table
+MOST_FOLDERS = 2_048  # of a clustered table; beyond that folders hold more rows
 CLUSTER_MARK = "_div_"
 
 
@@ -116,13 +117,28 @@ def read_batches(
     return df.select(*(columns or RECORDINGS.fieldNames()))
 
 
+def folder_rows(df: DataFrame, key: str, rows: int) -> int:
+    """Positions of a folder: ``rows``, doubled until some MOST_FOLDERS folders, as far as a sketch can tell, are not empty."""
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    span = 0 if ends["low"] is None else ends["high"] - ends["low"] + 1
+    widths = [rows]
+    while span > widths[-1] * MOST_FOLDERS:
+        widths.append(2 * widths[-1])
+    if len(widths) == 1:
+        return rows
+    folders = df.agg(*[F.approx_count_distinct(F.floor(F.col(key) / w)).alias(f"w{w}") for w in widths]).first()
+    return next((w for w in widths if folders[f"w{w}"] <= MOST_FOLDERS), widths[-1])
+
+
 def write_clustered(df: DataFrame, path: str, rows: int = CLUSTER_ROWS, key: str = "row_idx") -> None:
     """Write a table in folders of ``rows`` consecutive positions each, sorted, for `take_stored_rows`.
 
-    The folders' column is named after the key and their size, so readers need not be told.
+    Large tables get larger folders, some MOST_FOLDERS in all: files cost time each, however small. The folders'
+    column is named after the key and their size, so readers need not be told.
     """
-    part = f"{key}{CLUSTER_MARK}{rows}"
-    placed = df.withColumn(part, F.floor(F.col(key) / rows).cast("long"))
+    wide = folder_rows(df, key, rows)
+    part = f"{key}{CLUSTER_MARK}{wide}"
+    placed = df.withColumn(part, F.floor(F.col(key) / wide).cast("long"))
     placed.repartitionByRange(part).sortWithinPartitions(part, key).write.mode("overwrite").partitionBy(part).parquet(path)
 
 
@@ -130,7 +146,7 @@ def take_stored_rows(spark: SparkSession, path: str, ids: DataFrame, columns: Se
     """Rows of a clustered table by position: ``ids`` holds (pos, key), repeats allowed; ordered by pos.
 
     The folders that hold any of the ids are found first, and no other is read: what is read is in proportion
-    to the ids. Their numbers, one for each folder of the table at most, come to the driver.
+    to the ids. Their numbers come to the driver: some MOST_FOLDERS at most, as `write_clustered` makes no more.
     """
     df = spark.read.parquet(path)
     (part,) = [c for c in df.columns if c.startswith(f"{key}{CLUSTER_MARK}")]

@@ -5,6 +5,7 @@ from compare import difference, duck
 from stayline.plans import views as V
 from stayline.plans.oracle import ORACLE_SQL
 from stayline.plans.queries import QUERIES
+from stayline.sources import tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,3 +41,14 @@ def test_embeddings_of_other_pairs_stay(spark):
 
 def test_evaluate_inverse_equals_sql(spark):
     assert difference(spark, duck(SF), QUERIES["evaluate_inverse"], ORACLE_SQL["evaluate_inverse"], SF) is None
+
+
+def test_folders_of_large_clustered_tables_are_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "MOST_FOLDERS", 16)
+    path = str(tmp_path / "clustered")
+    far = spark.createDataFrame([(10**12,)], "row_idx long")
+    tables.write_clustered(spark.range(5_000).toDF("row_idx").union(far).selectExpr("row_idx", "row_idx * 3 AS v"), path, 8)
+    assert 4 < len(list((tmp_path / "clustered").glob("row_idx_div_*"))) <= 17
+    asked = spark.createDataFrame([(0, 4_999), (1, 7), (2, 10**12), (3, 7), (4, 6_000)], "pos long, row_idx long")
+    found = tables.take_stored_rows(spark, path, asked)
+    assert [tuple(r) for r in found.select("pos", "row_idx", "v").collect()] == [(i, x, 3 * x) for i, x in ((0, 4_999), (1, 7), (2, 10**12), (3, 7))]
