@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrays import squared_error
 from ..functions.labels import transition_targets
@@ -12,16 +16,92 @@ from .lineage import cut_lineage
 from .ordered import HOT_ROWS, running
 
 
+def _sums_in_order(keys: list[str], names: list[str]) -> Callable:
+    """Rows of a partition in order of keys and score -> per key the positives, negatives and wins among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), []
+        key = score = None
+        p = n = wins = tied_p = tied_n = 0.0
+
+        def closed():
+            return p + tied_p, n + tied_n, wins + tied_p * (n + 0.5 * tied_n)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            value, hit = (batch.column(i).to_numpy(zero_copy_only=False) for i in (len(keys), len(keys) + 1))
+            other = np.zeros(len(hit), bool)
+            other[0] = True
+            for i in range(len(keys)):
+                column = batch.column(i)
+                other[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            value = value.astype(float)
+            apart = other.copy()
+            apart[1:] |= (value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1]))
+            starts = np.flatnonzero(apart)
+            pos = np.add.reduceat(hit.astype(float), starts)
+            neg = np.diff(np.append(starts, len(hit))) - pos
+            bounds = [*np.flatnonzero(other[starts]), len(starts)]
+            for low, high in zip(bounds, bounds[1:]):
+                at, here_p, here_n = starts[low:high], pos[low:high], neg[low:high]
+                here = tuple(batch.column(i)[int(at[0])].as_py() for i in range(len(keys)))
+                first = value[at[0]]
+                if here != key:
+                    if key is not None:
+                        done.append((*key, *closed()))
+                    key, p, n, wins = here, 0.0, 0.0, 0.0
+                elif first == score or (np.isnan(first) and np.isnan(score)):  # the score goes on from the batch before
+                    here_p[0] += tied_p
+                    here_n[0] += tied_n
+                else:
+                    p, n, wins = closed()
+                below = n + np.cumsum(here_n[:-1]) - here_n[:-1]
+                wins += (here_p[:-1] * (below + 0.5 * here_n[:-1])).sum()
+                p, n = p + here_p[:-1].sum(), n + here_n[:-1].sum()
+                score, tied_p, tied_n = value[at[-1]], here_p[-1], here_n[-1]
+        if key is not None:
+            done.append((*key, *closed()))
+            kinds = [batch.schema.field(i).type for i in range(len(keys))] + [pa.float64()] * 3
+            columns = [pa.array([r[i] for r in done], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(done), pa.int32()), *columns], names=names)
+
+    return run
+
+
+def _wins_by_ranges(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, wins, p, n) with one shuffle: rows are dealt by ranges of key and score, so that equal scores lie
+    together, each task sums its own, and what is below comes from the sums of the earlier tasks."""
+    score = F.when(F.col("score").isNotNull(), F.col("score").cast("double")).otherwise(F.lit(float("nan")))
+    rows = cut_lineage(cells.where("target IS NOT NULL").select(*keys, score.alias("score"), (F.col("target") > 0).alias("hit")))
+    by = [*keys, "score"]
+    names = ["_part", *keys, "p", "n", "wins"]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = ", ".join(["_part int", *[f"{k} {kinds[k]}" for k in keys], "p double", "n double", "wins double"])
+    parts = rows.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(_sums_in_order(keys, names), out)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("n").over(earlier), F.lit(0.0))
+    won = cut_lineage(parts).withColumn("won", F.col("wins") + F.col("p") * below)
+    return won.groupBy(*keys).agg(F.sum("won").alias("wins"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+
+
 def auroc_by_class(
-    cells: DataFrame, group: Sequence[str] = (), weight: str | None = None, limit: int = HOT_ROWS
+    cells: DataFrame, group: Sequence[str] = (), weight: str | None = None, limit: int = HOT_ROWS, many_scores: bool = False
 ) -> DataFrame:
     """AUROC per class from (class_idx, score, target); ties count one half.
 
     Rows without a target and classes with a single target value are left out. Rows of equal score are
     summed before they move and the sums are kept, so that scores which come
-    from a model are computed once; the ranks are running totals.
+    from a model are computed once; the ranks are running totals. With ``many_scores``, for scores of which
+    hardly any two are equal, rows move once and are not summed before; a null score then counts as NaN. Group keys
+    must not be null.
     """
     keys = [*group, "class_idx"]
+    if many_scores:
+        if weight:
+            raise ValueError("many_scores goes without weights")
+        sums = _wins_by_ranges(cells, keys).where((F.col("p") > 0) & (F.col("n") > 0))
+        return sums.select(*keys, (F.col("wins") / (F.col("p") * F.col("n"))).alias("auroc"))
     w = F.col(weight) if weight else F.lit(1).cast("long")
     positive = F.col("target") > 0
     counts = cells.where("target IS NOT NULL").groupBy(*keys, "score").agg(
@@ -44,11 +124,11 @@ def auroc_by_class(
 
 
 def macro_auroc(
-    cells: DataFrame, group: Sequence[str] = (), weight: str | None = None, limit: int = HOT_ROWS
+    cells: DataFrame, group: Sequence[str] = (), weight: str | None = None, limit: int = HOT_ROWS, many_scores: bool = False
 ) -> DataFrame:
     """Mean AUROC over the usable classes."""
     return (
-        auroc_by_class(cells, group, weight, limit)
+        auroc_by_class(cells, group, weight, limit, many_scores)
         .groupBy(*group)
         .agg(F.avg("auroc").alias("macro_auroc"), F.count(F.lit(1)).alias("classes"))
     )

@@ -189,19 +189,28 @@ def _probe_sums(weight: np.ndarray, dim: int):
 
 
 def fit_probe(
-    train: DataFrame, classes: int, features: str, labels: str, max_iter: int, reg: float, tolerance: float = 1e-7
+    train: DataFrame,
+    classes: int,
+    features: str,
+    labels: str,
+    max_iter: int,
+    reg: float,
+    tolerance: float = 1e-7,
+    stored: bool = False,
 ) -> np.ndarray:
     """(classes, dim + 1) weights and biases of one logistic model per class, all fitted together.
 
     Minimises mean loss + reg / 2 |w|^2 (the bias is free) by L-BFGS. One job an iteration, whatever
     the number of classes: each task sends its sums once. Rows with a null or a wrong size are left out.
+    The rows are stored first, in the types they have, unless ``stored`` says that they lie in storage already.
     """
-    first = train.where(F.col(features).isNotNull()).select(F.size(features).alias("n")).first()
+    rows = train.select(features, labels)
+    rows = rows if stored else store(rows, "probe-rows")
+    first = rows.where(F.col(features).isNotNull()).select(F.size(features).alias("n")).first()
     dim = first["n"] if first else 0
     if not dim:
         return np.zeros((classes, dim + 1))
-    rows = train.where((F.size(features) == dim) & (F.size(labels) == classes))
-    rows = store(rows.select(F.col(features).cast("array<double>"), F.col(labels).cast("array<double>")), "probe-rows")
+    rows = rows.where((F.size(features) == dim) & (F.size(labels) == classes))
 
     def at(weight: np.ndarray) -> tuple[float, np.ndarray]:
         parts = rows.mapInArrow(_probe_sums(weight, dim), "n long, sums array<double>")
@@ -268,14 +277,18 @@ def displacement_probe(
     a_t: str = "a_t",
     max_iter: int = 50,
     reg: float = 0.0,
+    moved: str | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Append ``onset`` and ``resolution`` to ``test``: what linear models on the displacement say of each label.
 
     Two logistic models per class, for labels that come and labels that go, are fitted on the pairs of
     ``train``, all together. Pairs with a null or a wrong size are left out of the fit and score null.
+    ``moved`` names a column that has the displacement already; for ``stored`` see `fit_probe`.
     """
-    fit = train.select(displacement(h_t, h_t1).alias("moved"), F.concat(*transition_targets(a_t)).alias("targets"))
-    fitted = fit_probe(fit, 2 * classes, "moved", "targets", max_iter, reg)
-    scored = linear_head(test.withColumn("_moved", displacement(h_t, h_t1)), fitted[:, :-1], fitted[:, -1], "_moved")
+    change = F.col(moved) if moved else displacement(h_t, h_t1)
+    fit = train.select(change.alias("moved"), F.concat(*transition_targets(a_t)).alias("targets"))
+    fitted = fit_probe(fit, 2 * classes, "moved", "targets", max_iter, reg, stored=stored)
+    scored = linear_head(test.withColumn("_moved", change), fitted[:, :-1], fitted[:, -1], "_moved")
     heads = {"onset": F.slice("probs", 1, classes), "resolution": F.slice("probs", classes + 1, classes)}
     return scored.withColumns(heads).drop("_moved", "probs", "logits")

@@ -632,9 +632,10 @@ def linear_probe(spark, sf):
 @query
 def displacement_probe(spark, sf):
     """Probes for labels that come and go, fitted on the training folds and scored on the pairs of each split."""
-    chosen = V.pairs(spark, sf).select("idx_t", "fold")
-    ends = V.embedding_pairs(spark, sf).join(chosen, "idx_t")
-    probed = scoring.displacement_probe(select.split(ends, "train"), ends, V.CLASSES, max_iter=100, reg=0.01)
+    moved = displacement("h_t", "h_t1").alias("moved")
+    ends = store(V.embedding_pairs(spark, sf).select("fold", "a_t", moved), "displacements")
+    train = select.split(ends, "train")
+    probed = scoring.displacement_probe(train, ends, V.CLASSES, max_iter=100, reg=0.01, moved="moved", stored=True)
     parts = [select.split(probed, name).withColumn("split", F.lit(name)) for name in ("train", "val", "test")]
     onset, resolution = transition_targets("a_t")
     tasks = [
@@ -643,7 +644,8 @@ def displacement_probe(spark, sf):
     ]
     both = reduce(DataFrame.unionAll, parts).select("split", F.inline(F.array(*tasks)))
     cells = both.select("split", "task", F.posexplode("cells").alias("class_idx", "v"))
-    return metrics.macro_auroc(cells.select("split", "task", "class_idx", "v.score", "v.target"), ["split", "task"])
+    cells = cells.select("split", "task", "class_idx", "v.score", "v.target")
+    return metrics.macro_auroc(cells, ["split", "task"], many_scores=True)
 
 
 # Metrics, losses, baselines.

@@ -2,6 +2,7 @@
 
 from compare import difference, duck
 
+from stayline.operators import metrics, scoring
 from stayline.plans import views as V
 from stayline.plans.oracle import ORACLE_SQL
 from stayline.plans.queries import QUERIES
@@ -52,3 +53,33 @@ def test_folders_of_large_clustered_tables_are_few(spark, tmp_path, monkeypatch)
     asked = spark.createDataFrame([(0, 4_999), (1, 7), (2, 10**12), (3, 7), (4, 6_000)], "pos long, row_idx long")
     found = tables.take_stored_rows(spark, path, asked)
     assert [tuple(r) for r in found.select("pos", "row_idx", "v").collect()] == [(i, x, 3 * x) for i, x in ((0, 4_999), (1, 7), (2, 10**12), (3, 7))]
+
+
+def test_many_scores_move_once_and_count_alike(spark):
+    rows = spark.range(4_000).selectExpr(
+        "if(id % 7 = 0, 'a', 'b') AS task",
+        "id % 3 AS class_idx",
+        "CASE WHEN id % 11 = 0 THEN double('nan') WHEN id % 13 = 0 THEN -0.0D WHEN id % 13 = 1 THEN 0.0D ELSE (hash(id) % 900) / 7D END AS score",
+        "if(id % 17 = 0, NULL, hash(id, 1) & 1) AS target",
+    )
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        kept = {(r["task"], r["class_idx"]): r["auroc"] for r in metrics.auroc_by_class(rows.repartition(5), ["task"], many_scores=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wanted = {(r["task"], r["class_idx"]): r["auroc"] for r in metrics.auroc_by_class(rows, ["task"]).collect()}
+    assert kept.keys() == wanted.keys() and all(abs(kept[k] - wanted[k]) < 1e-12 for k in kept) and len(kept) == 6
+
+
+def test_displacement_probe_fetches_embeddings_once(spark, monkeypatch):
+    V.pairs(spark, SF)
+    fetched = []
+    kept = scoring.fit_probe
+
+    def fit(train, *args, **named):
+        fetched.append(max(shuffled_rows(train), default=0))
+        return kept(train, *args, **named)
+
+    monkeypatch.setattr(scoring, "fit_probe", fit)
+    QUERIES["displacement_probe"](spark, SF)
+    assert fetched == [0]
