@@ -24,12 +24,18 @@ LINKED = ["idx_t1", "pair_type", "pair_fold", "copied"]  # what a linked table h
 
 
 def _borders_of(recordings: DataFrame, limit: int, carry: Sequence[str] = ()) -> DataFrame | None:
+    """Chunk borders, few enough to be broadcast: of more than MOST_BORDERS only every second, third and so on is
+    kept, which makes chunks longer. Without that the cells would have to move once more, to meet the borders."""
     rows = recordings.where(F.col("subject_id").isNotNull()).select("subject_id", *TIME_ORDER, *carry)
     borders = find_borders(rows, ["subject_id"], TIME_ORDER, limit, carry)
     if borders is None:
         return None
     held = borders.agg(F.count(F.lit(1)) + F.sum(F.size("_borders"))).first()[0]
-    return F.broadcast(borders) if held <= MOST_BORDERS else borders
+    if held > MOST_BORDERS:
+        step = -(-2 * held // MOST_BORDERS)  # a subject that stays has a border at least
+        kept = borders.withColumn("_borders", F.filter("_borders", lambda b, i: (i + 1) % step == 0)).where(F.size("_borders") > 0)
+        borders = store(kept.withColumn("_steps", F.filter("_steps", lambda s: s <= F.size("_borders"))), "fewer-borders")
+    return F.broadcast(borders)
 
 
 def _opens() -> Column:

@@ -2,7 +2,7 @@
 
 from compare import difference, duck
 
-from stayline.operators import metrics, scoring
+from stayline.operators import colocated, metrics, pairs, scoring
 from stayline.plans import views as V
 from stayline.plans.oracle import ORACLE_SQL
 from stayline.plans.queries import QUERIES
@@ -83,3 +83,17 @@ def test_displacement_probe_fetches_embeddings_once(spark, monkeypatch):
     monkeypatch.setattr(scoring, "fit_probe", fit)
     QUERIES["displacement_probe"](spark, SF)
     assert fetched == [0]
+
+
+def test_borders_stay_few_enough_to_be_broadcast(spark, monkeypatch):
+    rows, index = V.recordings(spark, SF), V.pairs(spark, SF)
+    many = colocated._borders_of(rows, 2)
+    monkeypatch.setattr(colocated, "MOST_BORDERS", 40)
+    few = colocated._borders_of(rows, 2)
+    held = [b.selectExpr("count(1) + sum(size(_borders)) AS n").first()["n"] for b in (many, few)]
+    assert 0 < held[1] <= 40 < held[0]
+    plan = few.join(rows, "subject_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    together = colocated.fetch_pairs_together(index, rows, ["icd"], limit=2)
+    wanted = pairs.fetch_pairs(index, rows, ["icd"]).select(*together.columns)
+    assert sorted(map(str, together.collect())) == sorted(map(str, wanted.collect()))
