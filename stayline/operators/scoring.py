@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -15,6 +16,46 @@ from ..functions.labels import transition_targets
 from .lineage import store
 
 
+LOGITS = T.ArrayType(T.DoubleType())
+FLAT = [T.ArrayType(t(), n) for t in (T.FloatType, T.DoubleType, T.ByteType) for n in (True, False)]
+_models: dict[str, Callable[..., object]] = {}  # of this Python worker
+
+
+def _flat_udf(make_predict: Callable[[], Callable[..., object]], kind: T.DataType, batch_size: int, sizes: Sequence[int]):
+    """As `predict_batch_udf` for vectors in and out, which stay in Arrow's buffers and are never lists of numbers."""
+    name = uuid.uuid4().hex
+
+    def vectors(values) -> pa.Array:
+        flat = np.ascontiguousarray(values, dtype=np.float64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
+
+    def scored(columns: Sequence[pa.Array]) -> pa.Array:
+        if name not in _models:
+            _models[name] = make_predict()
+        parts = []
+        for start in range(0, max(1, len(columns[0])), batch_size):
+            cut = [c.slice(start, batch_size) for c in columns]
+            result = _models[name](*[c.flatten().to_numpy(zero_copy_only=False).reshape(-1, n) for c, n in zip(cut, sizes)])
+            if isinstance(kind, T.StructType):
+                parts.append(pa.StructArray.from_arrays([vectors(result[f.name]) for f in kind], [f.name for f in kind]))
+            else:
+                parts.append(vectors(result))
+        return pa.concat_arrays(parts)
+
+    if len(sizes) == 1:
+
+        @F.arrow_udf(kind)
+        def run(a: pa.Array) -> pa.Array:
+            return scored([a])
+    else:
+
+        @F.arrow_udf(kind)
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            return scored([a, b])
+
+    return run
+
+
 def score(
     df: DataFrame,
     make_predict: Callable[[], Callable[..., object]],
@@ -30,12 +71,17 @@ def score(
     input, or an array of another size, takes part as zeros and its result is null.
     """
     kind = T._parse_datatype_string(out_type) if isinstance(out_type, str) else out_type
-    udf = predict_batch_udf(
-        make_predict,
-        return_type=kind,
-        batch_size=batch_size,
-        input_tensor_shapes=[list(s) for s in shapes] if shapes else None,
-    )
+    fields = [f.dataType for f in kind] if isinstance(kind, T.StructType) else [kind]
+    inputs_known = all(df.schema[c].dataType in FLAT for c in in_cols)
+    if shapes and inputs_known and all(len(s) == 1 for s in shapes) and len(shapes) < 3 and all(f == LOGITS for f in fields):
+        udf = _flat_udf(make_predict, kind, batch_size, [s[0] for s in shapes])
+    else:
+        udf = predict_batch_udf(
+            make_predict,
+            return_type=kind,
+            batch_size=batch_size,
+            input_tensor_shapes=[list(s) for s in shapes] if shapes else None,
+        )
     inputs, whole = [], F.lit(True)
     for i, c in enumerate(in_cols):
         sound, blank = F.col(c).isNotNull(), F.lit(0)
@@ -71,9 +117,6 @@ def _wide(x: np.ndarray) -> np.ndarray:
     return np.asarray(x, dtype=np.float64)
 
 
-LOGITS = T.ArrayType(T.DoubleType())
-
-
 def linear_head(
     df: DataFrame, weight: np.ndarray, bias: np.ndarray, col: str = "embedding", batch_size: int = 1024
 ) -> DataFrame:

@@ -97,3 +97,10 @@ def test_borders_stay_few_enough_to_be_broadcast(spark, monkeypatch):
     together = colocated.fetch_pairs_together(index, rows, ["icd"], limit=2)
     wanted = pairs.fetch_pairs(index, rows, ["icd"]).select(*together.columns)
     assert sorted(map(str, together.collect())) == sorted(map(str, wanted.collect()))
+
+
+def test_vectors_are_scored_in_arrow_buffers(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "predict_batch_udf", None)
+    rows = spark.createDataFrame([(i, None if i == 4 else [float(i)] * (3 if i == 5 else 2)) for i in range(11)], "i long, v array<float>")
+    out = scoring.score(rows.repartition(3), lambda: lambda v: v * 2.0, ["v"], "w", "array<double>", 2, [[2]])
+    assert {r["i"]: r["w"] for r in out.collect()} == {i: None if i in (4, 5) else [2.0 * i] * 2 for i in range(11)}
