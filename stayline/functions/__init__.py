@@ -4,6 +4,7 @@ from .arrays import (
     lead_major,
     lead_major_batch,
     reshape_frames,
+    reshape_frames_batch,
     squared_error,
     zscore_leads,
 )
@@ -28,6 +29,7 @@ __all__ = [
     "lead_major_batch",
     "next_labels",
     "reshape_frames",
+    "reshape_frames_batch",
     "squared_error",
     "transition_targets",
     "transition_vector",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.labels import encode_labels
 from ..schema import CROSS_STAY, WITHIN_STAY
@@ -13,6 +13,8 @@ from .ordered import HOT_ROWS
 from .pairs import assign_stays, fetch_pairs
 from .select import TEST_FOLD, TRAIN_LAST_FOLD, VAL_FOLD, first_by_draw
 
+DIGEST = T.StructType([T.StructField("h0", T.LongType()), T.StructField("h1", T.LongType())])
+
 
 def check_counts(
     recordings: DataFrame,
@@ -89,26 +91,47 @@ def compare_tables(
     Rows are compared by digests; cells move for keys whose digests differ only. With ``n`` the
     comparison covers n keys of ``a`` drawn by hash; other rows do not move.
     """
-    if n is not None:
-        keys = a.select(key)
-        a, b = (first_by_draw(t, keys, key, lambda rows: min(n, rows), seed) for t in (a, b))
+    a, b = _drawn(a, b, key, n, seed)
     digests = [_digested(t, key, cols, side) for t, side in ((a, "a"), (b, "b"))]
     found = digests[0].join(digests[1], key, "full_outer")
     differs = F.col("_a").isNull() | F.col("_b").isNull() | (F.col("_a") != F.col("_b"))
     found = store(found.where(differs).select(key, F.col("_a").isNull().alias("_no_a"), F.col("_b").isNull().alias("_no_b")), "differing")
     left = a.join(found.select(key), key, "left_semi").select(key, F.struct(*cols).alias("_a"))
     right = b.join(found.select(key), key, "left_semi").select(key, F.struct(*cols).alias("_b"))
-    difference = F.when(F.col("_no_b"), "only_a").when(F.col("_no_a"), "only_b")
-    for c in cols:
-        difference = difference.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c)
     return (
         found.join(left, key, "left")
         .join(right, key, "left")
-        .select(key, difference.alias("difference"))
+        .select(key, _first_difference(F.col("_no_a"), F.col("_no_b"), cols).alias("difference"))
         .where(F.col("difference").isNotNull())
     )
 
 
+def compare_narrow_tables(
+    a: DataFrame, b: DataFrame, key: str, cols: Sequence[str], n: int | None = None, seed: int = 0
+) -> DataFrame:
+    """As `compare_tables`, for cells that are narrow or digests already: rows meet once, with their cells, and no
+    table is read a second time for those that differ."""
+    a, b = _drawn(a, b, key, n, seed)
+    left, right = (t.select(key, F.struct(*cols).alias(side)) for t, side in ((a, "_a"), (b, "_b")))
+    difference = _first_difference(F.col("_a").isNull(), F.col("_b").isNull(), cols)
+    met = left.join(right, key, "full_outer").select(key, difference.alias("difference"))
+    return met.where(F.col("difference").isNotNull())
+
+
+def _drawn(a: DataFrame, b: DataFrame, key: str, n: int | None, seed: int) -> list[DataFrame]:
+    if n is None:
+        return [a, b]
+    keys = a.select(key)
+    return [first_by_draw(t, keys, key, lambda rows: min(n, rows), seed) for t in (a, b)]
+
+
+def _first_difference(no_a: Column, no_b: Column, cols: Sequence[str]) -> Column:
+    difference = F.when(no_b, "only_a").when(no_a, "only_b")
+    for c in cols:
+        difference = difference.when(~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c)
+    return difference
+
+
 def compare_by_ranges(
     a: DataFrame, b: DataFrame, key: str, cols: Sequence[str], ranges: int = 1_024, rows: int = 100_000
 ) -> DataFrame:
@@ -155,9 +178,14 @@ def compare_by_ranges(
 
 
 def _digested(df: DataFrame, key: str, cols: Sequence[str], side: str) -> DataFrame:
-    """(key, two 64-bit hashes of the cells), so that equal rows move as 16 bytes."""
-    cells = [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
-    return df.select(key, F.struct(F.xxhash64(*cells), F.xxhash64(F.lit(1), *reversed(cells))).alias(f"_{side}"))
+    """(key, digest of the cells), so that equal rows move as 16 bytes."""
+    return df.select(key, digest(*[F.col(c) for c in cols]).alias(f"_{side}"))
+
+
+def digest(*cells: Column) -> Column:
+    """Two 64-bit hashes of the cells."""
+    told = [x for c in cells for x in (c.isNull(), c)]
+    return F.struct(F.xxhash64(*told).alias("h0"), F.xxhash64(F.lit(1), *reversed(told)).alias("h1"))
 
 
 def check_reencode(df: DataFrame, vocab: Sequence[str], vec: str = "icd", key: str = "row_idx") -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions import (
     lead_major_batch,
     next_labels,
     reshape_frames,
+    reshape_frames_batch,
     transition_targets,
     zscore_leads,
 )
@@ -156,7 +157,7 @@ def assemble_recordings(spark, sf):
     rows = V.recordings(spark, sf)
     meta = rows.select("row_idx", *META, F.col("row_idx").alias("h5_index"))
     waves = rows.select(
-        F.col("row_idx").alias("src_index"), "ecg_time", reshape_frames("waveform", V.LEADS).alias("frames")
+        F.col("row_idx").alias("src_index"), "ecg_time", reshape_frames_batch(V.LEADS)("waveform").alias("frames")
     )
     labels = rows.select(F.col("row_idx").alias("src_index"), F.col("icd").alias("labels"))
     built = assemble.assemble_recordings(meta, waves, labels, V.VOCABULARY)
@@ -175,7 +176,7 @@ def build_tables(spark, sf):
     """From the CSV and the array tables to the checked pair index, and that once more from the stored recordings."""
     rows = V.recordings(spark, sf)
     meta = tables.read_metadata(spark, _metadata_csv(spark, sf))
-    waves = rows.select(F.col("row_idx").alias("src_index"), "ecg_time", reshape_frames("waveform", V.LEADS).alias("frames"))
+    waves = rows.select(F.col("row_idx").alias("src_index"), "ecg_time", reshape_frames_batch(V.LEADS)("waveform").alias("frames"))
     labels = rows.select(F.col("row_idx").alias("src_index"), F.col("icd").alias("labels"))
     folder = V.shared_dir(spark, "build_tables", sf)
     built = assemble.build_tables(meta, waves, labels, V.VOCABULARY, folder).withColumn("pairs_only", F.lit(False))
@@ -191,7 +192,7 @@ def verify_build(spark, sf):
     rows = V.recordings(spark, sf)
     folder = V.shared_dir(spark, "verify_build", sf)
     narrow = rows.select("row_idx", *META, F.col("row_idx").alias("h5_index"))
-    frames = reshape_frames("waveform", V.LEADS)
+    frames = reshape_frames_batch(V.LEADS)("waveform")
     turned = F.when(F.col("fold") == 11, F.reverse(frames)).otherwise(frames)
     waves, other = (rows.select(F.col("row_idx").alias("src_index"), "ecg_time", f.alias("frames")) for f in (frames, turned))
     labels = rows.select(F.col("row_idx").alias("src_index"), F.col("icd").alias("labels"))

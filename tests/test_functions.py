@@ -45,6 +45,28 @@ def test_contextual_prediction(spark):
     assert got == [0.25, 0.875]
 
 
+def test_frames_of_partial_signals(spark):
+    df = spark.createDataFrame([([1.0, None, 3.0, 4.0, 5.0],), ([1.0],), ([float("inf")] * 3,)], "w array<float>")
+    got = [r.f for r in df.select(fn.reshape_frames("w", 3).alias("f")).collect()]
+    assert got == [[[1.0, None, 3.0]], [], [[float("inf")] * 3]]
+
+
+def test_frames_in_batches_are_the_same_frames(spark):
+    signals = [None if i % 7 == 3 else [None if (i + j) % 11 == 5 else j / 8 for j in range(i % 10)] for i in range(60)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(signals)], "i long, w array<float>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for leads in (1, 3, 4):
+            got = df.select(fn.reshape_frames("w", leads).alias("a"), fn.reshape_frames_batch(leads)("w").alias("b"))
+            assert got.schema["a"].dataType.simpleString() == got.schema["b"].dataType.simpleString()
+            rows = got.collect()
+            assert [r.a for r in rows] == [r.b for r in rows] and len(rows) == 60
+        whole = df.where("size(w) = 8 OR w IS NULL OR size(w) = 0")
+        assert all(r[0] == r[1] for r in whole.select(fn.reshape_frames_batch(4)("w"), fn.reshape_frames("w", 4)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_frames_and_leads(spark):
     flat = np.arange(12, dtype=float)
     rows = [(flat.tolist(),), (None,), ([],)]

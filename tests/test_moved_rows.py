@@ -2,7 +2,8 @@
 
 from compare import difference, duck
 
-from stayline.operators import colocated, metrics, pairs, scoring
+from stayline.functions import reshape_frames
+from stayline.operators import assemble, colocated, lineage, metrics, pairs, quality, scoring
 from stayline.plans import views as V
 from stayline.plans.oracle import ORACLE_SQL
 from stayline.plans.queries import QUERIES
@@ -30,6 +31,25 @@ def shuffled_rows(df):
     return found
 
 
+def moved_types(df):
+    """Types of the columns that the exchanges and broadcasts of an executed query carry."""
+    df.collect()
+    found, stack = set(), [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if node.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage", "ResultQueryStage"):
+            stack.append(node.plan())
+            continue
+        if node.nodeName().endswith("Exchange"):
+            found |= {node.output().apply(i).dataType().simpleString() for i in range(node.output().size())}
+        kids = node.children()
+        stack += [kids.apply(i) for i in range(kids.size())]
+    return found
+
+
 def test_embeddings_of_other_pairs_stay(spark):
     chosen = V.chosen_test_pairs(spark, SF)
     wanted = V.embedding_pairs(spark, SF).join(chosen, "idx_t", "left_semi")
@@ -104,3 +124,19 @@ def test_vectors_are_scored_in_arrow_buffers(spark, monkeypatch):
     rows = spark.createDataFrame([(i, None if i == 4 else [float(i)] * (3 if i == 5 else 2)) for i in range(11)], "i long, v array<float>")
     out = scoring.score(rows.repartition(3), lambda: lambda v: v * 2.0, ["v"], "w", "array<double>", 2, [[2]])
     assert {r["i"]: r["w"] for r in out.collect()} == {i: None if i in (4, 5) else [2.0 * i] * 2 for i in range(11)}
+
+
+def test_verifying_a_build_moves_digests_of_arrays(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(quality, "store", lambda df, name: stored.append(df) or lineage.store(df, name))
+    found = QUERIES["verify_build"](spark, SF)
+    moved = set().union(*(moved_types(df) for df in [found, *stored]))
+    assert "bigint" in moved and not [t for t in moved if "float" in t or "array" in t]
+
+
+def test_signals_are_assembled_flat(spark):
+    rows = V.recordings(spark, SF)
+    meta = rows.selectExpr("row_idx", "study_id", "subject_id", "ecg_no_within_stay", "fold", "row_idx AS h5_index")
+    waves = rows.select(rows["row_idx"].alias("src_index"), "ecg_time", reshape_frames("waveform", V.LEADS).alias("frames"))
+    built = assemble.assemble_recordings(meta, waves, rows.selectExpr("row_idx AS src_index", "icd AS labels"), V.VOCABULARY)
+    assert "array<array<float>>" not in moved_types(built)
